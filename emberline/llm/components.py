@@ -1,0 +1,27 @@
+"""Connected components of an edge table: the smallest label spreads, with pointer jumping, on Spark."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, root: each node of an edge with the smallest node of its component.
+
+    Each round a node takes the smallest label among its neighbours, then the label of that label.
+    Tables are written to the shared folder each round; the loop ends when no label changes.
+    """
+    links = stored(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b), F.col(a))).distinct(), "links")
+    labels = stored(links.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), "labels")
+    while True:
+        known = labels.select(F.col("node").alias("other"), F.col("root").alias("near"))
+        heard = links.join(known, "other").groupBy("node").agg(F.min("near").alias("near"))
+        lower = labels.join(heard, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        new = stored(lower.join(jump, "root").select("node", "old", F.least("root", "far").alias("root")), "labels")
+        labels = new.select("node", "root")
+        if new.where("root <> old").isEmpty():
+            return labels

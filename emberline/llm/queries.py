@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
-from .common import table
+from . import mixing, sharding, simhash, tokens
+from .common import shared_dir, table
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,13 +17,31 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no", "position")
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = shared_dir(spark, "token-store")
+    files, parts = tokens.write_store(docs, store, TOKENIZER)
+    places = tokens.locate(docs.select("doc_id"), store, parts, files)
+    return tokens.read_ids(places, store, files, TOKENIZER, ids=False)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return mixed.select("doc_id", "source", "epoch", "block", "slot", "position")
 
 
 def queries() -> dict:
-    return {"op2_sharding": op2_sharding, "op10_mixing": op10_mixing}
+    return {
+        "op2_sharding": op2_sharding,
+        "op5_token_ids": op5_token_ids,
+        "op7_simhash": op7_simhash,
+        "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
