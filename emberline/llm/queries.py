@@ -6,17 +6,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash, tokens
-from .common import shared_dir, table
+from . import decontaminate, mixing, quality, sharding, simhash, tokens, toxicity
+from .common import held_out, shared_dir, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _judged(scores: DataFrame, threshold: float, folds: int, fold: int) -> DataFrame:
+    return scores.withColumns({"held_out": held_out(F.col("doc_id"), folds, fold), "predicted": (F.col("score") >= threshold).cast("int")})
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 4, 2))
+    scores = toxicity.score(docs, toxicity.train(docs, known))
+    return _judged(scores, toxicity.THRESHOLD, 4, 2).select("doc_id", "held_out", "score", "predicted", F.col("worst").alias("worst_sentence"), F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s.start, s.end)), ",").alias("offending"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), shards=16, seed=20)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no", "position")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0))
+    scores = quality.score(docs, quality.train(docs, known))
+    return _judged(scores, quality.THRESHOLD, 5, 0).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = shared_dir(spark, "token-store")
@@ -30,6 +48,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "n_words", "n_same", "item_words")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return mixed.select("doc_id", "source", "epoch", "block", "slot", "position")
@@ -37,9 +60,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_sharding": op2_sharding,
+        "op4_quality": op4_quality,
         "op5_token_ids": op5_token_ids,
         "op7_simhash": op7_simhash,
+        "op9_decontamination": op9_decontamination,
         "op10_mixing": op10_mixing,
     }
 
