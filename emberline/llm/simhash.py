@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, slices, stored
@@ -107,9 +107,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     classes = stored(prints.groupBy("fp").agg(F.min("key").alias("first_key")), "classes")
     links = stored(near_pairs(classes.select("fp"), max_bits, most_in_cell), "pairs")
     roots = components(links).withColumnRenamed("node", "fp")
-    whole = Window.partitionBy("root")
-    joined = classes.join(roots, "fp").withColumn("component", F.min("first_key").over(whole)).select("fp", "component")
-    linked = stored(joined, "roots")
+    rooted = stored(classes.join(roots, "fp").select("fp", "root", "first_key"), "roots")
+    smallest = rooted.groupBy("root").agg(F.min("first_key").alias("component"))
+    linked = rooted.join(smallest, "root").select("fp", "component")
     named = classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "first_key").alias("component"))
     return prints.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
 
