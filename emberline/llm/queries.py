@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, simhash, tokens, toxicity
+from . import decontaminate, mixing, quality, secret_scan, sharding, simhash, tokens, toxicity
 from .common import held_out, shared_dir, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no", "position")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     known = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0))
@@ -62,6 +67,7 @@ def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_sharding": op2_sharding,
+        "op3_secrets": op3_secrets,
         "op4_quality": op4_quality,
         "op5_token_ids": op5_token_ids,
         "op7_simhash": op7_simhash,
