@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, secret_scan, sharding, simhash, tokens, toxicity
-from .common import held_out, shared_dir, table
+from . import audio, decontaminate, mixing, quality, secret_scan, sharding, simhash, tokens, toxicity
+from .common import held_out, shared_dir, stored, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -48,6 +48,11 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_ids(places, store, files, TOKENIZER, ids=False)
 
 
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = stored(audio.store_media(table(spark, sf_dir, "documents")), "media")
+    return audio.describe(stored(audio.features(media), "audio-features"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -70,6 +75,7 @@ def queries() -> dict:
         "op3_secrets": op3_secrets,
         "op4_quality": op4_quality,
         "op5_token_ids": op5_token_ids,
+        "op6_audio": op6_audio,
         "op7_simhash": op7_simhash,
         "op9_decontamination": op9_decontamination,
         "op10_mixing": op10_mixing,
