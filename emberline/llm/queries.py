@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, mixing, quality, secret_scan, sharding, simhash, tokens, toxicity
+from . import audio, decontaminate, mixing, pii, quality, secret_scan, sharding, simhash, tokens, toxicity
 from .common import held_out, shared_dir, stored, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,6 +58,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("found", lambda s: s["base"])
+    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("found")).alias("spans"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "start_word", "n_words", "n_same", "item_words")
@@ -77,6 +85,7 @@ def queries() -> dict:
         "op5_token_ids": op5_token_ids,
         "op6_audio": op6_audio,
         "op7_simhash": op7_simhash,
+        "op8_pii": op8_pii,
         "op9_decontamination": op9_decontamination,
         "op10_mixing": op10_mixing,
     }
