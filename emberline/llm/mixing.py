@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import free_name, stored, text_or_empty
 from .numbering import number_rows, unfold
 
 PERIOD = 1000
@@ -87,3 +87,13 @@ def mix(docs: DataFrame, shares: DataFrame | None = None, key: str = "doc_id", s
     slotted = copies.withColumn("nth", F.expr("block % share")).join(schedule, ["source", "nth"]).withColumn("slot", F.expr("(block div share) * d + slot_in_period"))
     names = [F.col(f"rest_{i}").alias(c) for i, c in enumerate(rest)]
     return slotted.select(F.col("key").alias(key), F.col("source").alias(source), *names, F.col("epoch").cast("int").alias("epoch"), "block", "slot", F.expr(f"slot * {block_rows} + q % {block_rows}").alias("position"))
+
+
+def mixed_documents(docs: DataFrame, shares: DataFrame | None = None, key: str = "doc_id", source: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+    """The documents, all columns as they are, each as many times as :func:`mix` places it."""
+    row, times = free_name(docs, "row_hash"), free_name(docs, "placements")
+    known = docs.withColumn(row, F.xxhash64(*docs.columns))
+    placed = mix(known, shares, key, source, [row], block_rows, period).groupBy(key, row).agg(F.count("*").alias(times))
+    placed = placed.withColumnsRenamed({key: "placed_key", row: "placed_row"})
+    joined = known.dropDuplicates([key, row]).join(placed, F.col(key).eqNullSafe(F.col("placed_key")) & (F.col(row) == F.col("placed_row")))
+    return unfold(joined, F.col(times), free_name(docs, "copy")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_or_empty
+from .common import free_name, slices, stored, text_or_empty
 
 WORDS, CLASSES, SHARES = 2048, 1536, 160
 FEATURES = WORDS + CLASSES + SHARES
@@ -182,17 +182,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     return space
 
 
-def score(docs: DataFrame, space: Space, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """key, score and the columns of ``carry``, one row for each document."""
+def score(docs: DataFrame, space: Space, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and score, one row for each document."""
     sent = docs.sparkSession.sparkContext.broadcast(space)  # under 2 MB: all its sizes are fixed above
-    names = carry or []
-    rows = docs.select(F.col(key).alias("__key"), text_or_empty(text).alias("__text"), *names)
+    rows = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", SAMPLE_BYTES):
+        for batch in slices(batches, "text", SAMPLE_BYTES):
             values = sent.value.vote(sent.value.embed(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), *batch.columns[2:]], ["__key", "__score", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["key", "score"])
+
+    return rows.mapInArrow(scored, f"key {rows.schema['key'].dataType.simpleString()}, score double").withColumnRenamed("key", key)
+
+
+def keep_good(docs: DataFrame, space: Space, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all columns as they are, whose score is the threshold or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(space)
+    names, own = docs.columns, free_name(docs, "text_to_score")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, own, SAMPLE_BYTES):
+            good = sent.value.vote(sent.value.embed(batch.column(len(names)).to_pylist())) >= threshold
+            yield batch.select(list(range(len(names)))).filter(pa.array(good))
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([f"__key {kinds['__key']}", "__score double", *(f"`{n}` {kinds[n]}" for n in names)])
-    return rows.mapInArrow(scored, schema).withColumnsRenamed({"__key": key if key not in names else "__key", "__score": "score"})
+    return docs.withColumn(own, text_or_empty(text)).mapInArrow(kept, docs.schema)
