@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from emberline.plans import core
+
+PAIRS = core.PAIRS
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in PAIRS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in PAIRS.items() if sql}
