@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from emberline.plans import core
+from emberline.plans import analysis, core
 
 PAIRS = core.PAIRS
+assert analysis
 
 
 def queries() -> dict:

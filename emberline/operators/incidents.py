@@ -116,7 +116,8 @@ def members(incs: DataFrame, findings: DataFrame, which: str = "primary") -> Dat
 def serialize(incs: DataFrame, findings: DataFrame) -> DataFrame:
     """incident_id, json: nested, sorted, with ISO times."""
     shape = F.struct("correlation_id", "rule_name", "title", "severity", "confidence", C.iso("start_time").alias("start_time"), C.iso("end_time").alias("end_time"), "event_ids", "entity_ids", "description", "evidence")
-    nested = lambda which: members(incs, findings, which).groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("correlation_id", shape.alias("c")))).alias("l")).select("incident_id", F.transform("l", lambda x: x["c"]).alias(f"{which}_correlations"))
+    by_id = lambda a, b: F.when(a["correlation_id"] < b["correlation_id"], -1).when(a["correlation_id"] > b["correlation_id"], 1).otherwise(0)
+    nested = lambda which: members(incs, findings, which).groupBy("incident_id").agg(F.array_sort(F.collect_list(shape), by_id).alias(f"{which}_correlations"))
     joined = incs.join(nested("primary"), "incident_id", "left").join(nested("supporting"), "incident_id", "left")
     empty = F.slice("primary_correlations", 1, 0)
     whole = F.struct("incident_id", C.iso("start_time").alias("start_time"), C.iso("end_time").alias("end_time"), "severity", "confidence", "event_ids", "entity_ids", "rule_names", "primary_correlations", F.coalesce("supporting_correlations", empty).alias("supporting_correlations"))
