@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from emberline.plans import analysis, core
+from emberline.plans import analysis, core, ingest
 
 PAIRS = core.PAIRS
-assert analysis
+assert analysis and ingest  # they register their queries
 
 
 def queries() -> dict:

@@ -48,7 +48,8 @@ o_orderdate + CASE WHEN o_custkey % 3 = 0 THEN INTERVAL '3' SECOND ELSE INTERVAL
 def view(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
     """The SELECT over the table's files; in Spark the reserved name takes backticks."""
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return spark.sql(sql.replace('"user"', "`user`").replace(f"FROM {table}", "FROM {rows}"), rows=rows)
+    plain = sql.replace("{", "{{").replace("}", "}}").replace('"user"', "`user`")
+    return spark.sql(plain.replace(f"FROM {table}", "FROM {rows}"), rows=rows)
 
 
 def evt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +115,7 @@ xe AS (SELECT *, {id_sql("artifact_type", "event_type", iso_sql("timestamp"), "s
 xtl AS (SELECT *, row_number() OVER (ORDER BY timestamp, artifact_type, event_type, coalesce(object_name, ''), ingest_seq) - 1 AS tl_pos, {_ENTITY} FROM xe)"""
 
 _FILE = "string_split(lower(trim(coalesce(nullif(object_name, ''), object_path))), chr(92))[-1]"
-_ONE = "SELECT sha256(concat_ws('|', '{rule}', event_id)) AS correlation_id, '{rule}' AS rule_name, '{severity}' AS severity, confidence, timestamp AS start_time, timestamp AS end_time, [event_id] AS event_ids, CASE WHEN entity_id IS NULL THEN [] ELSE [entity_id] END AS entity_ids, {order} AS rule_ord, tl_pos, object_name AS ev_name, \"user\" AS ev_user, CASE WHEN artifact_type = 'registry' THEN key_path END AS ev_key, NULL AS ev_executed, object_path AS ev_path, description FROM tl WHERE {where}"
+_ONE = "SELECT sha256(concat_ws('|', '{rule}', event_id)) AS correlation_id, '{rule}' AS rule_name, '{severity}' AS severity, confidence, timestamp AS start_time, timestamp AS end_time, [event_id] AS event_ids, CASE WHEN entity_id IS NULL THEN [] ELSE [entity_id] END AS entity_ids, {order} AS rule_ord, tl_pos, object_name AS ev_name, \"user\" AS ev_user, CASE WHEN artifact_type = 'registry' THEN key_path END AS ev_key, CAST(NULL AS VARCHAR) AS ev_executed, object_path AS ev_path, description FROM tl WHERE {where}"
 PAIRS_SQL = f"""pairs AS (SELECT d.event_id AS d_id, d.timestamp AS d_time, d.entity_id AS d_entity, d.confidence AS d_conf, d.tl_pos AS d_pos, d.object_path AS d_path, e.event_id AS e_id, e.timestamp AS e_time, e.confidence AS e_conf, e.object_name AS e_name,
 row_number() OVER (PARTITION BY d.tl_pos ORDER BY e.timestamp, e.tl_pos) AS rn
 FROM (SELECT *, {_FILE} AS file FROM tl WHERE artifact_type = 'browser' AND event_type = 'file_download') d JOIN (SELECT *, {_FILE} AS file FROM tl WHERE artifact_type = 'prefetch') e
@@ -123,7 +124,7 @@ FINDINGS_SQL = f"""{TL_SQL}, {PAIRS_SQL}, cor AS (
 {_ONE.format(rule="registry_persistence", severity="low", order=0, where="artifact_type = 'registry'")} UNION ALL
 {_ONE.format(rule="defender_detection", severity="high", order=3, where="artifact_type = 'defender'")} UNION ALL
 {_ONE.format(rule="browser_activity", severity="low", order=6, where="artifact_type = 'browser'")} UNION ALL
-SELECT sha256(concat_ws('|', 'browser_download_execution', d_id, e_id)), 'browser_download_execution', 'medium', least(d_conf, e_conf), d_time, e_time, [d_id, e_id], CASE WHEN d_entity IS NULL THEN [] ELSE [d_entity] END, 8, d_pos, NULL, NULL, NULL, e_name, d_path, 'A file downloaded through the browser was later executed, per Prefetch.' FROM pairs WHERE rn = 1)"""
+SELECT sha256(concat_ws('|', 'browser_download_execution', d_id, e_id)), 'browser_download_execution', 'medium', least(d_conf, e_conf), d_time, e_time, [d_id, e_id], CASE WHEN d_entity IS NULL THEN [] ELSE [d_entity] END, 8, d_pos, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), e_name, d_path, 'A file downloaded through the browser was later executed, per Prefetch.' FROM pairs WHERE rn = 1)"""
 CLUSTERS_SQL = f"""{FINDINGS_SQL}, links AS (SELECT DISTINCT 'c:' || correlation_id AS a, unnest(list_concat(list_transform(event_ids, lambda x: 'v:' || x), list_transform(entity_ids, lambda x: 'n:' || x))) AS b FROM cor),
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach(node, root) AS (SELECT a, least(a, min(b)) FROM both_ways GROUP BY a UNION SELECT w.b, r.root FROM reach r JOIN both_ways w ON w.a = r.node WHERE r.root < w.b),
 roots AS (SELECT substr(node, 3) AS correlation_id, min(root) AS root FROM reach WHERE node LIKE 'c:%' GROUP BY node)"""

@@ -238,7 +238,7 @@ def _candidates(s, d):
 C_SQL = f"""{INCIDENTS_SQL}, mem AS (SELECT incident_id, priority_rank, unnest(primary_ids) AS correlation_id FROM ranked), fields AS (SELECT m.*, unnest([{{'f': 'key_path', 'k': 'registry_key', 'v': c.ev_key}}, {{'f': 'object_name', 'k': 'process_name', 'v': c.ev_name}}, {{'f': 'user', 'k': 'username', 'v': c.ev_user}}, {{'f': 'executed_name', 'k': 'process_name', 'v': c.ev_executed}}]) AS x FROM mem m JOIN last_cor c USING (correlation_id)),
 cc AS (SELECT x.k AS kind, lower(x.v) AS key, arg_min(x.v, (priority_rank, correlation_id, x.f)) AS value, count(*) AS occurrences, min((priority_rank, correlation_id, x.f)) AS first_ord FROM fields WHERE x.v IS NOT NULL AND length(x.v) >= 3 GROUP BY 1, 2)"""
 pair("i14_candidates", f"WITH RECURSIVE {C_SQL} SELECT kind, key, value, occurrences FROM cc")(lambda s, d: _candidates(s, d).select("kind", "key", "value", "occurrences"))
-NOISE = f"SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN concat('C:', chr(92), 'Windows', chr(92), 'System32', chr(92), p_name) WHEN 1 THEN 'EventLog' WHEN 2 THEN concat('HKLM', chr(92), 'Services', chr(92), 'KSecPkg', chr(92), p_size) WHEN 3 THEN p_name ELSE p_brand END AS value, CASE p_partkey % 2 WHEN 0 THEN 'registry_key' ELSE 'service_name' END AS kind FROM part WHERE {'p_partkey'} > 0"
+NOISE = "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN concat('C:', chr(92), 'Windows', chr(92), 'System32', chr(92), p_name) WHEN 1 THEN 'EventLog' WHEN 2 THEN concat('HKLM', chr(92), 'Services', chr(92), 'KSecPkg', chr(92), p_size) WHEN 3 THEN p_name ELSE p_brand END AS value, CASE p_partkey % 2 WHEN 0 THEN 'registry_key' ELSE 'service_name' END AS kind FROM part"
 pair("i15_noise", "SELECT p_partkey, p_partkey % 6 IN (0, 1, 2) AS noise FROM part")(lambda s, d: view(s, d, NOISE, "part").select("p_partkey", ioc.is_noise(F.col("kind"), F.col("value")).alias("noise")))
 pair("i16_batches", f"WITH RECURSIVE {C_SQL} SELECT kind, key, row_number() OVER (ORDER BY first_ord, kind, key) AS cand_pos, CAST(floor((row_number() OVER (ORDER BY first_ord, kind, key) - 1) / 100) AS BIGINT) AS batch FROM cc")(lambda s, d: ioc.batched(_candidates(s, d), 100).select("kind", "key", "cand_pos", "batch"))
 
