@@ -52,14 +52,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of ``column``; one long text is a batch of its own."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, most_rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of ``column`` and ``most_rows`` rows; one long text is a batch of its own."""
     for batch in batches:
         sizes = batch.column(batch.schema.get_field_index(column))
         lengths = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(lengths):
-            if held and held + n > limit:
+            if i > start and (held + n > limit or i - start >= most_rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n

@@ -34,7 +34,8 @@ NEIGHBOURS = 15
 SHARPNESS = 8
 BLOCK = 512
 THRESHOLD = 0.3
-SAMPLE_BYTES = 1 << 20
+#: Text bytes and rows that are vectors at one time: 256 rows are 8 MB.
+SLICE_BYTES, SLICE_ROWS = 1 << 19, 256
 
 UPPER, LOWER, DIGIT, BLANK = 1, 2, 3, 4
 
@@ -161,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     sample = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "key")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SAMPLE_BYTES):
+        for batch in slices(batches, "text", SLICE_BYTES, SLICE_ROWS):
             rows = [r.tobytes() for r in terms(batch.column(1).to_pylist()).astype(np.float16)]
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["one", "key", "label", "counts"])
 
@@ -188,7 +189,7 @@ def score(docs: DataFrame, space: Space, key: str = "doc_id", text: str = "text"
     rows = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SAMPLE_BYTES):
+        for batch in slices(batches, "text", SLICE_BYTES, SLICE_ROWS):
             values = sent.value.vote(sent.value.embed(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["key", "score"])
 
@@ -201,7 +202,7 @@ def keep_good(docs: DataFrame, space: Space, text: str = "text", threshold: floa
     names, own = docs.columns, free_name(docs, "text_to_score")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, own, SAMPLE_BYTES):
+        for batch in slices(batches, own, SLICE_BYTES, SLICE_ROWS):
             good = sent.value.vote(sent.value.embed(batch.column(len(names)).to_pylist())) >= threshold
             yield batch.select(list(range(len(names)))).filter(pa.array(good))
 
