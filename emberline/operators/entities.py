@@ -10,7 +10,6 @@ from emberline.functions import columns as C
 from .graph import components, written
 
 WEAK, MEDIUM, STRONG = 1, 2, 3
-KIND = F.concat(F.lit("fallback_object:"), F.coalesce("artifact_type", F.lit("unknown")))
 
 
 def fallback_value():
@@ -22,7 +21,8 @@ def fallback_value():
 def with_entity(timeline: DataFrame) -> DataFrame:
     """entity_key and entity_id of events with the one fallback key; a projection, no shuffle."""
     keyed = timeline.withColumn("entity_key", fallback_value())
-    return keyed.withColumn("entity_id", F.when(F.col("entity_key").isNotNull(), C.digest(KIND, F.lit("file"), "entity_key")))
+    kind = F.concat(F.lit("fallback_object:"), F.coalesce("artifact_type", F.lit("unknown")))
+    return keyed.withColumn("entity_id", F.when(F.col("entity_key").isNotNull(), C.digest(kind, F.lit("file"), "entity_key")))
 
 
 def strongest_key(keys):

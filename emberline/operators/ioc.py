@@ -281,9 +281,10 @@ def parsed_response(raw: str | Column) -> Column:
     bare = F.trim(F.regexp_replace(text, r"^```[A-Za-z]*\s*|\s*```$", ""))
     braced = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
     tidy = F.regexp_replace(braced, r",(\s*[}\]])", "$1")
-    shape = "struct<iocs: array<struct<type: string, value: string, confidence: string, source: string, reason: string>>>"
+    shape = "struct<type: string, value: string, confidence: string, source: string, reason: string>"
     tried = [F.try_variant_get(F.try_parse_json(t), "$.iocs", "variant") for t in (text, bare, braced, tidy)]
-    return F.from_json(F.concat(F.lit('{"iocs":'), F.to_json(F.coalesce(*tried)), F.lit("}")), shape)["iocs"]
+    items = F.from_json(F.to_json(F.coalesce(*tried)), "array<string>")  # each still as text: one that is no object spoils only itself
+    return F.transform(items, lambda i: F.from_json(i, shape))
 
 
 def model_iocs(responses: DataFrame, raw: str = "text", order: str = "batch") -> DataFrame:

@@ -11,31 +11,31 @@ from pyspark.sql import functions as F
 
 from emberline.functions import columns as C
 
-NULL = F.lit(None).cast("string")
 CORE = (
     "event_id", "artifact_type", "event_type", "category", "timestamp", "object_name", "object_path", "related_objects", "user", "computer",
     "description", "confidence", "evidence_str", "evidence_other", "source_file", "record_id", "ingest_seq", "emit_ord",
 )
 
 
-def events(rows: DataFrame, artifact: str, event_type, category, timestamp, *, name=NULL, path=NULL, related: Column | None = None, user=NULL, computer=NULL, description=NULL, confidence=1.0, evidence: dict | None = None, other: dict | None = None, source="source_path", record_id=None, hash_record_id: bool = True, extra: dict | None = None, emit: Column | None = None) -> DataFrame:
+def events(rows: DataFrame, artifact: str, event_type, category, timestamp, *, name=None, path=None, related: Column | None = None, user=None, computer=None, description=None, confidence=1.0, evidence: dict | None = None, other: dict | None = None, source="source_path", record_id=None, hash_record_id: bool = True, extra: dict | None = None, emit: Column | None = None) -> DataFrame:
     """The core columns of a normalized event from columns or expressions of ``rows``, and ``extra`` ones."""
     text = lambda v: v if isinstance(v, Column) else F.lit(v)
-    none = F.expr("cast(map() as map<string, string>)")
-    timestamp, source = C.col(timestamp), C.col(source)
-    record = NULL if record_id is None else C.col(record_id).cast("string")
+    none, null = F.expr("cast(map() as map<string, string>)"), F.lit(None).cast("string")
+    name, path, user, computer, source = (null if c is None else C.col(c) for c in (name, path, user, computer, source))
+    timestamp, description = C.col(timestamp), null if description is None else text(description)
+    record = null if record_id is None else C.col(record_id).cast("string")
     core = {
-        "event_id": C.event_id(F.lit(artifact), text(event_type), timestamp, source, C.col(name), C.col(path), record if hash_record_id and record_id is not None else None),
+        "event_id": C.event_id(F.lit(artifact), text(event_type), timestamp, source, name, path, record if hash_record_id and record_id is not None else None),
         "artifact_type": F.lit(artifact),
         "event_type": text(event_type),
         "category": text(category),
         "timestamp": timestamp,
-        "object_name": C.col(name),
-        "object_path": C.col(path),
+        "object_name": name,
+        "object_path": path,
         "related_objects": C.strings() if related is None else related,
-        "user": C.col(user),
-        "computer": C.col(computer),
-        "description": text(description),
+        "user": user,
+        "computer": computer,
+        "description": description,
         "confidence": text(confidence).cast("double"),
         "evidence_str": C.text_map(evidence) if evidence else none,
         "evidence_other": C.text_map(other) if other else none,
@@ -182,7 +182,7 @@ def _shortcut(rows: DataFrame, artifact: str, event_type: str, timestamp: str, o
     target = C.truthy("target_path")
     name = F.when(target.isNotNull(), C.last_part(target)).otherwise(F.col(own_name))
     texts = ("relative_path", "working_directory", "description", "command_line_arguments", "icon_location", "drive_serial", "drive_type", "volume_label")
-    return events(rows, artifact, event_type, "user_activity", timestamp, name=name, path="target_path", description=F.when(target.isNotNull(), F.concat(F.lit(said), name)).otherwise(plain), confidence=confidence, evidence={own_name: own_name} | {t: t for t in texts}, other={"file_size": "file_size"}, source=NULL)
+    return events(rows, artifact, event_type, "user_activity", timestamp, name=name, path="target_path", description=F.when(target.isNotNull(), F.concat(F.lit(said), name)).otherwise(plain), confidence=confidence, evidence={own_name: own_name} | {t: t for t in texts}, other={"file_size": "file_size"}, source=None)
 
 
 def lnk(rows: DataFrame) -> DataFrame:

@@ -170,9 +170,9 @@ pair("b24_dispatch", f"""WITH {EVTX_EVENTS_SQL}, m AS (SELECT *, {K} AS k FROM e
     lambda s, d: normalize.normalize({"evtx": evtx_landing(s, d), "defender": view(s, d, MESSAGES, "events"), "scheduled_task": _tasks(s, d), "unheard_of": _tasks(s, d)}).groupBy("artifact_type", "event_type").agg(F.count("*").alias("n"))
 )
 pair("b25_compact_usn", f"""WITH {USN_SQL}, e AS (SELECT *, CASE WHEN event_type = 'file_renamed' THEN parent_frn END AS kp, CASE WHEN event_type = 'file_renamed' THEN file_name END AS kn FROM u WHERE event_type IS NOT NULL),
-g AS (SELECT event_type, frn, kp, kn, count(*) AS n, min(usn) AS first_usn, max(usn) AS last_usn, list_sort(list(DISTINCT usn))[1:20] AS usns, list(flags ORDER BY ingest_seq) AS fl FROM e GROUP BY event_type, frn, kp, kn),
-f AS (SELECT g.first_usn, list(x ORDER BY p) AS fs FROM g, (SELECT first_usn AS fu, x, min(p) AS p FROM (SELECT first_usn, unnest(flatten(fl)) AS x, generate_subscripts(flatten(fl), 1) AS p FROM g) GROUP BY fu, x) q WHERE q.fu = g.first_usn GROUP BY g.first_usn)
-SELECT first_usn AS usn, event_type, n AS usn_record_count, CASE WHEN n > 1 THEN last_usn END AS last_usn, CASE WHEN n > 1 THEN array_to_string(usns, '|') END AS related_usns, array_to_string(fs, '|') AS reason_flags FROM g JOIN f USING (first_usn)""")(
+g AS (SELECT event_type, frn, kp, kn, count(*) AS n, min(usn) AS first_usn, max(usn) AS last_usn, list_sort(list(DISTINCT usn))[1:20] AS usns FROM e GROUP BY event_type, frn, kp, kn),
+x AS (SELECT event_type, frn, kp, kn, ingest_seq, unnest(flags) AS fl, generate_subscripts(flags, 1) AS p FROM e), y AS (SELECT event_type, frn, kp, kn, fl, min((ingest_seq, p)) AS pos FROM x GROUP BY ALL), f AS (SELECT event_type, frn, kp, kn, list(fl ORDER BY pos) AS fs FROM y GROUP BY ALL)
+SELECT first_usn AS usn, g.event_type, n AS usn_record_count, CASE WHEN n > 1 THEN last_usn END AS last_usn, CASE WHEN n > 1 THEN array_to_string(usns, '|') END AS related_usns, array_to_string(fs, '|') AS reason_flags FROM g JOIN f ON g.event_type = f.event_type AND g.frn = f.frn AND g.kp IS NOT DISTINCT FROM f.kp AND g.kn IS NOT DISTINCT FROM f.kn""")(
     lambda s, d: normalize.compact_usn(_usn(s, d)).select("usn", "event_type", "usn_record_count", "last_usn", joined(F.col("related_usns").cast("array<string>")).alias("related_usns"), joined("reason_flags").alias("reason_flags"))
 )
 pair("b26_merge_usb", f"""WITH {USB_SQL}, i AS (SELECT *, lower(vendor) AS x, p_brand || '|' || p_size || '|' || serial_number AS device FROM u) SELECT min(ingest_seq) AS ingest_seq, count(DISTINCT hive || key_path) - 1 AS more FROM (SELECT *, CASE WHEN p_size % 7 = 0 THEN 'SOFTWARE' ELSE 'NTUSER.DAT' END AS hive FROM i) GROUP BY device""")(
@@ -195,9 +195,14 @@ pair("c4_ole_time", "SELECT event_id, date_trunc('day', ts) + INTERVAL 12 HOUR A
 pair("c5_coerce_time", f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN ts WHEN 1 THEN ts - INTERVAL 2 HOUR WHEN 2 THEN ts END AS t FROM ({TIMES})")(lambda s, d: times(s, d).select("event_id", C.coerce_time(F.when(F.col("event_id") % 4 == 0, F.concat(C.iso("ts"), F.lit("Z"))).when(F.col("event_id") % 4 == 1, F.concat(C.iso("ts"), F.lit("+02:00"))).when(F.col("event_id") % 4 == 2, F.replace(C.iso("ts"), F.lit("T"), F.lit(" "))).otherwise("no time")).alias("t")))
 
 # --- D: timeline
-BROKEN = {"artifact_type": F.when(F.col("ingest_seq") % 29 != 0, F.col("artifact_type")), "category": F.when(F.col("ingest_seq") % 31 != 0, F.col("category")).otherwise(""), "raw_time": F.when(F.col("ingest_seq") % 37 == 0, "bad").when(F.col("ingest_seq") % 41 != 0, "good"), "timestamp": F.when((F.col("ingest_seq") % 37 != 0) & (F.col("ingest_seq") % 41 != 0), F.col("timestamp"))}
+def broken(s, d):
+    """The events with types, categories and times missing here and there."""
+    spoiled = {"artifact_type": F.when(F.col("ingest_seq") % 29 != 0, F.col("artifact_type")), "category": F.when(F.col("ingest_seq") % 31 != 0, F.col("category")).otherwise(""), "raw_time": F.when(F.col("ingest_seq") % 37 == 0, "bad").when(F.col("ingest_seq") % 41 != 0, "good"), "timestamp": F.when((F.col("ingest_seq") % 37 != 0) & (F.col("ingest_seq") % 41 != 0), F.col("timestamp"))}
+    return evt(s, d).withColumns(spoiled)
+
+
+
 REASON = "CASE WHEN ingest_seq % 29 = 0 THEN 'missing_artifact_type' WHEN ingest_seq % 31 = 0 THEN 'missing_category' WHEN ingest_seq % 37 = 0 THEN 'invalid_timestamp' WHEN ingest_seq % 41 = 0 THEN 'missing_timestamp' {more} END"
-broken = lambda s, d: evt(s, d).withColumns(BROKEN)
 pair("d1_validate", f"WITH {EVT_SQL} SELECT ingest_seq, {REASON.format(more='')} AS reason FROM evt")(lambda s, d: broken(s, d).select("ingest_seq", timeline.reject_reason("raw_time").alias("reason")))
 pair("d2_eligible", f"WITH {EVT_SQL} SELECT ingest_seq FROM evt WHERE NOT timeline_eligible")(lambda s, d: timeline.validated(evt(s, d)).where("reject_reason = 'timeline_eligible_false'").select("ingest_seq"))
 pair("d3_timeline", f"WITH {TL_SQL} SELECT event_id, ingest_seq, tl_pos FROM tl")(lambda s, d: tl(s, d).select("event_id", "ingest_seq", "tl_pos"))
