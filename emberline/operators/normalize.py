@@ -6,7 +6,9 @@ events of one record. Evidence is two maps: texts, and everything else as JSON o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import columns as C
@@ -360,23 +362,31 @@ def _order() -> Column:
     return F.struct("ingest_seq", "emit_ord")
 
 
-def _first_of_each(rows: DataFrame, keys: dict[str, Column], more: dict[str, Column]) -> DataFrame:
+def _first_of_each(rows: DataFrame, keys: dict[str, Column], more: dict[str, Column], keep_keys: bool = False) -> DataFrame:
     """The first row of each key in ingest order, and aggregates over all of its rows. Partial aggregation keeps hot keys small."""
     every = F.struct(*rows.columns)
     keyed = rows.withColumns({f"_k{i}": c for i, c in enumerate(keys.values())})
     folded = keyed.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min_by(every, _order()).alias("_first"), *[c.alias(n) for n, c in more.items()])
-    return folded.select("_first.*", *more)
+    return folded.select("_first.*", *more, *([f"_k{i}" for i in range(len(keys))] if keep_keys else []))
 
 
 def compact_usn(rows: DataFrame) -> DataFrame:
     """One event for each file and kind of change (renames: each destination), with counts, the last record, all flags and the first 20 numbers."""
     renamed = F.col("event_type") == "file_renamed"
     keys = {"source": F.col("source_file"), "type": F.col("event_type"), "file": F.col("file_reference"), "parent": F.when(renamed, F.col("parent_reference")), "name": F.when(renamed, F.col("file_name"))}
-    ordered_flags = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(_order().alias("o"), F.col("reason_flags").alias("f")))), lambda x: x["f"])))
-    more = {"usn_record_count": F.count("*"), "_last": F.max_by(F.struct("usn", "timestamp"), _order()), "_flags": ordered_flags, "_usns": F.slice(C.ordered(F.col("usn"), _order()), 1, 20)}
-    out = _first_of_each(rows, keys, more)
-    many = F.col("usn_record_count") > 1
-    return out.withColumns({"reason_flags": F.col("_flags"), "last_usn": F.when(many, F.col("_last.usn")), "last_usn_timestamp": F.when(many, F.col("_last.timestamp")), "related_usns": F.when(many, F.col("_usns"))}).drop("_last", "_flags", "_usns")
+    # when each flag was seen first: a fixed number of small aggregates, however many records a file has
+    seen = {f"_f_{name}": F.min(F.when(F.array_contains("reason_flags", name), _order())) for name in USN_REASONS}
+    folded = _first_of_each(rows, keys, {"usn_record_count": F.count("*"), "_last": F.max_by(F.struct("usn", "timestamp"), _order())} | seen, keep_keys=True)
+    flags = F.array_compact(F.array(*[F.when(F.col(f"_f_{name}").isNotNull(), F.struct(F.col(f"_f_{name}").alias("at"), F.lit(i).alias("bit"), F.lit(name).alias("name"))) for i, name in enumerate(USN_REASONS)]))
+    # the first 20 different numbers: a top-k for each key
+    key_columns = [f"_k{i}" for i in range(len(keys))]
+    numbers = rows.withColumns(dict(zip(key_columns, keys.values(), strict=True))).groupBy(*key_columns, "usn").agg(F.min(_order()).alias("_at"))
+    head = numbers.withColumn("_n", F.row_number().over(Window.partitionBy(*key_columns).orderBy("_at", "usn"))).where(F.col("_n") <= 20)
+    listed = head.groupBy(*key_columns).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "usn"))), lambda x: x["usn"]).alias("_usns")).withColumnsRenamed({k: f"{k}_" for k in key_columns})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in key_columns])
+    out, many = folded.join(listed, same), F.col("usn_record_count") > 1
+    made = {"reason_flags": F.transform(F.array_sort(flags), lambda x: x["name"]), "last_usn": F.when(many, F.col("_last.usn")), "last_usn_timestamp": F.when(many, F.col("_last.timestamp")), "related_usns": F.when(many, F.col("_usns"))}
+    return out.withColumns(made).drop("_last", "_usns", *seen, *key_columns, *[f"{k}_" for k in key_columns])
 
 
 def _occurrences() -> Column:

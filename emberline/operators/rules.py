@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import columns as C
@@ -94,16 +94,19 @@ def powershell_execution(timeline: DataFrame) -> DataFrame:
 def asof_within(left: DataFrame, right: DataFrame, left_keys: list[Column], right_keys: list[Column], left_time: str, right_time: str, right_order: str, days: int, left_id: str) -> DataFrame:
     """For each left row the earliest right row at or after it, within ``days``, that shares any of the keys.
 
-    Keys and weeks (spans of ``days``) make an equi-join: a left row looks at its own span and the next
-    one, so a name that is used all year long doesn't meet itself. Of equal times the one with the
-    smaller ``right_order`` wins. Left columns and ``match`` (a struct of the right row).
+    Rows of both sides with a key and a span of ``days`` in common are put in order of time, backwards;
+    a left row takes the last right row that has gone by. It looks into its own span and the next one.
+    So a name that is used all year long is cut into weeks, and no pairs are made. Of equal times the
+    one with the smaller ``right_order`` wins. Gives the left columns and ``match`` (the right row).
     """
     span = lambda c: F.floor(F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")) / days)
     keyed = lambda keys: F.explode(F.array_distinct(F.array_compact(F.array(*[F.concat(F.lit(f"{i}|"), k) for i, k in enumerate(keys)]))))
-    other = right.select(F.struct(*right.columns).alias("match"), keyed(right_keys).alias("_key"), span(right_time).alias("_span"))
-    probes = left.select(F.col(left_id).alias("_id"), F.col(left_time).alias("_from"), keyed(left_keys).alias("_key"), F.explode(F.array(span(left_time), span(left_time) + 1)).alias("_span"))
-    late = F.expr(f"_from + interval {days} days")
-    hits = probes.join(other, ["_key", "_span"]).where((F.col(f"match.{right_time}") >= F.col("_from")) & (F.col(f"match.{right_time}") <= late))
+    found = right.select(keyed(right_keys).alias("_key"), span(right_time).alias("_span"), F.lit(None).alias("_id"), F.col(right_time).alias("_t"), F.lit(1).alias("_kind"), F.col(right_order).alias("_o"), F.struct(*right.columns).alias("match"))
+    asked = left.select(F.col(left_id).alias("_id"), F.col(left_time).alias("_t"), keyed(left_keys).alias("_key"), F.explode(F.array(span(left_time), span(left_time) + 1)).alias("_span"))
+    both = asked.select("_key", "_span", "_id", "_t", F.lit(0).alias("_kind"), F.lit(None).alias("_o"), F.lit(None).alias("match")).unionByName(found)
+    backwards = Window.partitionBy("_key", "_span").orderBy(F.desc("_t"), F.desc("_kind"), F.desc("_o")).rowsBetween(Window.unboundedPreceding, 0)
+    late = F.expr(f"_t + interval {days} days")
+    hits = both.withColumn("match", F.last("match", ignorenulls=True).over(backwards)).where("_kind = 0").where(F.col(f"match.{right_time}") <= late)
     best = hits.groupBy("_id").agg(F.min_by("match", F.struct(f"match.{right_time}", f"match.{right_order}")).alias("match"))
     return left.join(best, F.col(left_id) == F.col("_id")).drop("_id")
 

@@ -28,16 +28,19 @@ def validated(events: DataFrame, raw_time: str | None = None) -> DataFrame:
 def positions(rows: DataFrame, order: tuple[str, ...], out: str = "tl_pos") -> DataFrame:
     """0, 1, 2, ... in the order of the columns, the first of them a time.
 
-    Rows are numbered within a day; the days' counts give the offsets. So no task sorts more than a
-    day, and the one window without a key runs over one row for each day.
+    Rows are numbered within a minute; counts by minute, summed up within a day and then over the days,
+    give the offsets. No task sorts more than a minute of events, and the one window without a key runs
+    over one row for each day.
     """
-    rows = rows.withColumn("_day", F.to_date(order[0]))
-    days = rows.groupBy("_day").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = days.select(F.col("_day").alias("_d"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_day").orderBy(*order)) - 1
-    numbered = rows.withColumn("_row", inside).join(F.broadcast(offsets), F.col("_day") == F.col("_d"))  # one row for each day of the collection
-    return numbered.withColumn(out, F.col("_offset") + F.col("_row")).drop("_day", "_d", "_row", "_offset")
+    rows = rows.withColumn("_minute", F.date_trunc("minute", order[0]).cast("timestamp_ntz"))
+    minutes = rows.groupBy("_minute").agg(F.count("*").alias("_n")).withColumn("_day", F.to_date("_minute"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = minutes.withColumn("_in_day", before(Window.partitionBy("_day").orderBy("_minute")))
+    days = minutes.groupBy("_day").agg(F.sum("_n").alias("_n")).withColumn("_days", before(Window.orderBy("_day")))
+    offsets = within.join(days.select("_day", "_days"), "_day").select(F.col("_minute").alias("_m"), (F.col("_in_day") + F.col("_days")).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_minute").orderBy(*order)) - 1
+    numbered = rows.withColumn("_row", inside).join(offsets, F.col("_minute") == F.col("_m"))
+    return numbered.withColumn(out, F.col("_offset") + F.col("_row")).drop("_minute", "_m", "_row", "_offset")
 
 
 def timeline(events: DataFrame, raw_time: str | None = None) -> DataFrame:
