@@ -52,19 +52,39 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, most_rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of ``column`` and ``most_rows`` rows; one long text is a batch of its own."""
-    for batch in batches:
-        sizes = batch.column(batch.schema.get_field_index(column))
-        lengths = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_pylist()
-        start = held = 0
-        for i, n in enumerate(lengths):
-            if i > start and (held + n > limit or i - start >= most_rows):
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += n
-        if start < len(lengths):
-            yield batch.slice(start)
+#: Dictionaries that a worker keeps from task to task, as long as no other operator's task comes to it.
+_kept: list[dict] = []
+
+
+def kept_memory() -> dict:
+    _kept.append({})
+    return _kept[-1]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, most_rows: int = 1024, memory: dict | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of ``column`` and ``most_rows`` rows; one long text is a batch of its own.
+
+    ``memory`` is the dictionary that the operator fills on the way: it is emptied when the task ends,
+    unless it is a kept one. Workers serve all stages in turn, so kept ones of other operators go first.
+    """
+    for other in _kept:
+        if other is not memory:
+            other.clear()
+    try:
+        for batch in batches:
+            sizes = batch.column(batch.schema.get_field_index(column))
+            lengths = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_pylist()
+            start = held = 0
+            for i, n in enumerate(lengths):
+                if i > start and (held + n > limit or i - start >= most_rows):
+                    yield batch.slice(start, i - start)
+                    start, held = i, 0
+                held += n
+            if start < len(lengths):
+                yield batch.slice(start)
+    finally:
+        if memory is not None and not any(memory is m for m in _kept):
+            memory.clear()
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

@@ -92,7 +92,7 @@ def _seed_rows(rows: DataFrame, names: list[str], kept: object = None) -> DataFr
     """names + pos, hash, n_words for each seed; with ``kept`` (a broadcast bitmap) only those that may hit."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", memory=_hashes):
             index, pos, hashes, size = [], [], [], []
             for i, text in enumerate(batch.column(len(names)).to_pylist()):
                 words = word_hashes(text)
@@ -138,7 +138,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     matched = by_doc.withColumnsRenamed({"key": "k", "text_hash": "h"}).join(bodies, F.col("k").eqNullSafe(F.col("key")) & (F.col("h") == F.col("text_hash")))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", memory=_hashes):
             index, item_of, diagonals, cut = [], [], [], []
             for i, (body, found) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 words = word_hashes(body)
@@ -158,7 +158,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     pairs = pieces.join(items.withColumnsRenamed({"item": "i", "text": "item_text"}), F.col("item").eqNullSafe(F.col("i"))).select("key", "text_hash", "item", "diagonal", "words", "item_text")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "words"):
+        for batch in slices(batches, "words", memory=_hashes):
             index, start, size, same_n, of = [], [], [], [], []
             for i, (diagonal, own, body) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 theirs, ours = word_hashes(body), np.frombuffer(own, np.uint64)

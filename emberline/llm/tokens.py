@@ -33,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_or_empty
+from .common import kept_memory, slices, stored, text_or_empty
 
 END_ID = 2
 #: Keys in an index part on average, and parts at least.
 PART_KEYS, LEAST_PARTS = 1 << 17, 64
 #: Words that a worker remembers with their ids; beyond that it forgets all and starts anew.
-MEMORY_WORDS = 1_000_000
+MEMORY_WORDS = 800_000
 LEVELS, GAMMA = 32, 2.0
 MAGIC = b"EMBMPH01"
 
@@ -64,7 +64,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = kept_memory()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -124,7 +124,7 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str, key: str = "doc_id",
         files, root = _place(uri)
         lengths: list[np.ndarray] = []
         out, done = None, 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", memory=encoder.words):
             if out is None:
                 files.create_dir(root, recursive=True)
                 out = files.open_output_stream(f"{root}/.{name}.bin-{mark}")
