@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, mixing, pii, quality, secret_scan, sharding, simhash, tokens, toxicity
+from . import audio, decontaminate, mixing, oracles, pii, quality, secret_scan, sharding, simhash, tokens, toxicity
 from .common import held_out, shared_dir, stored, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -92,4 +92,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_sharding": oracles.sharding_sql(16, 20), "op10_mixing": oracles.mixing_sql()}
