@@ -39,7 +39,7 @@ END_ID = 2
 #: Keys in an index part on average, and parts at least.
 PART_KEYS, LEAST_PARTS = 1 << 17, 64
 #: Words that a worker remembers with their ids; beyond that it forgets all and starts anew.
-MEMORY_WORDS = 800_000
+MEMORY_WORDS = 500_000
 LEVELS, GAMMA = 32, 2.0
 MAGIC = b"EMBMPH01"
 
