@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, slices, stored
+from .common import free_name, slices, stored, text_or_empty
 from .components import components
 
 SEGMENTS, SEGMENT_BITS = 16, 4
@@ -115,12 +115,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
-    """The documents with one of each group left: the one with the smallest key; its repeated rows go too.
-
-    Rows without a key are told apart by their text and only go if a row with a key is in their group.
-    """
-    mark = free_name(docs, "component_of")
-    found = near_duplicates(docs, key, text, width, max_bits)
-    chosen = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias(mark)).distinct()
-    kept = docs.join(chosen, F.col(key).eqNullSafe(F.col(mark)), "left_semi")
+    """The documents with one row of each group left: the one with the smallest key (rows without one come last), then text hash."""
+    mark, name = free_name(docs, "chosen_key"), free_name(docs, "chosen_text")
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text_or_empty(text)).alias("name"))
+    found = near_duplicates(docs.select(row.alias("row"), F.col(text).alias("text")), "row", "text", width, max_bits)
+    chosen = found.select(F.col("component.id").alias(mark), F.col("component.name").alias(name)).distinct()
+    kept = docs.join(chosen, F.col(key).eqNullSafe(F.col(mark)) & (F.xxhash64(text_or_empty(text)) == F.col(name)), "left_semi")
     return kept.dropDuplicates([key, text])

@@ -91,3 +91,10 @@ def test_table_equals_brute_force(spark, small):
 def test_cells_are_33_and_distinct(spark):
     df = spark.createDataFrame([(0,), (-1,), (123456789,)], "fp long").withColumn("c", simhash.cells())
     assert [(r.n, r.m) for r in df.select(F.size("c").alias("n"), F.size(F.array_distinct("c")).alias("m")).collect()] == [(33, 33)] * 3
+
+
+def test_rows_without_id_leave_one(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(None, a), (None, a), (7, a), (None, b), (None, b.upper()), (7, "else")], "doc_id long, text string")
+    kept = simhash.keep_one(docs).collect()
+    assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == [("7", "else"), ("7", a), ("None", b)]
