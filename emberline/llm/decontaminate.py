@@ -1,76 +1,77 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask such as 11011 1 reads five words of a window and ignores the words between, so a hit survives
-a substitution at an ignored place. All masks of MASKS read five words. The seeds of the benchmark
-items are joined with the seeds of the documents on their hash; a hit fixes an alignment (diagonal)
-of item and document; along it, words are compared one by one and the longest stretch in which at
-least ``similarity`` of the words agree is reported if it is long enough.
+A mask such as 11011 reads the words of a window at its ones and ignores those at its zeros, so a hit
+survives a substitution at an ignored place. The seeds of the benchmark items are joined with the
+seeds of the documents on their hash; a hit fixes an alignment (diagonal) of item and document; along
+it, words are compared one by one and the longest stretch in which at least ``similarity`` of the
+words agree is reported if it has ``least_words`` words, or that share of the item's words.
+
+Long items are read by MASKS, items of up to SHORT_ITEM words by SHORT_MASKS, and items of fewer than
+four words as a whole. A test goes through all patterns of equal and unequal words: at the default
+similarity each pattern that is to be reported has a hit, for items of any length.
 
 Two bitmaps of fixed size keep the shuffles small, with no false negatives: one of the benchmark's
 seed hashes, so that only document seeds that may hit are shuffled; one of the documents with hits,
 so that only their texts are read and moved again. If they fill up, more rows move, nothing is lost.
 
-Cases: words are runs of letters and digits in lower case; null, empty and shorter texts have no
-seeds and are never reported; items with fewer than five words cannot be found; equal rows are
-reported once for each (key, text); items with equal texts are reported each; empty tables give no
-rows; further columns are not read.
+Cases: words are runs of letters and digits in lower case; null texts and texts without words have no
+seeds and are never reported, nor found; texts of any length are read whole, in blocks; equal rows are
+reported once for each (key, text); items with equal texts are reported each; each
+alignment has one stretch (its first longest); of those of a document and item, the one with most
+equal words, then most words, then the first is given; empty tables give no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_or_empty
+from .common import free_name, slices, stored, text_or_empty
+from .words import hashed_words, letters_and_digits, mixed
 
-#: The places that a seed reads.
+#: The places that a seed reads, in long and in short items.
 MASKS = ("11111", "111101", "1101011", "110010011")
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
+SHORT_ITEM = 12
 SIMILARITY = 0.8
-#: Words that a reported stretch has at least; shorter items must be covered whole.
+#: Words that a reported stretch has at least; shorter items must be covered by ``similarity`` of their words.
 LEAST_WORDS = 16
 BITS = 24
-WORD = re.compile(r"[^\W_]+")
-MEMORY_WORDS = 1_000_000
-_hashes: dict[str, int] = {}
+#: Diagonals of a document in one row: those of a stretch of 2^16 words. The text is there once for each such row.
+LINE_BITS = 16
 
 
-def word_hashes(text: str) -> np.ndarray:
-    words = WORD.findall(text.lower())
-    if len(_hashes) > MEMORY_WORDS:
-        _hashes.clear()
-    for w in set(words).difference(_hashes):
-        _hashes[w] = xxhash.xxh64_intdigest(w.encode(), 7)
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def masks_for(n_words: int) -> tuple[str, ...]:
+    """The masks that read an item of so many words."""
+    if n_words > SHORT_ITEM:
+        return MASKS
+    return SHORT_MASKS if n_words > 3 else ("1" * n_words,) * (n_words > 0)
 
 
-def seeds(words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions and hashes, mask by mask."""
-    for number, mask in enumerate(MASKS):
-        n = len(words) - len(mask) + 1
-        if n < 1:
-            continue
-        h = np.full(n, (number + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
-        for at in (i for i, c in enumerate(mask) if c == "1"):
-            h = (h ^ words[at : at + n]) * np.uint64(0xC2B2AE3D27D4EB4F)
-            h ^= h >> np.uint64(29)
-        yield np.arange(n), h
+def seeds(words: np.ndarray, mask: str) -> np.ndarray:
+    """The hash of each window of the words that the mask reads, by its first word."""
+    n = max(len(words) - len(mask) + 1, 0)
+    h = np.full(n, int(mask, 2), np.uint64)
+    for at in (i for i, c in enumerate(mask) if c == "1"):
+        h = mixed(h ^ words[at : at + n])
+    return h
 
 
 def best_stretch(same: np.ndarray, similarity: float) -> tuple[int, int]:
-    """Start and end of the longest stretch with a share of at least ``similarity`` True, True at both ends; (0, 0) if none."""
-    prefix = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - similarity, -similarity))]) + 1e-9 * np.arange(len(same) + 1)
-    low = np.minimum.accumulate(prefix)
-    starts = np.searchsorted(-low, -prefix, "left")  # for each end, the first start whose prefix is not above it
-    b = int(np.argmax(np.arange(len(prefix)) - starts))
-    a = int(starts[b])
-    inside = np.nonzero(same[a:b])[0]
-    return (a + int(inside[0]), a + int(inside[-1]) + 1) if len(inside) else (0, 0)
+    """Start and end of the (first) longest stretch with True at both ends and a share of at least ``similarity`` True; (0, 0) if none."""
+    at = np.nonzero(same)[0]
+    if not len(at):
+        return 0, 0
+    prefix = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - similarity, -similarity))])
+    low = np.minimum.accumulate(prefix[at])
+    # for each end, the first start whose prefix is not above its own
+    starts = at[np.searchsorted(-low, -(prefix[at + 1] + 1e-9))]
+    longest = int(np.argmax(at - starts))
+    return int(starts[longest]), int(at[longest]) + 1
 
 
 def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
@@ -88,29 +89,51 @@ def may_have(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> 6] >> (place & 63)) & 1 == 1
 
 
-def _seed_rows(rows: DataFrame, names: list[str], kept: object = None) -> DataFrame:
-    """names + pos, hash, n_words for each seed; with ``kept`` (a broadcast bitmap) only those that may hit."""
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """item, pos, hash, n_words, mask: all seeds of the items."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", memory=_hashes):
-            index, pos, hashes, size = [], [], [], []
-            for i, text in enumerate(batch.column(len(names)).to_pylist()):
-                words = word_hashes(text)
-                for p, h in seeds(words):
-                    if kept is not None:
-                        on = may_have(kept.value, h)
-                        p, h = p[on], h[on]
-                    if len(p):
-                        index.append(np.full(len(p), i))
-                        pos.append(p)
-                        hashes.append(h)
-                        size.append(np.full(len(p), len(words)))
-            if index:
-                taken = batch.take(pa.array(np.concatenate(index)))
-                yield pa.RecordBatch.from_arrays([*taken.columns[: len(names)], pa.array(np.concatenate(pos), pa.int64()), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(size), pa.int64())], [*names, "pos", "hash", "n_words"])
+        for batch in slices(batches, "text"):
+            index, pos, hashes, size, masks = [], [], [], [], []
+            words, counts = hashed_words(batch.column(1).to_pylist(), letters_and_digits())
+            for i, (own, n) in enumerate(zip(np.split(words, np.cumsum(counts)[:-1]), counts.tolist(), strict=True)):
+                for mask in masks_for(n):
+                    h = seeds(own, mask)
+                    index.append(np.full(len(h), i))
+                    pos.append(np.arange(len(h)))
+                    hashes.append(h)
+                    size.append(np.full(len(h), n))
+                    masks += [mask] * len(h)
+            if masks:
+                taken = batch.column(0).take(pa.array(np.concatenate(index)))
+                hashed = pa.array(np.concatenate(hashes).view(np.int64))
+                yield pa.RecordBatch.from_arrays([taken, pa.array(np.concatenate(pos)), hashed, pa.array(np.concatenate(size)), pa.array(masks)], ["item", "pos", "hash", "n_words", "mask"])
+
+    kind = items.schema["item"].dataType.simpleString()
+    return items.select("item", "text").mapInArrow(cut, f"item {kind}, pos long, hash long, n_words long, mask string")
+
+
+def _text_seeds(texts: DataFrame, masks: list[str], bits: np.ndarray) -> DataFrame:
+    """key, text_hash, doc_pos, hash: the seeds of the texts that may be seeds of an item."""
+    sent = texts.sparkSession.sparkContext.broadcast(bits)  # 2 MB, as BITS is fixed
 
-    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    return rows.select(*names, "text").mapInArrow(cut, f"{kinds}, pos long, hash long, n_words long")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words, counts = hashed_words(batch.column(2).to_pylist(), letters_and_digits())
+            ends = np.cumsum(counts)
+            for mask in masks:
+                hashes = seeds(words, mask)
+                at = np.nonzero(may_have(sent.value, hashes))[0]
+                text = np.searchsorted(ends, at, "right")
+                inside = at + len(mask) <= ends[text]
+                at, text = at[inside], text[inside]
+                if len(at):
+                    taken = batch.select([0, 1]).take(pa.array(text))
+                    pos = pa.array(at - (ends - counts)[text])
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pos, pa.array(hashes[at].view(np.int64))], ["key", "text_hash", "doc_pos", "hash"])
+
+    kind = texts.schema["key"].dataType.simpleString()
+    return texts.select("key", "text_hash", "text").mapInArrow(cut, f"key {kind}, text_hash long, doc_pos long, hash long")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -118,10 +141,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     spark = docs.sparkSession
     items = benchmark.select(F.col(item).alias("item"), text_or_empty(item_text).alias("text"))
     texts = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    item_seeds = stored(_seed_rows(items, ["item"]), "item-seeds")
-    sent = spark.sparkContext.broadcast(bitmap(item_seeds, "hash"))
-    doc_seeds = _seed_rows(texts, ["key", "text_hash"], sent)
-    hits = doc_seeds.select("key", "text_hash", F.col("pos").alias("doc_pos"), "hash").join(item_seeds, "hash")
+    item_seeds = stored(_item_seeds(items), "item-seeds")
+    masks = sorted(r["mask"] for r in item_seeds.select("mask").distinct().collect())  # of the eleven that there are
+    hits = _text_seeds(texts, masks, bitmap(item_seeds, "hash")).join(item_seeds.drop("mask"), "hash")
     lines = stored(hits.groupBy("key", "text_hash", "item", (F.col("doc_pos") - F.col("pos")).alias("diagonal")).agg(F.max("n_words").alias("item_words")), "diagonals")
 
     named = spark.sparkContext.broadcast(bitmap(lines.select(F.xxhash64("text_hash").alias("name")), "name"))
@@ -134,20 +156,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
 
     kind = texts.schema["key"].dataType.simpleString()
     bodies = again.select("key", "text", "text_hash", "name").mapInArrow(with_hits, f"key {kind}, text string, text_hash long").dropDuplicates(["key", "text_hash"])
-    by_doc = lines.groupBy("key", "text_hash").agg(F.collect_set(F.struct("item", "diagonal", "item_words")).alias("lines"))
+    by_doc = lines.groupBy("key", "text_hash", F.shiftright("diagonal", LINE_BITS)).agg(F.collect_list(F.struct("item", "diagonal", "item_words")).alias("lines"))
     matched = by_doc.withColumnsRenamed({"key": "k", "text_hash": "h"}).join(bodies, F.col("k").eqNullSafe(F.col("key")) & (F.col("h") == F.col("text_hash")))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", memory=_hashes):
+        for batch in slices(batches, "text"):
+            words, counts = hashed_words(batch.column(1).to_pylist(), letters_and_digits())
             index, item_of, diagonals, cut = [], [], [], []
-            for i, (body, found) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                words = word_hashes(body)
+            for i, (own, found) in enumerate(zip(np.split(words, np.cumsum(counts)[:-1]), batch.column(3).to_pylist(), strict=True)):
                 for line in found:
                     a, b = line["diagonal"], line["diagonal"] + line["item_words"]
                     index.append(i)
                     item_of.append(line["item"])
                     diagonals.append(a)
-                    cut.append(np.concatenate([np.zeros(max(0, -a), np.uint64), words[max(0, a) : b]]).tobytes())
+                    cut.append(np.concatenate([np.zeros(max(0, -a), np.uint64), own[max(0, a) : b]]).tobytes())
             if index:
                 taken = batch.take(pa.array(index))
                 yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(2), pa.array(item_of, item_type), pa.array(diagonals, pa.int64()), pa.array(cut, pa.binary())], ["key", "text_hash", "item", "diagonal", "words"])
@@ -158,10 +180,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     pairs = pieces.join(items.withColumnsRenamed({"item": "i", "text": "item_text"}), F.col("item").eqNullSafe(F.col("i"))).select("key", "text_hash", "item", "diagonal", "words", "item_text")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "words", memory=_hashes):
+        for batch in slices(batches, "item_text"):
+            bodies = batch.column(5).to_pylist()
+            known = {body: i for i, body in enumerate(dict.fromkeys(bodies))}
+            words, counts = hashed_words(list(known), letters_and_digits())
+            of_item = np.split(words, np.cumsum(counts)[:-1])
             index, start, size, same_n, of = [], [], [], [], []
-            for i, (diagonal, own, body) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                theirs, ours = word_hashes(body), np.frombuffer(own, np.uint64)
+            for i, (diagonal, own, body) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), bodies, strict=True)):
+                theirs, ours = of_item[known[body]], np.frombuffer(own, np.uint64)
                 same = np.zeros(len(theirs), bool)
                 n = min(len(ours), len(theirs))
                 same[:n] = ours[:n] == theirs[:n]
@@ -183,5 +209,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without those that overlap an item."""
-    found = stored(find_contamination(docs, benchmark, key, text, **options).select(F.col(key).alias("found_key"), F.col("text_hash").alias("found_hash")).distinct(), "contaminated")
-    return docs.join(found, F.col(key).eqNullSafe(F.col("found_key")) & (F.xxhash64(text_or_empty(text)) == F.col("found_hash")), "left_anti")
+    mark, name = free_name(docs, "found_key"), free_name(docs, "found_hash")
+    found = find_contamination(docs, benchmark, key, text, **options).select(F.col(key).alias(mark), F.col("text_hash").alias(name)).distinct()
+    same = F.col(key).eqNullSafe(F.col(mark)) & (F.xxhash64(text_or_empty(text)) == F.col(name))
+    return docs.join(stored(found, "contaminated"), same, "left_anti")
