@@ -52,24 +52,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Dictionaries that a worker keeps from task to task, as long as no other operator's task comes to it.
-_kept: list[dict] = []
-
-
-def kept_memory() -> dict:
-    _kept.append({})
-    return _kept[-1]
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, most_rows: int = 1024, memory: dict | None = None) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of ``column`` and ``most_rows`` rows; one long text is a batch of its own.
 
-    ``memory`` is the dictionary that the operator fills on the way: it is emptied when the task ends,
-    unless it is a kept one. Workers serve all stages in turn, so kept ones of other operators go first.
+    ``memory`` is a dictionary that the operator fills on the way: it is emptied when the task ends,
+    as workers serve all stages in turn.
     """
-    for other in _kept:
-        if other is not memory:
-            other.clear()
     try:
         for batch in batches:
             sizes = batch.column(batch.schema.get_field_index(column))
@@ -83,10 +71,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             if start < len(lengths):
                 yield batch.slice(start)
     finally:
-        if memory is not None and not any(memory is m for m in _kept):
+        if memory is not None:
             memory.clear()
 
 
+#: Bits of a filter by hash: 2^24, or 262,144 words of 64 (4 MB as rows), at any size of the input.
+FILTER_BITS = 24
+
+
+def may_be_in(rows: DataFrame, hashes: str, wanted: DataFrame, wanted_hashes: str) -> DataFrame:
+    """The rows whose hash may be among ``wanted``: all that are, and by chance some that aren't.
+
+    It saves a shuffle of rows that have no partner. With many wanted hashes more rows come through.
+    """
+    word, bits = free_name(rows, "filter_word"), free_name(rows, "filter_bits")
+    place = lambda h: F.shiftrightunsigned(h, 64 - FILTER_BITS)
+    bit = lambda h: F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({h}, {64 - FILTER_BITS}) & 63 AS INT))")
+    held = wanted.groupBy(F.shiftright(place(wanted_hashes), 6).alias(word)).agg(F.bit_or(bit(wanted_hashes)).alias(bits))
+    marked = rows.join(F.broadcast(held), F.shiftright(place(hashes), 6) == F.col(word))  # FILTER_BITS bounds it
+    return marked.where(F.col(bits).bitwiseAND(bit(hashes)) != 0).drop(word, bits)
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """True for rows whose crc32 of the id's text leaves ``fold``; rows without an id count as fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(0)) == fold

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -10,12 +11,24 @@ from tokenizers import Tokenizer
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def equal_to_library(ours, plain, texts):
+    wanted = plain.encode_batch(texts, add_special_tokens=False)
+    for text, got, want in zip(texts, ours.encode(texts, 2), wanted, strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == [*want.ids, 2], repr(text)
+
+
 def test_encoder_equals_the_library():
-    plain, ours = Tokenizer.from_file(PATH), tokens.Encoder.of(PATH)
-    plain.encode_special_tokens = True
-    texts = ["", " ", "a", "a b", "a  b", "a   b", " a", "a ", "a\n b", "a \n b\n\n c", "\n", "x\ty z", "don't we'll 12 3.4", "é ü 日本 ✓", "<|endoftext|> x", "a\0 b", "a b 　c", "a\n\n\n b", "tail \n"]
-    for text, got in zip(texts, ours.encode(texts, 2), strict=True):
-        assert np.frombuffer(got, "<u2").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2], repr(text)
+    plain, ours = Tokenizer.from_file(PATH), tokens.Encoder(PATH)
+    assert ours.cuts
+    texts = ["", " ", "a", "a b", "a  b", "a   b", " a", "a ", "a\n b", "a \n b\n\n c", "\n", "x\ty z", "don't we'll 12 3.4", "é ü 日本 ✓", "<|endoftext|> x", "a\0 b", "a b 　c", "a\n\n\n b", "tail \n", " 中 \xa0 \xa0", "a" * 100_000, "中" * 5000]
+    equal_to_library(ours, plain, texts)
+    parts = ["the", " of", "don't", "a", "b", "Zz", "é", "ß", "ɏ", "ɐ", "ª", "º", "²", "½", "µ", "×", "÷", "0", "12", "'", "'s", "'ll", "'S", "’", "“", "—", "€", "…", ".", "!?", "_", "$", "|", "<|endoftext|>", "中", "日本", "я", "\U0001f600", "\u0301"]
+    parts += [" ", "  ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u2009", "\u3000", "\u200b", "\0", "\x7f", "\xad"]
+    rng = random.Random(1)
+    ours.memory.most = 50  # pieces grow old and come back
+    for _ in range(100):
+        equal_to_library(ours, plain, ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(1000)])
+    assert len(ours.memory) <= 50 and len(ours.memory.old) <= 50
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 20_000])
@@ -24,10 +37,10 @@ def test_perfect_hash_is_minimal(n):
     h1, h2 = (rng.integers(0, 2**63, n, dtype=np.uint64) for _ in range(2))
     h1[: n // 10] = h1[:1] if n else h1[:0]  # equal first halves are told apart by the second
     at = np.arange(n)
-    index = tokens.Index(tokens.pack_index(h1, h2, at, at, at))
+    index = tokens.Index(tokens.pack_index(h1, h2, dict.fromkeys(tokens.FIELDS, at)))
     slots = index.find(h1, h2)
     assert sorted(slots.tolist()) == list(range(n))
-    assert (index.shard[slots] == at).all()
+    assert (index.fields["shard"][slots] == at).all()
     missing = index.find(*(rng.integers(0, 2**63, 1000, dtype=np.uint64) for _ in range(2)))
     assert (missing == -1).mean() > 0.99
 
@@ -66,10 +79,11 @@ def test_odd_rows(spark, odd, none):
 
 def test_key_over_several_shards(spark):
     docs = spark.createDataFrame([(7, f"text {i}") for i in range(400)] + [(8, "x")], "doc_id long, text string")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        rows, (_, files, _) = stored_rows(spark, docs)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    store = shared_dir(spark, "tokens")
+    files, parts = tokens.write_store(docs, store, PATH, shards=4)
+    rows = tokens.read_ids(tokens.locate(docs, store, parts, files), store, files, PATH).collect()
     assert len(files) > 1 and len(rows) == 401
-    assert sorted(r.start for r in rows)[0] == 0 and len({r.start for r in rows}) == 401
+    order = sorted(rows, key=lambda r: r.start)
+    assert order[0].start == 0 and [b.start - a.start for a, b in zip(order, order[1:], strict=False)] == [r.n_tokens for r in order[:-1]]
+    assert order[-1].doc_id == 8 and sorted(tuple(r.ids) for r in order[:-1]) == sorted((*Tokenizer.from_file(PATH).encode(f"text {i}").ids, 2) for i in range(400))
+    assert tokens.shards_for(docs) == 1
