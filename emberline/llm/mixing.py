@@ -3,20 +3,26 @@
 A source's rows, in a reproducible order, form blocks of ``block_rows``. With target weight w = s/D
 (integer shares s of a period D), block j = 0, 1, ... of a source is released at slot floor(j/w) and
 due by slot ceil((j+1)/w); each slot takes, among the released blocks, the one with the earliest
-deadline. As the weights add up to one this meets every deadline, so after any number of slots each
-source is less than one block away from its target. The schedule repeats after D slots, so one period
-is worked out (D is bounded by MOST_PERIOD) and every row finds its slot by arithmetic and a join.
+deadline (ties: the first source by name). As the weights add up to one this meets every deadline, so
+after any number of slots each source is less than one block away from its target. The schedule
+repeats after D slots, so one period is worked out and every row finds its slot by arithmetic and a join.
 
-The mix lasts until every row has been placed once. Sources that are short of their weight start
-over (epoch 1, 2, ...), so no row is dropped.
+More than MOST_SOURCES sources are put into some sqrt(n) groups: groups share the slots, and sources
+share the slots of their group, both by the same rule. A source is then less than two blocks away.
 
-Cases: rows without a source form one source of their own with the empty name; equal rows are
-placed once for each copy; an empty table gives no rows; more sources than MOST_PERIOD raise
-ValueError. Further columns are not read.
+The mix ends with the row at which every row has been placed once. Sources that are short of their
+weight start over (epoch 1, 2, ...), so no row is dropped. With the default target a source gets nine
+tenths of its size or more, so the mix is 10/9 of the table at most, but for the rounding of shares
+and blocks: blocks are small enough that the wait for a block adds one part in a hundred, as a rule.
+
+Cases: rows without a source form one source with those whose source is empty; equal rows are placed
+once for each copy, and are interchangeable; an empty table gives no rows; columns may have any names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,76 +30,113 @@ from .common import free_name, stored, text_or_empty
 from .numbering import number_rows, unfold
 
 PERIOD = 1000
-#: The schedule of one period is one row of work and is sent to every executor: 100,000 slots of 16 bytes.
+#: Given shares may add up to this. The schedule of one period is one row of work.
 MOST_PERIOD = 100_000
+#: Sources that one schedule holds; more are scheduled in two levels.
+MOST_SOURCES = 1000
 BLOCK_ROWS = 16
 #: Of the default target, this many tenths follow the sources' sizes; the rest is the same for each source.
 SIZE_TENTHS = 9
 
 
-def default_shares(counts: DataFrame, period: int = PERIOD, size_tenths: int = SIZE_TENTHS) -> DataFrame:
-    """source, n -> source, n, share: integers of at least one that add up to the period (largest remainders)."""
-    everything = Window.partitionBy()
-    k, total = F.count("*").over(everything), F.sum("n").over(everything)
-    sized = counts.withColumn("k", k).withColumn("total", total).where("total > 0")
-    exact = sized.withColumn("num", F.expr(f"({period} - k) * ({size_tenths} * n * k + {10 - size_tenths} * total)")).withColumn("den", F.expr("10 * k * total"))
-    base = exact.withColumn("base", F.expr("1 + num div den")).withColumn("left", F.expr("num % den"))
-    spare = base.withColumn("spare", F.lit(period) - F.sum("base").over(everything)).withColumn("rank", F.row_number().over(everything.orderBy(F.desc("left"), "source")))
-    return spare.select("source", "n", (F.col("base") + F.when(F.col("rank") <= F.col("spare"), 1).otherwise(0)).alias("share"))
-
-
-def period_schedule(shares: DataFrame) -> DataFrame:
-    """source, share -> source, nth, slot_in_period: which slot the source's nth block of a period takes."""
-    packed = shares.agg(F.array_sort(F.collect_list(F.struct("source", F.col("share").cast("long").alias("share")))).alias("s"), F.sum("share").cast("long").alias("d"))
-    eligible = "filter(transform(sequence(0, size(s) - 1), i -> IF(st.done[i] < s[i].share AND st.done[i] * d div s[i].share <= t, named_struct('due', ((st.done[i] + 1) * d + s[i].share - 1) div s[i].share, 'i', i), NULL)), x -> x IS NOT NULL)"
-    step = f"transform(array(array_min({eligible}).i), p -> named_struct('done', transform(st.done, (c, i) -> IF(i = p, c + 1L, c)), 'out', concat(st.out, array(p))))[0]"
-    run = f"aggregate(sequence(0L, d - 1), named_struct('done', transform(s, x -> 0L), 'out', CAST(array() AS ARRAY<INT>)), (st, t) -> {step}, st -> st.out)"
-    slots = packed.where("d > 0").select("s", F.expr(run).alias("out")).select("s", F.posexplode("out").alias("slot_in_period", "i"))
-    by_source = slots.select(F.expr("s[i].source").alias("source"), F.col("slot_in_period").cast("long"))
-    return by_source.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("slot_in_period")).cast("long") - 1)
+def default_shares(counts: DataFrame, period: int = PERIOD, size_tenths: int = SIZE_TENTHS, by: list[str] | None = None) -> DataFrame:
+    """by, source, n -> share and d: integers of at least one that add up to d (largest remainders), for each group.
 
-
-def mix(docs: DataFrame, shares: DataFrame | None = None, key: str = "doc_id", source: str = "source", rest: list[str] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+    d is the period, or eight times the number of sources if that is more.
+    """
+    group = Window.partitionBy(*(by or []))
+    sized = counts.withColumns({"k": F.count("*").over(group), "total": F.sum("n").over(group)}).where("total > 0")
+    sized = sized.withColumn("d", F.greatest(F.lit(period), F.expr("8 * k")).cast("long"))
+    wanted = f"CAST(d - k AS DECIMAL(12, 0)) * CAST({size_tenths} * n * k + {10 - size_tenths} * total AS DECIMAL(20, 0))"
+    exact = sized.withColumn("num", F.expr(wanted)).withColumn("den", F.expr("10 * k * total"))
+    base = exact.withColumn("base", F.expr("1 + num div den")).withColumn("left", F.expr("num % den"))
+    ranked = base.withColumn("spare", F.col("d") - F.sum("base").over(group)).withColumn("rank", F.row_number().over(group.orderBy(F.desc("left"), "source")))
+    share = (F.col("base") + F.when(F.col("rank") <= F.col("spare"), 1).otherwise(0)).cast("long")
+    return ranked.select(*(by or []), "source", "n", share.alias("share"), "d")
+
+
+def period_schedule(shares: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, source, share -> by, source, nth, slot_in_period: which slot the source's nth block of a period takes."""
+    by = by or []
+    given = F.array_sort(F.collect_list(F.struct("source", F.col("share").cast("long").alias("share"))))
+    packed = shares.groupBy(*by).agg(given.alias("s"), F.sum("share").cast("long").alias("d"))
+    released = "st.done[i] < s[i].share AND st.done[i] * d div s[i].share <= t"
+    due = "((st.done[i] + 1) * d + s[i].share - 1) div s[i].share"
+    eligible = f"filter(transform(sequence(0, size(s) - 1), i -> IF({released}, named_struct('due', {due}, 'i', i), NULL)), x -> x IS NOT NULL)"
+    taken = "named_struct('done', transform(st.done, (c, i) -> IF(i = p, c + 1L, c)), 'out', concat(st.out, array(p)))"
+    step = f"transform(array(array_min({eligible}).i), p -> {taken})[0]"
+    start = "named_struct('done', transform(s, x -> 0L), 'out', CAST(array() AS ARRAY<INT>))"
+    run = f"aggregate(sequence(0L, d - 1), {start}, (st, t) -> {step}, st -> st.out)"
+    slots = packed.where("d > 0").select(*by, "s", F.expr(run).alias("out")).select(*by, "s", F.posexplode("out").alias("slot_in_period", "i"))
+    by_source = slots.select(*by, F.expr("s[i].source").alias("source"), F.col("slot_in_period").cast("long"))
+    nth = F.row_number().over(Window.partitionBy(*by, "source").orderBy("slot_in_period")).cast("long") - 1
+    return by_source.withColumn("nth", nth)
+
+
+def _plan(counts: DataFrame, shares: DataFrame | None, period: int) -> DataFrame:
+    """grp, source, n, share, d and, of its group, grp_share, grp_d."""
+    n_sources = counts.count()
+    groups = 1 if shares is not None or n_sources <= MOST_SOURCES else math.isqrt(n_sources) + 1
+    dealt = counts.withColumn("grp", ((F.row_number().over(Window.partitionBy().orderBy("source")) - 1) % groups).cast("string"))
+    if shares is None:
+        inner = default_shares(dealt, period, by=["grp"])
+    else:
+        inner = dealt.join(shares.select("source", F.col("share").cast("long").alias("share")), "source", "left").withColumn("d", F.sum("share").over(Window.partitionBy()))
+        if inner.where("share IS NULL OR share < 1").count():
+            raise ValueError("a source has no share of at least 1")
+        if (inner.agg(F.max("d")).first()[0] or 0) > MOST_PERIOD:
+            raise ValueError(f"the shares add up to more than {MOST_PERIOD}")
+    sizes = inner.groupBy(F.col("grp").alias("source")).agg(F.sum("n").alias("n"))
+    outer = default_shares(sizes, 1 if groups == 1 else period).select(F.col("source").alias("grp"), F.col("share").alias("grp_share"), F.col("d").alias("grp_d"))
+    return stored(inner.join(outer, "grp"), "mix-plan")
+
+
+def _slotted(blocks: DataFrame, inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Adds the slot of each block (columns of the plan and ``block``)."""
+    within = blocks.withColumn("nth", F.expr("block % share")).join(inner, ["grp", "source", "nth"])
+    turn = within.withColumn("turn", F.expr("(block div share) * d + slot_in_period")).withColumn("nth", F.expr("turn % grp_share"))
+    return turn.join(outer, ["grp", "nth"]).withColumn("slot", F.expr("(turn div grp_share) * grp_d + grp_slot")).drop("nth", "turn", "slot_in_period", "grp_slot")
+
+
+def mix(docs: DataFrame, shares: DataFrame | None = None, key: str = "doc_id", source: str = "source", rest: list[str] | None = None, block_rows: int | None = None, period: int = PERIOD) -> DataFrame:
     """key, source, rest and epoch, block, slot, position: every placement of every row.
 
     ``shares`` (source, share) are the targets, integers; without it :func:`default_shares` are used.
+    ``block_rows`` is BLOCK_ROWS or, if that is less, a hundredth of what the least source gets.
     Ordered by ``position`` (0, 1, 2, ...) the rows are the mixed stream.
     """
     rest = rest or []
     rows = docs.select(F.col(key).alias("key"), text_or_empty(source).alias("source"), *[F.col(c).alias(f"rest_{i}") for i, c in enumerate(rest)])
-    counts = rows.groupBy("source").agg(F.count("*").alias("n"))
-    n_sources = counts.count()
-    if n_sources > MOST_PERIOD:
-        raise ValueError(f"{n_sources} sources; {MOST_PERIOD} at most")
-    plan = default_shares(counts, max(period, 8 * n_sources)) if shares is None else counts.join(shares, "source", "left")
-    if shares is not None and plan.where("share IS NULL OR share < 1").count():
-        raise ValueError("a source has no share of at least 1")
-    whole = Window.partitionBy()
-    plan = plan.withColumn("d", F.sum("share").over(whole).cast("long"))
-    # the slot by which the last first-time block of the slowest source is due
-    plan = plan.withColumn("slots", F.max(F.expr(f"(((n + {block_rows - 1}) div {block_rows}) * d + share - 1) div share")).over(whole))
-    plan = stored(plan, "mix-plan")
-    d = plan.agg(F.max("d")).first()[0] or 0
-    if d > MOST_PERIOD:
-        raise ValueError(f"the shares add up to {d}; {MOST_PERIOD} at most")
-    schedule = stored(period_schedule(plan.select("source", "share")), "mix-schedule")
-    # blocks that a source gets within all slots: those of whole periods, and those of the rest
-    rest_blocks = schedule.join(plan.select("source", "slots", "d"), "source").where("slot_in_period < slots % d").groupBy("source").agg(F.count("*").alias("tail"))
-    given = plan.join(rest_blocks, "source", "left").select("source", "n", "share", "d", F.expr("(slots div d) * share + coalesce(tail, 0)").alias("blocks"))
-    given, schedule = F.broadcast(given), F.broadcast(schedule)  # n_sources and d rows: both bounded by MOST_PERIOD above
+    plan = _plan(rows.groupBy("source").agg(F.count("*").alias("n")), shares, period)
+    inner = stored(period_schedule(plan.select("grp", "source", "share"), ["grp"]), "mix-schedule")
+    groups = plan.select(F.col("grp").alias("source"), F.col("grp_share").alias("share")).distinct()
+    outer = period_schedule(groups).select(F.col("source").alias("grp"), "nth", F.col("slot_in_period").alias("grp_slot"))
+    outer = stored(outer, "mix-groups")
+    n_sources, total = plan.agg(F.count("*"), F.sum("n")).first()
+    if block_rows is None:
+        rows_of_least = plan.agg(F.min(F.expr(f"CAST({total or 0} * share AS DECIMAL(20, 0)) * grp_share div (d * grp_d)"))).first()[0]
+        block_rows = min(BLOCK_ROWS, 1 + (rows_of_least or 0) // 100)
+    # the mix ends with the last row that is placed for the first time
+    last = _slotted(plan.withColumn("block", F.expr(f"(n - 1) div {block_rows}")), inner, outer)
+    end = last.agg(F.max(F.expr(f"slot * {block_rows} + (n - 1) % {block_rows}"))).first()[0]
+    # a block that begins before the end is in slot end div block_rows or earlier, so has at most this number in its source
+    most = F.expr(f"ceil(({end or 0} div {block_rows} + 1) * share / d * grp_share / grp_d) + 2")
+    plan = plan.withColumn("most", most.cast("long"))
+    if n_sources <= MOST_SOURCES:  # then these are small tables, whatever the input
+        plan, inner, outer = F.broadcast(plan), F.broadcast(inner), F.broadcast(outer)
     numbered = number_rows(rows, "key", ["source"], [f"rest_{i}" for i in range(len(rest))], "row_no")
-    sized = numbered.join(given, "source").withColumn("epochs", F.expr(f"(blocks * {block_rows} - row_no + n - 1) div n"))
+    sized = numbered.join(plan, "source").withColumn("epochs", F.expr(f"(most * {block_rows} - row_no + n - 1) div n"))
     copies = unfold(sized, F.col("epochs"), "epoch").withColumn("q", F.expr("epoch * n + row_no")).withColumn("block", F.expr(f"q div {block_rows}"))
-    slotted = copies.withColumn("nth", F.expr("block % share")).join(schedule, ["source", "nth"]).withColumn("slot", F.expr("(block div share) * d + slot_in_period"))
+    placed = _slotted(copies, inner, outer).withColumn("position", F.expr(f"slot * {block_rows} + q % {block_rows}"))
     names = [F.col(f"rest_{i}").alias(c) for i, c in enumerate(rest)]
-    return slotted.select(F.col("key").alias(key), F.col("source").alias(source), *names, F.col("epoch").cast("int").alias("epoch"), "block", "slot", F.expr(f"slot * {block_rows} + q % {block_rows}").alias("position"))
+    placed = placed.where(F.col("position") <= (-1 if end is None else end))
+    return placed.select(F.col("key").alias(key), F.col("source").alias(source), *names, F.col("epoch").cast("int").alias("epoch"), "block", "slot", "position")
 
 
-def mixed_documents(docs: DataFrame, shares: DataFrame | None = None, key: str = "doc_id", source: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def mixed_documents(docs: DataFrame, shares: DataFrame | None = None, key: str = "doc_id", source: str = "source", block_rows: int | None = None, period: int = PERIOD) -> DataFrame:
     """The documents, all columns as they are, each as many times as :func:`mix` places it."""
-    row, times = free_name(docs, "row_hash"), free_name(docs, "placements")
-    known = docs.withColumn(row, F.xxhash64(*docs.columns))
-    placed = mix(known, shares, key, source, [row], block_rows, period).groupBy(key, row).agg(F.count("*").alias(times))
-    placed = placed.withColumnsRenamed({key: "placed_key", row: "placed_row"})
-    joined = known.dropDuplicates([key, row]).join(placed, F.col(key).eqNullSafe(F.col("placed_key")) & (F.col(row) == F.col("placed_row")))
-    return unfold(joined, F.col(times), free_name(docs, "copy")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, times, own_key, own_row = (free_name(docs, c) for c in ("row_hash", "placements", "placed_key", "placed_row"))
+    hashed = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    placed = mix(hashed, shares, key, source, [row], block_rows, period).groupBy(F.col(key).alias(own_key), F.col(row).alias(own_row)).agg(F.count("*").alias(times))
+    joined = hashed.dropDuplicates([key, row]).join(placed, F.col(key).eqNullSafe(F.col(own_key)) & (F.col(row) == F.col(own_row)))
+    return unfold(joined, F.col(times), free_name(joined, "copy")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries that SQL can express: sharding and mixing. They give the rows of any tables."""
+"""DuckDB SQL for the queries that SQL can express: sharding and mixing. They give the rows of any tables (mixing: of up to 1,000 sources, which one schedule holds)."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ def sharding_sql(shards: int = 16, seed: int = 20) -> str:
     return f"""WITH RECURSIVE {CRC32}, docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 hashed AS (SELECT doc_id, octet_length(encode(text)) + 1 AS size, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM docs),
 summed AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM hashed, crc_table),
-numbered AS (SELECT *, row_number() OVER (ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size, text_crc32) - 1 AS row_no FROM summed),
+numbered AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), size, text_crc32)), doc_id NULLS FIRST, size, text_crc32) - 1 AS row_no FROM summed),
 size AS (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM (SELECT count(*) AS n, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS a FROM docs)),
 walk(row_no, step, y) AS (SELECT row_no, 0, row_no FROM numbered UNION ALL SELECT row_no, step, l * b + r FROM {steps})
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(y % {shards} AS INT) AS shard, CAST(y // {shards} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, row_no, y AS position FROM walk JOIN numbered USING (row_no), size WHERE step > 0 AND y < n"""
@@ -30,14 +30,16 @@ def mixing_sql() -> str:
     return f"""WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, '') AS source FROM documents), counts AS (SELECT source, count(*) AS n, count(*) OVER () AS k, sum(count(*)) OVER () AS total FROM docs GROUP BY source),
 exact AS (SELECT *, greatest({PERIOD}, 8 * k) AS d, (greatest({PERIOD}, 8 * k) - k) * ({SIZE_TENTHS} * n * k + {10 - SIZE_TENTHS} * total) AS num, 10 * k * total AS den FROM counts),
 base AS (SELECT source, n, d, CAST(1 + num // den AS BIGINT) AS base, num % den AS left_over FROM exact),
-plan AS (SELECT source, n, CAST(d AS BIGINT) AS d, base + CASE WHEN row_number() OVER (ORDER BY left_over DESC, source) <= d - sum(base) OVER () THEN 1 ELSE 0 END AS share FROM base),
+plan AS (SELECT source, n, sum(n) OVER () AS total, CAST(d AS BIGINT) AS d, base + CASE WHEN row_number() OVER (ORDER BY left_over DESC, source) <= d - sum(base) OVER () THEN 1 ELSE 0 END AS share FROM base),
 packed AS (SELECT list(share ORDER BY source) AS s, list(source ORDER BY source) AS names, max(d) AS d FROM plan),
 sim(t, done, pick) AS (SELECT 0::BIGINT, list_transform(s, lambda x: 0::BIGINT), NULL::BIGINT FROM packed UNION ALL
 SELECT t + 1, list_transform(done, lambda c, i: CASE WHEN i = p THEN c + 1 ELSE c END), p FROM (SELECT t, done, (list_min(list_filter(list_transform(range(1, len(s) + 1), lambda i: CASE WHEN done[i] < s[i] AND {release} THEN {{'due': {due}, 'i': i}} END), lambda x: x IS NOT NULL))).i AS p FROM sim, packed WHERE t < d)),
 schedule AS (SELECT names[pick] AS source, t - 1 AS slot_in_period, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM sim, packed WHERE pick IS NOT NULL),
-slots AS (SELECT max((((n + {BLOCK_ROWS - 1}) // {BLOCK_ROWS}) * d + share - 1) // share) AS slots FROM plan),
-given AS (SELECT p.*, (slots // d) * share + (SELECT count(*) FROM schedule c WHERE c.source = p.source AND slot_in_period < slots % d) AS blocks FROM plan p, slots),
+blocks AS (SELECT least({BLOCK_ROWS}, 1 + min(total * share // d) // 100)::BIGINT AS b FROM plan),
+ends AS (SELECT b, max((((n - 1) // b // share) * d + slot_in_period) * b + (n - 1) % b) AS last FROM plan p JOIN blocks ON true JOIN schedule c ON c.source = p.source AND c.nth = ((n - 1) // b) % share GROUP BY b),
+given AS (SELECT p.*, b, last, CAST(ceil((last // b + 1) * share / d) AS BIGINT) + 2 AS blocks FROM plan p, ends),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST) - 1 AS row_no FROM docs),
-placed AS (SELECT doc_id, source, share, d, n, row_no, unnest(range(0, (blocks * {BLOCK_ROWS} - row_no + n - 1) // n)) AS epoch FROM numbered JOIN given USING (source)),
-blocked AS (SELECT *, (epoch * n + row_no) // {BLOCK_ROWS} AS block, (epoch * n + row_no) % {BLOCK_ROWS} AS inside FROM placed)
-SELECT doc_id, b.source, CAST(epoch AS INT) AS epoch, CAST(block AS BIGINT) AS block, CAST((block // share) * d + slot_in_period AS BIGINT) AS slot, CAST(((block // share) * d + slot_in_period) * {BLOCK_ROWS} + inside AS BIGINT) AS position FROM blocked b JOIN schedule c ON c.source = b.source AND c.nth = block % share"""
+placed AS (SELECT doc_id, source, share, d, n, b, last, row_no, unnest(range(0, (blocks * b - row_no + n - 1) // n)) AS epoch FROM numbered JOIN given USING (source)),
+blocked AS (SELECT *, (epoch * n + row_no) // b AS block, (epoch * n + row_no) % b AS inside FROM placed),
+mixed AS (SELECT doc_id, k.source, epoch, block, (block // share) * d + slot_in_period AS slot, b, inside, last FROM blocked k JOIN schedule c ON c.source = k.source AND c.nth = block % share)
+SELECT doc_id, source, CAST(epoch AS INT) AS epoch, CAST(block AS BIGINT) AS block, CAST(slot AS BIGINT) AS slot, CAST(slot * b + inside AS BIGINT) AS position FROM mixed WHERE slot * b + inside <= last"""

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from emberline.llm import mixing, sharding
 from emberline.llm.numbering import number_rows
+from pyspark.sql import functions as F
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 97, 1000])
@@ -77,12 +78,45 @@ def test_mix_to_given_shares(spark):
     rows = mixing.mix(df, shares, block_rows=3).orderBy("position").collect()
     assert {r.doc_id for r in rows} == set(range(100))
     count = Counter(r.source for r in rows)
-    assert abs(count["a"] - count["b"]) <= 3 and count["b"] >= 90
+    assert abs(count["a"] - count["b"]) <= 3 and count["a"] == 90
     with pytest.raises(ValueError):
         mixing.mix(df, shares.where("source = 'a'"))
 
 
+def test_a_rare_source_does_not_inflate_the_mix(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "source")
+    rare = spark.createDataFrame([(-1, "one row")] + [(-i, "five rows") for i in range(2, 7)] + [(-7, None), (-8, "")], "doc_id long, source string")
+    everything = docs.union(rare)
+    rows = mixing.mix(everything).collect()
+    assert sorted(r.position for r in rows) == list(range(len(rows)))
+    assert {r.doc_id for r in rows} == {r.doc_id for r in everything.collect()}
+    assert len(rows) <= 1.25 * everything.count()
+    assert max(rows, key=lambda r: r.position).epoch == 0  # it ends with a row that is placed for the first time
+
+
+def test_many_sources_are_mixed_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 6)
+    df = spark.createDataFrame([(i, f"s{min(i % 30, 17)}") for i in range(1200)], "doc_id long, source string")
+    rows = sorted(mixing.mix(df, period=60).collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(len(rows))) and {r.doc_id for r in rows} == set(range(1200))
+    plan = {r.source: r.share / r.d * r.grp_share / r.grp_d for r in mixing._plan(df.groupBy("source").agg(F.count("*").alias("n")), None, 60).collect()}
+    assert len(plan) == 18 and sum(plan.values()) == pytest.approx(1)
+    block = max(Counter((r.source, r.block) for r in rows).values())
+    seen = Counter()
+    for i, r in enumerate(rows, 1):
+        seen[r.source] += 1
+        assert i % block or abs(seen[r.source] / block - i / block * plan[r.source]) < 2
+
+
+def test_more_sources_than_one_schedule_holds(spark):
+    df = spark.range(12_600).selectExpr("id AS doc_id", "CAST(id AS STRING) AS source")
+    rows = mixing.mix(df)
+    assert rows.agg(F.countDistinct("doc_id")).first()[0] == 12_600 and rows.count() < 16_000
+
+
 def test_mixed_documents_keep_columns(odd):
+    names = ("_times", "_from", "unfold_times", "placed_key", "placed_row", "copy", "grp", "share", "d", "most", "q", "block", "nth", "epoch", "_md5", "_bucket")
+    odd = odd.selectExpr("*", *[f"1 AS {c}" for c in names])
     out = mixing.mixed_documents(odd, block_rows=2, period=10)
     assert out.columns == odd.columns
     assert {r.doc_id for r in out.collect()} == {1, 2, 3, 4, 5, 6, None}
