@@ -8,8 +8,10 @@ sample's latent vectors, scaled to length one, go to every task; each document's
 all of them are computed in blocks, and its NEIGHBOURS nearest vote with their similarity.
 
 Cases: null and empty texts have no terms; they, and any document without a positive cosine, get the
-sample's share of label 1 (0.5 without a sample); ties among neighbours go to the earlier in the
-sample's order; repeated rows are scored each; an empty table gives no rows; other columns are unread.
+sample's share of label 1 (0.5 without a sample); cosines are rounded to 2^-20, and ties among
+neighbours go to the earlier in the sample's order (hash of the key, key, hash of the text); repeated
+rows are scored each, but equal rows count once in the sample; an empty table gives no rows; other
+columns are unread.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ NEIGHBOURS = 15
 #: The vote of a neighbour is its cosine to this power.
 SHARPNESS = 8
 BLOCK = 512
+#: Steps of a cosine.
+ONE = 1 << 20
 THRESHOLD = 0.3
 #: Text bytes and rows that are vectors at one time: 256 rows are 8 MB.
 SLICE_BYTES, SLICE_ROWS = 1 << 19, 256
@@ -145,10 +149,12 @@ class Space:
         out = np.full(len(vectors), self.prior)
         k = min(NEIGHBOURS, len(self.labels))
         for a in range(0, len(vectors) if k else 0, BLOCK):
-            cosines = vectors[a : a + BLOCK] @ self.vectors.T
-            # equal cosines: the earlier row first
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k] if k < cosines.shape[1] else np.tile(np.arange(k), (len(cosines), 1))
-            weight = np.maximum(np.take_along_axis(cosines, near, 1), 0.0).astype(np.float64) ** SHARPNESS
+            steps = np.rint((vectors[a : a + BLOCK] @ self.vectors.T) * np.float32(ONE))
+            near = np.argpartition(-steps, k - 1, axis=1)[:, :k] if k < steps.shape[1] else np.tile(np.arange(k), (len(steps), 1))
+            least = np.take_along_axis(steps, near, 1).min(1)
+            for i in np.nonzero((steps >= least[:, None]).sum(1) > k)[0]:  # ties: the earlier come first
+                near[i] = np.argsort(-steps[i], kind="stable")[:k]
+            weight = np.maximum(np.take_along_axis(steps, near, 1) / ONE, 0.0).astype(np.float64) ** SHARPNESS
             total = weight.sum(1)
             some = total > 0
             out[a : a + BLOCK][some] = (weight * self.labels[near]).sum(1)[some] / total[some]
@@ -158,22 +164,26 @@ class Space:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", most_labelled: int = MOST_LABELLED) -> Space:
     """Fits the space to at most ``most_labelled`` labelled documents, in one task, as the sample is bounded."""
     marked = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
-    chosen = stored(marked.orderBy(F.xxhash64("key"), "key").limit(most_labelled), "quality-sample")
-    sample = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "key")
+    chosen = stored(marked.orderBy(F.xxhash64("key"), "key", "label").limit(most_labelled), "quality-sample")
+    rows = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
+    sample = rows.join(F.broadcast(chosen), "key").select("key", F.xxhash64("text").alias("name"), "label", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES, SLICE_ROWS):
-            rows = [r.tobytes() for r in terms(batch.column(1).to_pylist()).astype(np.float16)]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["one", "key", "label", "counts"])
+            counts = [r.tobytes() for r in terms(batch.column(3).to_pylist()).astype(np.float16)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.binary())], ["key", "name", "label", "counts"])
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("key", kind="stable").head(most_labelled)
+        rows = rows.sort_values("n")
         space = Space(np.stack([np.frombuffer(c, np.float16) for c in rows["counts"]]).astype(np.float32), rows["label"].to_numpy())
         return pd.DataFrame({name: [value.tobytes()] for name, value in vars(space).items() if name != "prior"})
 
-    kind = sample.schema["key"].dataType.simpleString()
-    made = sample.select("key", "text", "label").mapInArrow(counted, f"one int, key {kind}, label int, counts binary")
-    found = made.groupBy("one").applyInPandas(fitted, "labels binary, weights binary, projection binary, vectors binary").collect()
+    kind = rows.schema["key"].dataType.simpleString()
+    made = sample.mapInArrow(counted, f"key {kind}, name long, label int, counts binary")
+    # a key may have many documents, so the bound holds for rows as well
+    bounded = made.dropDuplicates(["key", "name", "label"]).orderBy(F.xxhash64("key"), "key", "name", "label").limit(most_labelled)
+    bounded = bounded.select(F.lit(0).alias("one"), F.monotonically_increasing_id().alias("n"), "label", "counts")
+    found = bounded.groupBy("one").applyInPandas(fitted, "labels binary, weights binary, projection binary, vectors binary").collect()
     space = Space.__new__(Space)
     part = lambda name: np.frombuffer(found[0][name], np.float32) if found else np.empty(0, np.float32)
     space.labels, space.weights = part("labels"), part("weights") if found else np.ones(FEATURES, np.float32)
