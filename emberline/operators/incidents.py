@@ -9,7 +9,8 @@ from emberline.functions import columns as C
 
 from .graph import components
 
-WEIGHTS = {"shared_event": 120, "shared_entity": 80, "same_executable": 15, "same_user": 10, "temporal_proximity": 5}  # fixed values
+#: Weights, thresholds, evidence fields, rules that only add context, and the order of stages and severities.
+WEIGHTS = {"shared_event": 120, "shared_entity": 80, "same_executable": 15, "same_user": 10, "temporal_proximity": 5}
 LEAST_SCORE, NEAR_SECONDS = 30, 300
 EXECUTABLE_FIELDS, USER_FIELDS = ("object_name", "object_path", "executed_name", "process_name", "image"), ("user", "username", "account", "account_name")
 CONTEXTUAL = ("registry_persistence", "scheduled_task_persistence", "browser_activity", "logon_activity", "process_execution")

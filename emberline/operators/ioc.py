@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from emberline.functions import columns as C
 
-#: Patterns of indicators.
+#: Patterns of indicators, file types, text fields and the report's groups.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b"
 IPV6 = r"\b(?:[A-Fa-f0-9]{1,4}:){2,7}[A-Fa-f0-9]{1,4}\b|\b(?:[A-Fa-f0-9]{1,4}:){1,7}:\b"
-URL = r"\b[hH][tT][tT][pP][sS]?://[^\s\"'<>]+"
+URL = r"(?i)\bhttps?://[^\s\"'<>]+"
 DOMAIN = r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,24}\b"
 HASHES = (("hash_sha256", 64), ("hash_sha1", 40), ("hash_md5", 32))
 EXECUTABLES, SCRIPTS = (".exe", ".dll", ".sys", ".scr", ".com", ".msi"), (".ps1", ".vbs", ".js", ".bat", ".cmd", ".hta")
@@ -214,6 +214,7 @@ CANDIDATE_FIELDS = {
     "ip": "ip_address", "ipv4": "ip_address", "ipv6": "ip_address", "sha256": "sha256", "sha1": "sha1", "md5": "md5", "hash": "hash", "user": "username", "username": "username", "account": "username",
     "ransom_note": "filename", "readme": "filename",
 }
+#: What is noise.
 LOW_VALUE = ("", "-", ".", "none", "null", "unknown", "true", "false", "0", "1")
 NOISE_PATHS = ("c:\\windows\\system32", "c:\\windows\\winsxs", "c:\\program files\\windows defender", "c:\\programdata\\microsoft")
 NOISE_SERVICES = ("appreadiness", "ksecpkg", "edgeupdate", "edgeupdatem", "w32time", "eventlog", "rpcss", "lanmanserver", "lanmanworkstation")

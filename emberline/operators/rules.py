@@ -32,6 +32,7 @@ SINGLE = {
     "browser_activity": ("browser", {"url_visit": ("Browser page visit", "Browser page visit observed."), "file_download": ("Browser file download", "Browser file download observed.")}, "low"),
 }
 RULES = (*SINGLE, "powershell_execution", "browser_download_execution")
+#: Program names.
 POWERSHELL = ("powershell.exe", "powershell_ise.exe", "pwsh.exe")
 #: Indicator to pattern and label.
 INDICATORS = {
@@ -43,6 +44,7 @@ INDICATORS = {
     "download_cradle": (r"net\.webclient|downloadstring|downloaddata|invoke-webrequest|\biwr\b", "remote download cradle"),
     "invoke_expression": (r"\biex\b|invoke-expression", "Invoke-Expression / IEX"),
 }
+#: Indicators by severity, and the days between a download and its execution.
 HIGH, MEDIUM = ("reflective_load", "base64_payload"), ("execution_policy_bypass", "encoded_command", "download_cradle", "invoke_expression")
 WINDOW_DAYS = 7
 
