@@ -79,17 +79,31 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 FILTER_BITS = 24
 
 
+def _filter(wanted: DataFrame, hashes: str, word: str, bits: str) -> DataFrame:
+    return wanted.groupBy(F.shiftright(F.shiftrightunsigned(hashes, 64 - FILTER_BITS), 6).alias(word)).agg(F.bit_or(_bit(hashes)).alias(bits))
+
+
+def _bit(hashes: str) -> Column:
+    return F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({hashes}, {64 - FILTER_BITS}) & 63 AS INT))")
+
+
+def possibly_in(rows: DataFrame, hashes: str, wanted: DataFrame, wanted_hashes: str, mark: str) -> DataFrame:
+    """All rows, with ``mark``: whether the hash may be among ``wanted``. True for all that are, and by chance for some that aren't."""
+    word, bits = free_name(rows, "filter_word"), free_name(rows, "filter_bits")
+    held = F.broadcast(_filter(wanted, wanted_hashes, word, bits))  # FILTER_BITS bounds it
+    joined = rows.join(held, F.shiftright(F.shiftrightunsigned(hashes, 64 - FILTER_BITS), 6) == F.col(word), "left")
+    return joined.withColumn(mark, F.coalesce(F.col(bits).bitwiseAND(_bit(hashes)) != 0, F.lit(False))).drop(word, bits)
+
+
 def may_be_in(rows: DataFrame, hashes: str, wanted: DataFrame, wanted_hashes: str) -> DataFrame:
     """The rows whose hash may be among ``wanted``: all that are, and by chance some that aren't.
 
     It saves a shuffle of rows that have no partner. With many wanted hashes more rows come through.
     """
     word, bits = free_name(rows, "filter_word"), free_name(rows, "filter_bits")
-    place = lambda h: F.shiftrightunsigned(h, 64 - FILTER_BITS)
-    bit = lambda h: F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({h}, {64 - FILTER_BITS}) & 63 AS INT))")
-    held = wanted.groupBy(F.shiftright(place(wanted_hashes), 6).alias(word)).agg(F.bit_or(bit(wanted_hashes)).alias(bits))
-    marked = rows.join(F.broadcast(held), F.shiftright(place(hashes), 6) == F.col(word))  # FILTER_BITS bounds it
-    return marked.where(F.col(bits).bitwiseAND(bit(hashes)) != 0).drop(word, bits)
+    held = F.broadcast(_filter(wanted, wanted_hashes, word, bits))  # FILTER_BITS bounds it
+    marked = rows.join(held, F.shiftright(F.shiftrightunsigned(hashes, 64 - FILTER_BITS), 6) == F.col(word))
+    return marked.where(F.col(bits).bitwiseAND(_bit(hashes)) != 0).drop(word, bits)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

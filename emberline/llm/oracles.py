@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries that SQL can express: sharding and mixing. They give the rows of any tables (mixing: of up to 1,000 sources, which one schedule holds)."""
+"""DuckDB SQL for the queries that SQL can express. They give the rows of any tables (mixing: of up to 1,000 sources, which one schedule holds)."""
 
 from __future__ import annotations
 
@@ -43,3 +43,9 @@ placed AS (SELECT doc_id, source, share, d, n, b, last, row_no, unnest(range(0,
 blocked AS (SELECT *, (epoch * n + row_no) // b AS block, (epoch * n + row_no) % b AS inside FROM placed),
 mixed AS (SELECT doc_id, k.source, epoch, block, (block // share) * d + slot_in_period AS slot, b, inside, last FROM blocked k JOIN schedule c ON c.source = k.source AND c.nth = block % share)
 SELECT doc_id, source, CAST(epoch AS INT) AS epoch, CAST(block AS BIGINT) AS block, CAST(slot AS BIGINT) AS slot, CAST(slot * b + inside AS BIGINT) AS position FROM mixed WHERE slot * b + inside <= last"""
+
+
+EXACT_DEDUP = r"""WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+row_number() OVER (PARTITION BY body ORDER BY doc_id) = 1 AS kept, sha256(body) AS text_sha256
+FROM texts WINDOW same AS (PARTITION BY body)"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, mixing, oracles, pii, quality, secret_scan, sharding, simhash, tokens, toxicity
+from . import audio, decontaminate, mixing, oracles, pii, quality, radix, secret_scan, sharding, simhash, tokens, toxicity
 from .common import held_out, shared_dir, stored, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,6 +76,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "epoch", "block", "slot", "position")
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = radix.classes(table(spark, sf_dir, "documents"))
+    names = {"keep": "keep_id", "size": "group_size", "sha256": "text_sha256"}
+    return found.withColumnsRenamed({"key": "doc_id", **names}).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -88,8 +94,9 @@ def queries() -> dict:
         "op8_pii": op8_pii,
         "op9_decontamination": op9_decontamination,
         "op10_mixing": op10_mixing,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": oracles.sharding_sql(16, 20), "op10_mixing": oracles.mixing_sql()}
+    return {"op2_sharding": oracles.sharding_sql(16, 20), "op10_mixing": oracles.mixing_sql(), "op13_exact_dedup": oracles.EXACT_DEDUP}

@@ -6,7 +6,8 @@ from emberline.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, small, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    for name_ in ("documents", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {name_} AS SELECT * FROM '{small}/{name_}.parquet'")
     df, rel = queries.queries()[name](spark, small), con.sql(queries.oracle_sql()[name])
     cols = [c for c in sorted(rel.columns) if c in df.columns]
     assert cols == sorted(df.columns)
