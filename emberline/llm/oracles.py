@@ -58,3 +58,19 @@ asked AS (SELECT DISTINCT i, item_id, term FROM (SELECT row_number() OVER () AS
 scores AS (SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM asked JOIN weights USING (term) JOIN held USING (term), corpus GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS place FROM scores WHERE score > 0)
 SELECT item_id, CAST(place AS INT) AS rank, doc_id, score FROM ranked WHERE place <= 50"""
+
+PREFIX_TRIE = f"""WITH {CRC32},
+said AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+coded AS (SELECT c, list_transform(regexp_extract_all(hex(encode(c::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM (SELECT DISTINCT c FROM said)),
+plan AS (SELECT c, c - c % 5 AS donor, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 9 AS h FROM coded, crc_table),
+taken AS (SELECT p.c, 0 AS part, s.pos, s.role, s.text FROM plan p JOIN said s ON s.c = p.donor AND s.pos < p.h UNION ALL SELECT p.c, 1, s.pos, s.role, s.text FROM plan p JOIN said s ON s.c = p.c AND s.pos >= p.h),
+listed AS (SELECT c, list(struct_pack(r := role, x := text) ORDER BY part, pos) AS turns FROM taken GROUP BY c),
+whole AS (SELECT p.c, turns, coalesce(len(turns), 0) AS n FROM plan p LEFT JOIN listed USING (c)),
+paths AS (SELECT c, n, depth, CASE WHEN depth > 0 THEN md5(to_json(turns[1:depth])::VARCHAR) ELSE '' END AS key, CASE WHEN depth > 0 THEN octet_length(encode(turns[depth].x)) ELSE 0 END AS size FROM (SELECT *, unnest(range(0, n + 1)) AS depth FROM whole)),
+nodes AS (SELECT key, depth, min(c) AS owner, count(*) AS n_convs, max(size) AS size, bool_and(n = depth) AS leaf, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = depth), '')) AS ends_sha256 FROM paths GROUP BY key, depth),
+owned AS (SELECT c, depth, owner FROM paths JOIN nodes USING (key, depth)),
+linked AS (SELECT v.*, a.owner AS parent FROM nodes v LEFT JOIN owned a ON a.c = v.owner AND a.depth = v.depth - 1),
+below AS (SELECT a.owner, a.depth, sum(v.leaf::INT) AS n_leaves, sum((v.n_convs - 1) * v.size) AS saved_tokens FROM nodes v JOIN owned a ON a.c = v.owner AND a.depth <= v.depth GROUP BY ALL),
+children AS (SELECT parent AS owner, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY ALL)
+SELECT owner AS conv_id, depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM linked JOIN below USING (owner, depth) LEFT JOIN children USING (owner, depth)"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, lexical, mixing, oracles, pii, quality, radix, secret_scan, sharding, simhash, tokens, toxicity
+from . import audio, decontaminate, lexical, mixing, oracles, pii, prefix_trie, quality, radix, secret_scan, sharding, simhash, tokens, toxicity
 from .common import held_out, shared_dir, stored, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,6 +76,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "epoch", "block", "slot", "position")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -98,10 +102,17 @@ def queries() -> dict:
         "op8_pii": op8_pii,
         "op9_decontamination": op9_decontamination,
         "op10_mixing": op10_mixing,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_lexical_search": op12_lexical_search,
         "op13_exact_dedup": op13_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": oracles.sharding_sql(16, 20), "op10_mixing": oracles.mixing_sql(), "op12_lexical_search": oracles.LEXICAL_SEARCH, "op13_exact_dedup": oracles.EXACT_DEDUP}
+    return {
+        "op2_sharding": oracles.sharding_sql(16, 20),
+        "op10_mixing": oracles.mixing_sql(),
+        "op11_prefix_trie": oracles.PREFIX_TRIE,
+        "op12_lexical_search": oracles.LEXICAL_SEARCH,
+        "op13_exact_dedup": oracles.EXACT_DEDUP,
+    }
