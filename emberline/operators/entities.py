@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from emberline.functions import columns as C
 
-from .graph import components, written
+from .graph import components
+from .store import written
 
 WEAK, MEDIUM, STRONG = 1, 2, 3
 

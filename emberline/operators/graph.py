@@ -1,44 +1,71 @@
-"""Connected components on Spark."""
+"""Connected components on Spark, by alternating star contraction."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from .scan import ranked
+from .store import removed, written
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every node ties its larger neighbours to the smallest node that it knows, itself included."""
+    both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir, which all executors share; one is set only where none is."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-ck-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every node ties its smaller neighbours and itself to the smallest of them."""
+    least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
+    own = least.select("hi", F.col("m").alias("lo"))
+    return edges.join(least, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(own).distinct()
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The table, written to the shared folder and read back: what follows doesn't repeat what came before."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _state(edges: DataFrame) -> tuple:
+    """Equal for equal sets of edges."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.bit_xor(F.xxhash64("lo", "hi", F.lit(1)))).first())
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """hi, lo: every node but the smallest of its component, with that smallest one. ``edges`` are pairs of integers, hi > lo.
+
+    Large and small stars take turns until nothing changes; each leaves the components as they are and
+    brings nodes nearer to their smallest one, so that the number of rounds grows with the logarithm of
+    the longest path. A node's smallest neighbour comes from partial aggregates, and the join back to its
+    edges is of a kind that adaptive execution splits where one node has very many.
+    """
+    now = written(edges.distinct(), "edges")
+    before, state = None, _state(now)
+    while state != before:
+        large = written(_large_star(now), "large-star")
+        removed(now)
+        now = written(_small_star(large), "small-star")
+        removed(large)
+        before, state = state, _state(now)
+    return now
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: every node that an edge names, with the smallest node that it reaches.
 
-    Label propagation with pointer jumping; every round is written out, and the loop ends when no
-    label changes. Rounds grow with the logarithm of the longest path.
+    Nodes that are not integers are numbered in their order first. Null is no node: an edge to it names
+    the other end only. An edge from a node to itself names it.
     """
-    one_way = edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
-    links = written(one_way.union(one_way.select("other", "node")).distinct(), "links")
-    labels = written(links.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), "labels")
-    while True:
-        heard = links.join(labels.select(F.col("node").alias("other"), F.col("root").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
-        lower = labels.join(heard, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jumped = lower.join(labels.select(F.col("node").alias("root"), F.col("root").alias("far")), "root").select("node", "old", F.least("root", "far").alias("root"))
-        new = written(jumped, "labels")
-        labels = new.select("node", "root")
-        if new.where("root <> old").isEmpty():
-            return labels
+    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    oriented = lambda x, y: (F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo"))
+    if isinstance(edges.schema[a].dataType, IntegralType):
+        kept = written(pairs.distinct(), "pairs")
+        found = stars(kept.where("a <> b").select(*oriented("a", "b")))
+        nodes = kept.select(F.explode(F.array("a", "b")).alias("node")).where("node IS NOT NULL").distinct()
+        return nodes.join(found, nodes.node == found.hi, "left").select("node", F.coalesce("lo", "node").alias("root"))
+    kept = written(pairs.distinct(), "pairs")
+    names = kept.select(F.explode(F.array("a", "b")).alias("node")).where("node IS NOT NULL").distinct()
+    nodes = written(ranked(names, [F.col("node").asc()], "id"), "nodes")
+    number = lambda end: nodes.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id"))
+    numbered = kept.where("a <> b").join(number("a"), "a").join(number("b"), "b")
+    found = stars(numbered.select(*oriented("a_id", "b_id")))
+    rooted = nodes.join(found, nodes.id == found.hi, "left").select("node", F.coalesce("lo", "id").alias("root_id"))
+    return rooted.join(nodes.select(F.col("id").alias("root_id"), F.col("node").alias("root")), "root_id").select("node", "root")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import written
+from .store import written
 
 #: Bits of a row's place in its part, as Spark numbers rows within partitions.
 PLACE_BITS = 33

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from emberline.functions import columns as C
 from emberline.operators import incidents as inc
 from emberline.operators import ioc, rollups, rules, timeline
-from emberline.operators.graph import written
+from emberline.operators.store import written
 
 from .adapters import CLUSTERS_SQL, EVT, EVTX_EVENTS_SQL, FINDINGS_SQL, INCIDENTS_SQL, MFT, SRU_NET, TL_SQL, evt, evtx_tl, findings, iso_sql, tl, view
 from .core import joined, pair

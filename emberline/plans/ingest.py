@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberline.functions import columns as C
-from emberline.operators.graph import shared_path
+from emberline.operators.store import shared_path
 from emberline.sources import files, records
 
 from .adapters import EVT, SEP, view
