@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.operators.store import shared_path as shared_dir
+from emberline.operators.store import written as stored
+
+__all__ = ["FILTER_BITS", "SLICE_BYTES", "free_name", "held_out", "may_be_in", "possibly_in", "shared_dir", "slices", "stored", "table", "text_or_empty"]
+
 #: Bytes of text that a task holds as Python or numpy objects at one time.
 SLICE_BYTES = 2 << 20
 
@@ -19,27 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (local tests)
-    is a folder of this machine used, and set as the session's checkpoint folder.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-ck-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends here, lost executors don't matter."""
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -26,8 +26,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.operators.graph import components
+
 from .common import free_name, slices, stored, text_or_empty
-from .components import components
 
 SEGMENTS, SEGMENT_BITS = 16, 4
 MOST_IN_CELL = 64

@@ -139,3 +139,26 @@ def test_decontamination_on_odd_rows(spark, odd, none):
     assert left.count() == 5 and {"found_key", "found_hash", "item", "diagonal"} <= set(left.columns)
     assert decontaminate.find_contamination(none, bench).count() == 0
     assert decontaminate.find_contamination(odd, bench.where("false")).count() == 0
+
+
+def test_windows_that_read_alike_are_given_once():
+    rng = np.random.default_rng(2)
+    for words_of, size in ((3, 4), (1, 5), (2, 1), (50, 6)):
+        own = rng.integers(1, words_of + 1, 60).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        low = rng.integers(-size + 1, 55, 12)
+        high = low + rng.integers(0, 9, 12)
+        line = sorted({d for a, b in zip(low, high, strict=True) for d in range(a, b + 1)})
+        reads = {d: (max(0, -d), tuple(own[max(0, d) : max(0, d + size)])) for d in line}
+        want = {min(d for d in line if reads[d] == r): r for r in reads.values()}
+        got = list(decontaminate.distinct_windows(own, low, high, size))
+        assert {reads[d] for d in got} == set(want.values())
+        assert set(want) <= set(got)
+
+
+def test_one_word_said_over_and_over(spark):
+    docs = [(1, "the " * 20_000), (2, "so " + "the " * 300 + "end"), (3, "the cat"), (4, "a b " * 400)]
+    items = [(i, "the " * 40) for i in range(100)] + [(100, "a b " * 20)]
+    found = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    rows = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.n_same, r.item_words) for r in found.collect()}
+    want = {(d, i): (start, 40, 40, 40) for i in range(100) for d, start in ((1, 0), (2, 1))} | {(4, 100): (0, 40, 40, 40)}
+    assert rows == want
