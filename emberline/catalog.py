@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from emberline.plans import analysis, core, ingest
+from emberline.plans import analysis, core, ingest, whole
 
 PAIRS = core.PAIRS
-assert analysis and ingest  # they register their queries
+assert analysis and ingest and whole  # they register their queries
 
 
 def queries() -> dict:

@@ -55,21 +55,32 @@ def entities(timeline: DataFrame) -> DataFrame:
 def resolve(events: DataFrame) -> DataFrame:
     """event_id, entity_id for events with several keys (``identity_keys``); does not depend on order.
 
-    Strong and medium keys unite the events that share them. An event with weak keys only joins the
-    one united group that its weak keys lead to; with none or several, it gets the entity of its own
-    strongest key. (Here order-free, where a sequential run lets later events take weak keys over.)
+    Strong and medium keys unite the events that share them. An event with weak keys only joins the one
+    united group that its weak keys lead to. Those that lead to none are united by the weak keys they
+    share; one that leads to several is ambiguous and gets the entity of its own strongest key. A group's
+    entity is that of its strongest key, the smallest digest among equals. (Here order-free, where
+    a sequential run lets later events take weak keys over.)
     """
-    keyed = written(events.where(F.size("identity_keys") > 0).select("event_id", "identity_keys", F.explode("identity_keys").alias("k")).select("event_id", entity_id_of(F.col("identity_keys")).alias("own"), C.digest("k.kind", "k.entity_type", "k.value").alias("key"), F.col("k.strength").alias("strength")), "keys")
-    firm = keyed.where(F.col("strength") >= MEDIUM)
-    roots = components(firm.select(F.concat(F.lit("e"), "event_id").alias("a"), F.concat(F.lit("k"), "key").alias("b")))
-    grouped = roots.where("node LIKE 'e%'").select(F.substring("node", 2, 1000).alias("event_id"), "root")
-    best = keyed.join(grouped, "event_id").groupBy("root").agg(F.min_by("key", F.struct((-F.col("strength")), "key")).alias("entity_id"))
-    united = grouped.join(best, "root").select("event_id", "entity_id")
+    own = events.where(F.size("identity_keys") > 0).select("event_id", entity_id_of(F.col("identity_keys")).alias("own"), F.explode("identity_keys").alias("k"))
+    keyed = written(own.select("event_id", "own", C.digest("k.kind", "k.entity_type", "k.value").alias("key"), F.col("k.strength").alias("strength")), "keys")
+    united = written(_united(keyed.where(F.col("strength") >= MEDIUM), keyed), "united")
     weak = keyed.where(F.col("strength") == WEAK)
-    alone = weak.join(united.select("event_id"), "event_id", "left_anti")
-    leads = weak.join(united, "event_id").select("key", F.col("entity_id").alias("led")).distinct()
-    joined = alone.join(leads, "key", "left").groupBy("event_id", "own").agg(F.collect_set("led").alias("led"))
-    return united.union(joined.select("event_id", F.when(F.size("led") == 1, F.get("led", F.lit(0))).otherwise(F.col("own"))))
+    alone = written(weak.join(united.select("event_id"), "event_id", "left_anti"), "weak-only")
+    # what a weak key leads to: the one group, or that there are several
+    leads = weak.join(united, "event_id").groupBy("key").agg(F.min("entity_id").alias("low"), F.max("entity_id").alias("high"))
+    led = alone.join(leads, "key", "left").groupBy("event_id").agg(F.min("own").alias("own"), F.min("low").alias("low"), F.max("high").alias("high"))
+    led = written(led, "led")
+    free = alone.join(led.where("low IS NULL").select("event_id"), "event_id", "left_semi")
+    claimed = led.where("low IS NOT NULL").select("event_id", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("own")).alias("entity_id"))
+    return united.union(claimed).union(_united(free, free))
+
+
+def _united(linking: DataFrame, keyed: DataFrame) -> DataFrame:
+    """event_id, entity_id of the events that the keys of ``linking`` unite; the entity is that of the strongest key in ``keyed``."""
+    roots = components(linking.select(F.concat(F.lit("e"), "event_id").alias("a"), F.concat(F.lit("k"), "key").alias("b")))
+    grouped = written(roots.where("node LIKE 'e%'").select(F.substring("node", 2, 1000).alias("event_id"), "root"), "grouped")
+    best = keyed.join(grouped, "event_id").groupBy("root").agg(F.min_by("key", F.struct((-F.col("strength")), "key")).alias("entity_id"))
+    return grouped.join(best, "root").select("event_id", "entity_id")
 
 
 def merge_entities(parts: DataFrame) -> DataFrame:

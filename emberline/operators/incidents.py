@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions import columns as C
 
+from .digests import streamed_sha256
 from .graph import components
+from .scan import ranked
+from .store import written
 
 #: Weights, thresholds, evidence fields, rules that only add context, and the order of stages and severities.
 WEIGHTS = {"shared_event": 120, "shared_entity": 80, "same_executable": 15, "same_user": 10, "temporal_proximity": 5}
@@ -62,7 +67,7 @@ def edges(findings: DataFrame) -> DataFrame:
 
 def clusters(findings: DataFrame) -> DataFrame:
     """correlation_id, root: components of findings joined by events and entities, over the bipartite graph (n links for n findings of an id)."""
-    links = shared_ids(findings).select(F.concat(F.lit("c:"), "correlation_id").alias("a"), F.col("link").alias("b")).distinct()
+    links = shared_ids(findings).select(F.concat(F.lit("c:"), "correlation_id").alias("a"), F.col("link").alias("b"))
     return components(links).where("node LIKE 'c:%'").select(F.substring("node", 3, 1000).alias("correlation_id"), "root")
 
 
@@ -71,78 +76,163 @@ def unique_findings(findings: DataFrame) -> DataFrame:
     return findings.groupBy("correlation_id").agg(F.max_by(F.struct(*findings.columns), F.struct("rule_ord", "tl_pos")).alias("f")).select("f.*")
 
 
-def _distinct(c: str) -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+@dataclass(frozen=True)
+class Incidents:
+    """Incidents as tables: one row for each, and one for each of its links. No row holds what grows with an incident.
+
+    head: incident_id, start_time, end_time, severity, confidence, n_primary, n_supporting, n_events,
+    n_entities, rule_names (of the rules there are).
+    correlations: incident_id, correlation_id, supporting.
+    events, entities: incident_id, id, n (findings of the incident that name it).
+    """
+
+    head: DataFrame
+    correlations: DataFrame
+    events: DataFrame
+    entities: DataFrame
+
+    def only(self, head: DataFrame) -> Incidents:
+        """The incidents of ``head``."""
+        ids = head.select("incident_id")
+        return replace(self, head=head, **{t: getattr(self, t).join(ids, "incident_id", "left_semi") for t in ("correlations", "events", "entities")})
+
+    def primary(self) -> DataFrame:
+        return self.correlations.where("NOT supporting").drop("supporting")
+
+    def supporting(self) -> DataFrame:
+        return self.correlations.where("supporting").drop("supporting")
 
+    def counted(self) -> Incidents:
+        """With n_primary and n_supporting as the links are."""
+        sizes = self.correlations.groupBy("incident_id").agg(*[F.count_if(F.col("supporting") == F.lit(on)).alias(n) for n, on in (("n_primary", False), ("n_supporting", True))])
+        joined = self.head.drop("n_primary", "n_supporting").join(sizes, "incident_id", "left")
+        return replace(self, head=joined.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_primary", "n_supporting")}))
 
-def incidents(findings: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """incident_id, window, severity, confidence, and sorted ids, of each component."""
-    roots = clusters(findings) if roots is None else roots
-    member = unique_findings(findings).join(roots, "correlation_id")
+    def listed(self) -> DataFrame:
+        """The head with sorted arrays of ids. On demand: a row then grows with its incident."""
+        out = self.head
+        links = {"primary_correlation_ids": (self.primary(), "correlation_id"), "supporting_correlation_ids": (self.supporting(), "correlation_id"), "event_ids": (self.events, "id"), "entity_ids": (self.entities, "id")}
+        for name, (rows, column) in links.items():
+            out = out.join(rows.groupBy("incident_id").agg(F.array_sort(F.collect_list(column)).alias(name)), "incident_id", "left").withColumn(name, F.coalesce(name, C.strings()))
+        return out
+
+
+def incidents(findings: DataFrame, roots: DataFrame | None = None) -> Incidents:
+    """The incidents of the findings' components.
+
+    An incident's id is the digest of its findings' ids, which are hashed one after the other.
+    """
+    unique = written(unique_findings(findings), "unique-findings")
+    member = written(unique.join(clusters(unique) if roots is None else roots, "correlation_id"), "members")
+    linked = lambda ids: member.select("root", F.explode(ids).alias("id")).groupBy("root", "id").agg(F.count("*").alias("n"))
+    named = written(streamed_sha256(member, ["root"], "correlation_id", "incident_id", "|"), "incident-ids")
+    events, entities = (written(linked(ids).join(named, "root"), ids) for ids in ("event_ids", "entity_ids"))
+    sized = lambda rows, name: rows.groupBy("root").agg(F.count("*").alias(name))
     worst = F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.max(severity_rank("severity")) + 1)
-    ids = F.array_sort(F.collect_set("correlation_id"))
-    made = member.groupBy("root").agg(
-        ids.alias("primary_correlation_ids"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), worst.alias("severity"), F.min("confidence").alias("confidence"),
-        _distinct("event_ids").alias("event_ids"), _distinct("entity_ids").alias("entity_ids"), F.array_sort(F.collect_set("rule_name")).alias("rule_names"),
-    )
-    return made.drop("root").withColumns({"incident_id": F.sha2(F.array_join("primary_correlation_ids", "|"), 256), "supporting_correlation_ids": C.strings()})
+    span = {"start_time": F.min("start_time"), "end_time": F.max("end_time"), "severity": worst, "confidence": F.min("confidence"), "n_primary": F.count("*")}
+    head = member.groupBy("root").agg(*[c.alias(n) for n, c in span.items()], F.array_sort(F.collect_set("rule_name")).alias("rule_names"))
+    for rows, name in ((events, "n_events"), (entities, "n_entities")):
+        head = head.join(sized(rows, name), "root", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    whole = written(head.join(named, "root").drop("root").withColumn("n_supporting", F.lit(0).cast("long")), "incidents")
+    primary = member.join(named, "root").select("incident_id", "correlation_id", F.lit(False).alias("supporting"))
+    return Incidents(whole, primary, events.drop("root"), entities.drop("root"))
+
+
+# --- windows and moments
+
+#: Levels of bins that windows are covered by: the first is a minute, each next one twice as long.
+LEVELS = 40
+_MINUTE = 60_000_000
 
 
-def enrich(incs: DataFrame, findings: DataFrame, minutes: int = ENRICH_MINUTES) -> DataFrame:
+def _minute(time: Column) -> Column:
+    return F.floor(F.unix_micros(time.cast("timestamp")) / _MINUTE)
+
+
+def window_bins(start: Column, end: Column) -> Column:
+    """The bins, struct<level, bin>, that cover a window without overlap: two of each level at most."""
+    low, past = _minute(start), _minute(end) + 1
+
+    def bins(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        a, b = F.ceil(low / size), F.floor(past / size)
+        own = lambda on, at: F.when((a < b) & on, F.struct(level.alias("level"), at.alias("bin")))
+        return F.array_compact(F.array(own(a % 2 != 0, a), own(b % 2 != 0, b - 1)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), bins))
+
+
+def within_windows(windows: DataFrame, moments: DataFrame, start: str, end: str, time: str) -> DataFrame:
+    """All pairs of a window and a moment in it, both ends included.
+
+    A window is in a few bins of each level, a moment in one, so a long window costs no more than some
+    eighty rows and a moment one row for each level that windows use.
+    """
+    covered = written(windows.select("*", F.explode(window_bins(F.col(start), F.col(end))).alias("_bin")), "window-bins")
+    levels = covered.select("_bin.level").distinct().groupBy().agg(F.array_sort(F.collect_set("level")).alias("l")).first()["l"]
+    own = F.transform(F.array(*[F.lit(x) for x in levels]), lambda x: F.struct(x.alias("level"), F.floor(_minute(F.col(time)) / F.call_function("shiftleft", F.lit(1).cast("long"), x)).alias("bin")))
+    probes = moments.select("*", F.explode(own if levels else F.array().cast("array<struct<level: int, bin: bigint>>")).alias("_bin"))
+    return covered.join(probes, "_bin").where((F.col(time) >= F.col(start)) & (F.col(time) <= F.col(end))).drop("_bin")
+
+
+def enrich(incs: Incidents, findings: DataFrame, minutes: int = ENRICH_MINUTES) -> Incidents:
     """Attaches contextual findings that are primary nowhere: by event, by entity, or by a start near the window."""
-    primary = incs.select(F.explode("primary_correlation_ids").alias("correlation_id")).distinct()
-    context = unique_findings(findings).where(F.col("rule_name").isin(*CONTEXTUAL)).join(primary, "correlation_id", "left_anti")
-    by = lambda col: incs.select("incident_id", F.explode(col).alias("_x")).join(context.select("correlation_id", F.explode(col).alias("_x")), "_x").select("incident_id", "correlation_id")
+    primary = incs.primary().select("correlation_id").distinct()
+    context = written(unique_findings(findings.where(F.col("rule_name").isin(*CONTEXTUAL))).join(primary, "correlation_id", "left_anti"), "context")
+    by = lambda links, ids: links.select("incident_id", "id").join(context.select("correlation_id", F.explode(ids).alias("id")), "id").select("incident_id", "correlation_id")
     margin = F.expr(f"interval {minutes} minutes")
-    windows = incs.select("incident_id", (F.col("start_time") - margin).alias("a"), (F.col("end_time") + margin).alias("b"))
-    days = windows.select("*", F.explode(F.sequence(F.to_date("a"), F.to_date("b"))).alias("day"))
-    near = days.join(context.select("correlation_id", "start_time", F.to_date("start_time").alias("day")), "day").where("start_time >= a AND start_time <= b").select("incident_id", "correlation_id")
-    found = by("event_ids").union(by("entity_ids")).union(near).groupBy("incident_id").agg(F.array_sort(F.collect_set("correlation_id")).alias("_more"))
-    united = F.array_sort(F.array_union("supporting_correlation_ids", F.coalesce("_more", C.strings())))
-    return incs.join(found, "incident_id", "left").withColumn("supporting_correlation_ids", united).drop("_more")
+    windows = incs.head.select("incident_id", (F.col("start_time") - margin).alias("a"), (F.col("end_time") + margin).alias("b"))
+    near = within_windows(windows, context.select("correlation_id", "start_time"), "a", "b", "start_time").select("incident_id", "correlation_id")
+    more = by(incs.events, "event_ids").union(by(incs.entities, "entity_ids")).union(near).withColumn("supporting", F.lit(True))
+    # what is primary in the incident stays so
+    links = incs.correlations.union(more).groupBy("incident_id", "correlation_id").agg(F.min("supporting").alias("supporting"))
+    return replace(incs, correlations=written(links, "links")).counted()
 
 
-def keep_incidents(incs: DataFrame, confidence: float = 0.55, correlations: int = 3, events: int = 5, seconds: float = 10) -> DataFrame:
+def keep_incidents(incs: Incidents, confidence: float = 0.55, correlations: int = 3, events: int = 5, seconds: float = 10) -> Incidents:
     """Those that are sure, large and long enough and not contextual only (no rules count as contextual)."""
     long = F.timestamp_diff("MICROSECOND", F.col("start_time"), F.col("end_time")) >= int(seconds * 1_000_000)
-    return incs.where((F.col("confidence") >= confidence) & (F.size("primary_correlation_ids") >= correlations) & (F.size("event_ids") >= events) & long & ~F.forall("rule_names", lambda r: r.isin(*CONTEXTUAL)))
+    large = (F.col("n_primary") >= correlations) & (F.col("n_events") >= events)
+    return incs.only(incs.head.where((F.col("confidence") >= confidence) & large & long & ~F.forall("rule_names", lambda r: r.isin(*CONTEXTUAL))))
 
 
-def members(incs: DataFrame, findings: DataFrame, which: str = "primary") -> DataFrame:
+def members(incs: Incidents, findings: DataFrame, which: str = "primary") -> DataFrame:
     """incident_id and the findings of its primary or supporting ids; ids that are not known are left out."""
-    ids = incs.select("incident_id", F.explode(f"{which}_correlation_ids").alias("correlation_id")).distinct()
-    return ids.join(unique_findings(findings), "correlation_id")
+    return (incs.primary() if which == "primary" else incs.supporting()).join(unique_findings(findings), "correlation_id")
 
 
-def serialize(incs: DataFrame, findings: DataFrame) -> DataFrame:
-    """incident_id, json: nested, sorted, with ISO times."""
-    shape = F.struct("correlation_id", "rule_name", "title", "severity", "confidence", C.iso("start_time").alias("start_time"), C.iso("end_time").alias("end_time"), "event_ids", "entity_ids", "description", "evidence")
+def serialize(incs: Incidents, findings: DataFrame) -> DataFrame:
+    """incident_id, json: nested, sorted, with ISO times. One text holds an incident, as the format has it; :func:`serialize_lines` doesn't."""
     by_id = lambda a, b: F.when(a["correlation_id"] < b["correlation_id"], -1).when(a["correlation_id"] > b["correlation_id"], 1).otherwise(0)
-    nested = lambda which: members(incs, findings, which).groupBy("incident_id").agg(F.array_sort(F.collect_list(shape), by_id).alias(f"{which}_correlations"))
-    joined = incs.join(nested("primary"), "incident_id", "left").join(nested("supporting"), "incident_id", "left")
+    nested = lambda which: members(incs, findings, which).groupBy("incident_id").agg(F.array_sort(F.collect_list(_shape()), by_id).alias(f"{which}_correlations"))
+    joined = incs.listed().join(nested("primary"), "incident_id", "left").join(nested("supporting"), "incident_id", "left")
     empty = F.slice("primary_correlations", 1, 0)
     whole = F.struct("incident_id", C.iso("start_time").alias("start_time"), C.iso("end_time").alias("end_time"), "severity", "confidence", "event_ids", "entity_ids", "rule_names", "primary_correlations", F.coalesce("supporting_correlations", empty).alias("supporting_correlations"))
     return joined.select("incident_id", F.to_json(whole).alias("json"))
 
 
-def prioritize(incs: DataFrame) -> DataFrame:
-    """priority_rank 1, 2, ...: severity, confidence, findings, events, then id."""
-    order = [F.desc(severity_rank("severity")), F.desc("confidence"), F.desc(F.size("primary_correlation_ids")), F.desc(F.size("event_ids")), F.asc("incident_id")]
-    # incidents are many fewer than events, yet may be many: ranks within a severity, then offsets
-    keyed = incs.withColumn("_s", severity_rank("severity"))
-    sizes = keyed.groupBy("_s").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("_s", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    inside = F.row_number().over(Window.partitionBy("_s").orderBy(*order[1:]))
-    return keyed.withColumn("_r", inside).join(F.broadcast(offsets), "_s").withColumn("priority_rank", F.col("_o") + F.col("_r")).drop("_s", "_o", "_r")  # five severities
+def _shape() -> Column:
+    return F.struct("correlation_id", "rule_name", "title", "severity", "confidence", C.iso("start_time").alias("start_time"), C.iso("end_time").alias("end_time"), "event_ids", "entity_ids", "description", "evidence")
+
+
+def serialize_lines(incs: Incidents, findings: DataFrame) -> DataFrame:
+    """incident_id, supporting, json: a line for each finding of an incident, for incidents of any size."""
+    both = incs.correlations.join(unique_findings(findings), "correlation_id")
+    return both.select("incident_id", "supporting", F.to_json(_shape()).alias("json"))
+
+
+def prioritize(incs: Incidents) -> DataFrame:
+    """The head with priority_rank 1, 2, ...: severity, confidence, findings, events, then id."""
+    order = [F.desc(severity_rank("severity")), F.desc("confidence"), F.desc("n_primary"), F.desc("n_events"), F.asc("incident_id")]
+    return ranked(incs.head, order, "priority_rank").withColumn("priority_rank", F.col("priority_rank") + 1)
 
 
-def incident_timelines(incs: DataFrame, timeline: DataFrame) -> DataFrame:
+def incident_timelines(incs: Incidents, timeline: DataFrame) -> DataFrame:
     """The events of each incident, in timeline order (tl_pos)."""
-    ids = incs.select("incident_id", F.explode("event_ids").alias("event_id")).distinct()
-    return ids.join(timeline, "event_id")
+    return incs.events.select("incident_id", F.col("id").alias("event_id")).join(timeline, "event_id")
 
 
-def attack_chain(incs: DataFrame, findings: DataFrame) -> DataFrame:
+def attack_chain(incs: Incidents, findings: DataFrame) -> DataFrame:
     """stage, stage_order, n, title, confidence (of the first): findings of all incidents by their attack_stage; none without that column."""
     if "attack_stage" not in findings.columns:
         findings = findings.withColumn("attack_stage", F.lit(None).cast("string"))
@@ -152,18 +242,20 @@ def attack_chain(incs: DataFrame, findings: DataFrame) -> DataFrame:
     return known.groupBy(F.col("attack_stage").alias("stage"), "stage_order").agg(F.count("*").alias("n"), first.alias("f")).select("stage", "stage_order", "n", "f.title", "f.confidence")
 
 
-def apply_verdicts(incs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """incs with their verdict applied (verdicts: incident_id, verdict, remove, promote as arrays of ids).
+def apply_verdicts(incs: Incidents, verdicts: DataFrame) -> tuple[Incidents, DataFrame]:
+    """The incidents with verdicts applied (verdicts: incident_id, verdict, remove, promote as arrays of ids), and what changed.
 
     Only PARTIALLY_AGREE changes anything: known ids are removed first, then supporting ones promoted.
+    Changes: incident_id, correlation_id, change (removed or promoted). The head has the verdict.
     """
-    partly = F.coalesce(F.col("verdict") == "PARTIALLY_AGREE", F.lit(False))
-    known = F.array_union("primary_correlation_ids", "supporting_correlation_ids")
-    listed = lambda c: F.when(partly, F.array_intersect(F.coalesce(c, C.strings()), known)).otherwise(C.strings())
-    joined = incs.join(verdicts.select("incident_id", "verdict", "remove", "promote"), "incident_id", "left").withColumns({"removed": listed("remove"), "_up": listed("promote")})
-    left = lambda c: F.array_except(c, "removed")
-    up = F.array_intersect("_up", left("supporting_correlation_ids"))
-    return joined.withColumns({"promoted": F.array_sort(up)}).withColumns({"primary_correlation_ids": F.array_sort(F.array_union(left("primary_correlation_ids"), "promoted")), "supporting_correlation_ids": F.array_sort(F.array_except(left("supporting_correlation_ids"), "promoted")), "removed": F.array_sort("removed")}).drop("_up", "remove", "promote")
+    partly = verdicts.where("verdict = 'PARTIALLY_AGREE'")
+    asked = lambda c: partly.select("incident_id", F.explode(c).alias("correlation_id")).distinct().withColumn(c, F.lit(True))
+    marked = incs.correlations.join(asked("remove"), ["incident_id", "correlation_id"], "left").join(asked("promote"), ["incident_id", "correlation_id"], "left")
+    change = F.when(F.col("remove"), "removed").when(F.col("promote") & F.col("supporting"), "promoted")
+    changed = written(marked.withColumn("change", change).drop("remove", "promote"), "verdicts")
+    left = changed.where("change IS NULL OR change <> 'removed'").select("incident_id", "correlation_id", (F.col("supporting") & F.col("change").isNull()).alias("supporting"))
+    head = incs.head.join(verdicts.select("incident_id", "verdict"), "incident_id", "left")
+    return replace(incs, head=head, correlations=left).counted(), changed.where("change IS NOT NULL").drop("supporting")
 
 
 def verdict_error(raw: str | Column) -> Column:

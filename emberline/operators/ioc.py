@@ -1,19 +1,25 @@
 """Indicators of compromise: extractors, their merge, reports, and the candidates and answers of a model.
 
 Every extractor gives rows of one schema: ioc_type, value, source_artifact, first_seen, last_seen,
-confidence, event_ids, correlation_ids, snippet, severity, and where it came from (pos, emit), which
-with the extractor's number orders them.
+confidence, event_ids, correlation_ids, snippet, severity, and cand_ord: the extractor's number and where
+the row came from, which orders them.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions import columns as C
 
+from .incidents import Incidents
+from .scan import ranked
+from .store import written
+from .tops import first_distinct
+
 #: Patterns of indicators, file types, text fields and the report's groups.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b"
@@ -32,69 +38,90 @@ REPORT_GROUPS = {
 SNIPPETS = 5
 
 
-def _sure(c: str | Column = "confidence") -> Column:
-    return F.coalesce(F.nullif(C.col(c), F.lit(0.0)), F.lit(0.5))
+# --- extractors: what they take from one event, one finding, or an event of a finding
 
 
-def _own(rows: DataFrame, c: str) -> Column:
-    return F.col(c) if c in rows.columns else F.lit(None).cast("string")
+def _sure(c: str | Column = "confidence") -> Column:
+    return F.coalesce(F.nullif(C.col(c), F.lit(0.0)), F.lit(0.5))
 
 
-def _from_event(rows: DataFrame, ioc_type, value, snippet: Column | None = None, source=None, emit: Column | None = None, confidence: Column | None = None, correlation: Column | None = None, severity: Column | None = None) -> DataFrame:
+def _candidate(name: str, ioc_type: str | Column, value: Column, snippet: Column | None = None, source: str | None = None, emit: int | Column = 0, severity: Column | None = None) -> Column:
+    """A candidate of an extractor, with its place among those of one row; left out if it has no type or value."""
     text = lambda v: v if isinstance(v, Column) else F.lit(v)
-    out = rows.select(
-        text(ioc_type).alias("ioc_type"), C.col(value).alias("value"), (text(source) if source is not None else F.coalesce(C.truthy("artifact_type"), F.lit("unknown"))).alias("source_artifact"),
-        F.col("timestamp").alias("first_seen"), F.col("timestamp").alias("last_seen"), (_sure() if confidence is None else confidence).alias("confidence"), F.array("event_id").alias("event_ids"),
-        (C.strings() if correlation is None else F.array(correlation)).alias("correlation_ids"), (F.lit(None).cast("string") if snippet is None else C.truthy(snippet)).alias("snippet"),
-        (F.lit(None).cast("string") if severity is None else severity).alias("severity"), F.col("tl_pos").alias("pos"), (F.lit(0) if emit is None else emit).alias("emit"),
-    )
-    return out.where("ioc_type IS NOT NULL AND value IS NOT NULL")
-
-
-def _from_finding(rows: DataFrame, ioc_type: str, value: str | Column, snippet: Column | None = None, source: str = "registry", emit: int = 0, end: str = "end_time") -> DataFrame:
-    return rows.select(
-        F.lit(ioc_type).alias("ioc_type"), C.truthy(value).alias("value"), F.lit(source).alias("source_artifact"), F.col("start_time").alias("first_seen"), F.col(end).alias("last_seen"), "confidence", "event_ids",
-        F.array("correlation_id").alias("correlation_ids"), (F.lit(None).cast("string") if snippet is None else C.truthy(snippet)).alias("snippet"), "severity", (F.col("rule_ord") * F.lit(1 << 48) + F.col("tl_pos") + F.lit(1 << 56)).alias("pos"), F.lit(emit).alias("emit"),
-    ).where("value IS NOT NULL")
+    null = F.lit(None).cast("string")
+    fields = {
+        "extractor": F.lit(EXTRACTORS.index(name)),
+        "ioc_type": text(ioc_type),
+        "value": value,
+        "source_artifact": text(source) if source else F.coalesce(C.truthy("artifact_type"), F.lit("unknown")),
+        "snippet": null if snippet is None else C.truthy(snippet),
+        "severity": null if severity is None else severity,
+        "emit": text(emit).cast("int"),
+    }
+    kind, made = fields["ioc_type"], F.struct(*[c.alias(n) for n, c in fields.items()])
+    return F.when(kind.isNotNull() & value.isNotNull(), made)
 
 
-def event_lookup(timeline: DataFrame) -> DataFrame:
-    """One event for each id: the last in the timeline."""
-    return timeline.groupBy("event_id").agg(F.max_by(F.struct(*timeline.columns), "tl_pos").alias("e")).select("e.*")
+def _evidence(name: str) -> Column:
+    return C.truthy(F.try_element_at("evidence_str", F.lit(name)))
 
 
-def incident_lookup(incs: DataFrame) -> DataFrame:
-    """correlation_id, incident_ids (sorted): the incidents that have it as primary or supporting."""
-    ids = incs.select("incident_id", F.explode(F.array_union("primary_correlation_ids", "supporting_correlation_ids")).alias("correlation_id"))
-    return ids.groupBy("correlation_id").agg(F.array_sort(F.collect_set("incident_id")).alias("incident_ids"))
+def _own(columns: list[str], c: str) -> Column:
+    return F.col(c) if c in columns else F.lit(None).cast("string")
 
 
-def files(timeline: DataFrame, findings: DataFrame) -> DataFrame:
+def _files(columns: list[str]) -> list[Column]:
     """Paths, other than web addresses: UNC, downloaded, PowerShell, executable or script, other."""
     path, low = F.col("object_path"), F.lower("object_path")
-    rows = timeline.where((path.contains("\\") | path.contains("/")) & ~low.rlike("^https?://"))
     suffix = F.when(C.last_part(low).contains("."), F.concat(F.lit("."), F.try_element_at(F.split(low, r"\."), F.lit(-1)))).otherwise("")
-    kind = F.when(path.rlike(r"^\\\\[^\\\s]+\\[^\s\"']+"), "unc_path").when((F.col("artifact_type") == "browser") & (F.col("event_type") == "file_download"), "dropped_file").when(suffix == ".ps1", "powershell_script").when(suffix.isin(*EXECUTABLES, *SCRIPTS), "executable").otherwise("file")
-    return _from_event(rows, kind, path, F.col("description"))
+    kind = (
+        F.when(path.rlike(r"^\\\\[^\\\s]+\\[^\s\"']+"), "unc_path")
+        .when((F.col("artifact_type") == "browser") & (F.col("event_type") == "file_download"), "dropped_file")
+        .when(suffix == ".ps1", "powershell_script")
+        .when(suffix.isin(*EXECUTABLES, *SCRIPTS), "executable")
+        .otherwise("file")
+    )
+    usable = (path.contains("\\") | path.contains("/")) & ~low.rlike("^https?://")
+    return [_candidate("files", kind, F.when(usable, path), F.col("description"))]
 
 
-def registry(timeline: DataFrame, findings: DataFrame) -> DataFrame:
-    """Keys, name and data of values, and the keys of persistence findings."""
-    rows = timeline.where("artifact_type = 'registry'").withColumn("_key", C.truthy(F.try_element_at("evidence_str", F.lit("key_path")))).where("_key IS NOT NULL")
-    named = rows.where(C.truthy("object_name").isNotNull() & C.truthy("object_path").isNotNull())
-    values = _from_event(named, "registry_value", F.concat("_key", F.lit("\\"), "object_name", F.lit(" = "), "object_path"), source="registry", emit=F.lit(1))
-    kept = findings.where(F.col("rule_name").isin("registry_persistence", "service_installation"))
-    return _from_event(rows, "registry_key", "_key", F.col("description"), source="registry").union(values).union(_from_finding(kept, "persistence_location", F.try_element_at("evidence", F.lit("key_path")), F.col("description")))
+def _registry(columns: list[str]) -> list[Column]:
+    """Keys, and name and data of values."""
+    key = F.when(F.col("artifact_type") == "registry", _evidence("key_path"))
+    named = F.concat(key, F.lit("\\"), C.truthy("object_name"), F.lit(" = "), C.truthy("object_path"))
+    return [_candidate("registry", "registry_key", key, F.col("description"), "registry"), _candidate("registry", "registry_value", named, None, "registry", 1)]
 
 
-def powershell(timeline: DataFrame, findings: DataFrame) -> DataFrame:
-    """Command lines and scripts of events, and of PowerShell findings with severity and indicators."""
-    field = lambda n: F.coalesce(C.truthy(_own(timeline, n)), C.truthy(F.try_element_at("evidence_str", F.lit(n))))
-    commands, scripts = _from_event(timeline, "command_line", field("command_line")), _from_event(timeline, "powershell_script", field("script_name"), emit=F.lit(1))
-    found = findings.where("rule_name = 'powershell_execution'")
-    of = lambda n: F.try_element_at("evidence", F.lit(n))
-    said = F.when(C.truthy(of("matched_indicators")).isNotNull(), F.concat(F.lit("matched indicators: "), F.replace(of("matched_indicators"), F.lit(","), F.lit(", "))))
-    return commands.union(scripts).union(_from_finding(found, "command_line", of("command_line"), said, "evtx", end="start_time")).union(_from_finding(found, "powershell_script", of("script_name"), None, "evtx", 1, "start_time"))
+def _powershell(columns: list[str]) -> list[Column]:
+    """Command lines and scripts."""
+    field = lambda n: F.coalesce(C.truthy(_own(columns, n)), _evidence(n))
+    return [_candidate("powershell", "command_line", field("command_line")), _candidate("powershell", "powershell_script", field("script_name"), emit=1)]
+
+
+def _browser(columns: list[str]) -> list[Column]:
+    """Visited addresses, downloaded files, and web referrers of downloads."""
+    own = F.col("artifact_type") == "browser"
+    path, referrer = C.truthy("object_path"), _evidence("referrer")
+    dropped = F.when(own & (F.col("event_type") == "file_download"), path)
+    return [
+        _candidate("browser", "url", F.when(own & (F.col("event_type") == "url_visit"), path), F.try_element_at("evidence_str", F.lit("browser")), "browser"),
+        _candidate("browser", "dropped_file", dropped, F.concat(F.lit("referrer: "), referrer), "browser"),
+        _candidate("browser", "url", F.when(dropped.isNotNull() & referrer.rlike("^https?://"), referrer), None, "browser", 1),
+    ]
+
+
+def _network(columns: list[str]) -> Column:
+    """Addresses in five text fields and in the evidence's texts."""
+    texts = F.concat(C.strings(*[C.truthy(_own(columns, f)) for f in TEXT_FIELDS]), F.filter(F.map_values("evidence_str"), lambda v: v != ""))
+    found = lambda text, i: F.transform(text_indicators(text), lambda x, j: _candidate("network", x["type"], x["value"], emit=i * 1_000_000 + j))
+    return F.flatten(F.transform(texts, found))
+
+
+def _hashes(columns: list[str]) -> Column:
+    """A sha1 column, and texts of the evidence that are a hash as a whole."""
+    own = F.when(hash_type(_own(columns, "sha1")) == "hash_sha1", _own(columns, "sha1"))
+    texts = F.transform(F.map_values("evidence_str"), lambda v, i: _candidate("hashes", hash_type(F.trim(v)), F.trim(v), emit=i + 1))
+    return F.concat(F.array(_candidate("hashes", "hash_sha1", own, F.col("object_name"))), texts)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -111,96 +138,193 @@ def text_indicators(text: Column) -> Column:
     return F.concat(tagged(urls, "url"), tagged(matches(text, IPV4), "ipv4"), tagged(v6, "ipv6"), tagged(names, "domain"))
 
 
-def network(timeline: DataFrame, findings: DataFrame) -> DataFrame:
-    """Addresses in five text fields and in the evidence's texts."""
-    texts = F.concat(C.strings(*[C.truthy(_own(timeline, f)) for f in TEXT_FIELDS]), F.filter(F.map_values("evidence_str"), lambda v: v != ""))
-    rows = timeline.select("*", F.posexplode(texts).alias("_t", "_text")).select("*", F.posexplode(text_indicators(F.col("_text"))).alias("_i", "_found"))
-    return _from_event(rows, F.col("_found.type"), "_found.value", emit=F.col("_t") * 1_000_000 + F.col("_i"))
+def hash_type(value: Column) -> Column:
+    """By length, of a whole text of hex digits; NULL for others."""
+    return F.coalesce(*[F.when(value.rlike(f"^[a-fA-F0-9]{{{n}}}$"), kind) for kind, n in HASHES])
 
 
-def browser(timeline: DataFrame, findings: DataFrame) -> DataFrame:
-    """Visited addresses, downloaded files, and web referrers of downloads."""
-    rows = timeline.where("artifact_type = 'browser'").withColumn("_ref", C.truthy(F.try_element_at("evidence_str", F.lit("referrer"))))
-    visits, downloads = rows.where("event_type = 'url_visit'"), rows.where("event_type = 'file_download' AND object_path <> ''")
-    pages = _from_event(visits, "url", C.truthy("object_path"), F.try_element_at("evidence_str", F.lit("browser")), "browser")
-    dropped = _from_event(downloads, "dropped_file", C.truthy("object_path"), F.concat(F.lit("referrer: "), "_ref"), "browser")
-    return pages.union(dropped).union(_from_event(downloads.where("_ref RLIKE '^https?://'"), "url", "_ref", None, "browser", F.lit(1)))
+#: In the order in which they are asked.
+EXTRACTORS = ("files", "registry", "powershell", "network", "browser", "services", "tasks", "hashes")
+#: Rules whose findings name services and tasks.
+SERVICE_RULES, TASK_RULES = ("service_installation", "registry_persistence"), ("scheduled_task_persistence",)
+
+
+def _found(rows: DataFrame, names: tuple[str, ...], of: dict) -> Column | None:
+    """All candidates of a row by the extractors that are asked for."""
+    made = [of[n](rows.columns) for n in names if n in of]
+    arrays = [F.array(*m) if isinstance(m, list) else m for m in made]
+    return F.array_compact(F.concat(*arrays)) if arrays else None
+
+
+def event_candidates(timeline: DataFrame, names: tuple[str, ...] = EXTRACTORS) -> DataFrame:
+    """The candidates of single events: one projection for all extractors, one scan of the timeline."""
+    of = {"files": _files, "registry": _registry, "powershell": _powershell, "network": _network, "browser": _browser, "hashes": _hashes}
+    found = _found(timeline, names, of)
+    rows = timeline.select("event_id", "timestamp", "tl_pos", _sure().alias("sure"), F.explode(F.array().cast("array<int>") if found is None else found).alias("c"))
+    if found is None:
+        rows = rows.withColumn("c", F.lit(None).cast(CANDIDATE))
+    return _rows(rows, F.col("timestamp"), F.col("timestamp"), F.col("sure"), F.array("event_id"), C.strings(), F.col("tl_pos"))
 
 
-def _finding_events(timeline: DataFrame, findings: DataFrame, rules: tuple[str, ...]) -> DataFrame:
-    ids = findings.where(F.col("rule_name").isin(*rules)).select("correlation_id", F.col("severity").alias("_severity"), F.col("confidence").alias("_confidence"), F.explode("event_ids").alias("event_id"))
-    return ids.join(event_lookup(timeline), "event_id")
+def _of_persistence(columns: list[str]) -> list[Column]:
+    kept = F.col("rule_name").isin("registry_persistence", "service_installation")
+    place = C.truthy(F.try_element_at("evidence", F.lit("key_path")))
+    return [_candidate("registry", "persistence_location", F.when(kept, place), F.col("description"), "registry", 0, F.col("severity"))]
 
 
-def services(timeline: DataFrame, findings: DataFrame) -> DataFrame:
-    """Services and drivers (.sys) of service findings."""
-    rows = _finding_events(timeline, findings, ("service_installation", "registry_persistence"))
+def _of_powershell(columns: list[str]) -> list[Column]:
+    of = lambda n: F.when(F.col("rule_name") == "powershell_execution", C.truthy(F.try_element_at("evidence", F.lit(n))))
+    said = F.concat(F.lit("matched indicators: "), F.replace(of("matched_indicators"), F.lit(","), F.lit(", ")))
+    severity = F.col("severity")
+    return [_candidate("powershell", "command_line", of("command_line"), said, "evtx", 0, severity), _candidate("powershell", "powershell_script", of("script_name"), None, "evtx", 1, severity)]
+
+
+def finding_candidates(findings: DataFrame, names: tuple[str, ...] = EXTRACTORS) -> DataFrame | None:
+    """The candidates of single findings; they come after those of events. Suspicious command lines are seen when they start."""
+    found = _found(findings, names, {"registry": _of_persistence, "powershell": _of_powershell})
+    if found is None:
+        return None
+    rows = findings.select("correlation_id", "event_ids", "start_time", "end_time", "confidence", "rule_name", "rule_ord", "tl_pos", F.explode(found).alias("c"))
+    last = F.when(F.col("rule_name") == "powershell_execution", F.col("start_time")).otherwise(F.col("end_time"))
+    after = F.col("rule_ord") * F.lit(1 << 48) + F.col("tl_pos") + F.lit(1 << 56)
+    return _rows(rows, F.col("start_time"), last, F.col("confidence"), F.col("event_ids"), F.array("correlation_id"), after)
+
+
+def _of_service(columns: list[str]) -> list[Column]:
     kind = F.when(F.lower("object_path").endswith(".sys"), "driver").otherwise("service")
-    return _from_event(rows, kind, C.truthy("object_name"), F.col("object_path"), confidence=F.col("_confidence"), correlation=F.col("correlation_id"), severity=F.col("_severity"))
+    return [_candidate("services", kind, F.when(F.col("rule_name").isin(*SERVICE_RULES), C.truthy("object_name")), F.col("object_path"), None, 0, F.col("severity"))]
 
 
-def tasks(timeline: DataFrame, findings: DataFrame) -> DataFrame:
-    """Names and commands of task findings; the commands have no severity."""
-    rows = _finding_events(timeline, findings, ("scheduled_task_persistence",))
-    names = _from_event(rows, "scheduled_task", C.truthy("object_name"), F.col("object_path"), "scheduled_task", None, F.col("_confidence"), F.col("correlation_id"), F.col("_severity"))
-    return names.union(_from_event(rows, "command_line", C.truthy("object_path"), None, "scheduled_task", F.lit(1), F.col("_confidence"), F.col("correlation_id")))
+def _of_task(columns: list[str]) -> list[Column]:
+    of = lambda c: F.when(F.col("rule_name").isin(*TASK_RULES), C.truthy(c))
+    return [_candidate("tasks", "scheduled_task", of("object_name"), F.col("object_path"), "scheduled_task", 0, F.col("severity")), _candidate("tasks", "command_line", of("object_path"), None, "scheduled_task", 1)]
 
 
-def hash_type(value: Column) -> Column:
-    """By length, of a whole text of hex digits; NULL for others."""
-    return F.coalesce(*[F.when(value.rlike(f"^[a-fA-F0-9]{{{n}}}$"), kind) for kind, n in HASHES])
+def linked_candidates(timeline: DataFrame, findings: DataFrame, names: tuple[str, ...] = EXTRACTORS) -> DataFrame | None:
+    """The candidates of the events of service and task findings; of events with equal ids the last counts."""
+    rules = [r for n, of in (("services", SERVICE_RULES), ("tasks", TASK_RULES)) if n in names for r in of]
+    if not rules:
+        return None
+    ids = findings.where(F.col("rule_name").isin(*rules)).select("correlation_id", "severity", F.col("confidence").alias("sure"), "rule_name", F.explode("event_ids").alias("event_id"))
+    events = event_lookup(timeline.select("event_id", "timestamp", "tl_pos", "artifact_type", "object_name", "object_path"))
+    both = ids.join(events, "event_id")
+    found = _found(both, names, {"services": _of_service, "tasks": _of_task})
+    rows = both.select("event_id", "correlation_id", "timestamp", "tl_pos", "sure", F.explode(found).alias("c"))
+    return _rows(rows, F.col("timestamp"), F.col("timestamp"), F.col("sure"), F.array("event_id"), F.array("correlation_id"), F.col("tl_pos"))
 
 
-def hashes(timeline: DataFrame, findings: DataFrame) -> DataFrame:
-    """A sha1 column, and texts of the evidence that are a hash as a whole."""
-    own = timeline.withColumn("_h", _own(timeline, "sha1")).where(hash_type(F.col("_h")) == "hash_sha1")
-    rows = timeline.select("*", F.posexplode(F.map_values("evidence_str")).alias("_t", "_text")).withColumn("_text", F.trim("_text"))
-    return _from_event(own, "hash_sha1", "_h", F.col("object_name")).union(_from_event(rows, hash_type(F.col("_text")), "_text", emit=F.col("_t") + 1))
+CANDIDATE = "struct<extractor: int, ioc_type: string, value: string, source_artifact: string, snippet: string, severity: string, emit: int>"
 
 
-#: In order; callers may run their own list.
-EXTRACTORS = {"files": files, "registry": registry, "powershell": powershell, "network": network, "browser": browser, "services": services, "tasks": tasks, "hashes": hashes}
+def _rows(rows: DataFrame, first: Column, last: Column, confidence: Column, event_ids: Column, correlation_ids: Column, pos: Column) -> DataFrame:
+    return rows.select(
+        "c.ioc_type",
+        "c.value",
+        "c.source_artifact",
+        first.alias("first_seen"),
+        last.alias("last_seen"),
+        confidence.alias("confidence"),
+        event_ids.alias("event_ids"),
+        correlation_ids.alias("correlation_ids"),
+        "c.snippet",
+        "c.severity",
+        F.struct(F.col("c.extractor").alias("extractor"), pos.alias("pos"), F.col("c.emit").alias("emit"), F.col("c.value").alias("value")).alias("cand_ord"),
+    )
+
+
+def extract(timeline: DataFrame, findings: DataFrame | None, names: tuple[str, ...] = EXTRACTORS) -> DataFrame:
+    """The rows of the extractors with cand_ord, their order: what single events, single findings, and findings' events give."""
+    out = event_candidates(timeline, names).where("ioc_type IS NOT NULL")
+    more = [] if findings is None else [finding_candidates(findings, names), linked_candidates(timeline, findings, names)]
+    return reduce(lambda a, b: a.union(b), [m for m in more if m is not None], out)
 
 
-def extract(timeline: DataFrame, findings: DataFrame, extractors: dict | None = None) -> DataFrame:
-    """The rows of all extractors with cand_ord, their order."""
-    chosen = EXTRACTORS if extractors is None else extractors
-    parts = [run(timeline, findings).withColumn("cand_ord", F.struct(F.lit(i).alias("extractor"), "pos", "emit", "value")) for i, run in enumerate(chosen.values())]
-    return reduce(lambda a, b: a.union(b), parts).drop("pos", "emit")
+def event_lookup(timeline: DataFrame) -> DataFrame:
+    """One event for each id: the last in the timeline."""
+    return timeline.groupBy("event_id").agg(F.max_by(F.struct(*timeline.columns), "tl_pos").alias("e")).select("e.*")
 
 
-def merge(rows: DataFrame, incidents_of: DataFrame | None = None) -> DataFrame:
-    """One row for each type and trimmed lower-case value: the first row's value and source, counts, times, ids, snippets."""
-    key = F.lower(F.trim("value"))
-    ids = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    out = rows.where(F.trim("value") != "").groupBy("ioc_type", key.alias("key")).agg(
-        F.min_by(F.struct("value", "source_artifact"), "cand_ord").alias("_f"), F.count("*").alias("occurrences"), F.max("confidence").alias("confidence"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-        ids("event_ids").alias("event_ids"), ids("correlation_ids").alias("correlation_ids"), F.min_by("severity", F.when(F.col("severity").isNotNull(), F.col("cand_ord"))).alias("severity"), F.slice(C.ordered(F.col("snippet"), F.col("cand_ord")), 1, SNIPPETS).alias("snippets"),
-    )
-    out = out.select("ioc_type", "key", "_f.value", "_f.source_artifact", *[c for c in out.columns if c not in ("ioc_type", "key", "_f")])
-    if incidents_of is None:
-        return out.withColumn("incident_ids", C.strings())
-    linked = out.select("ioc_type", "key", F.explode("correlation_ids").alias("correlation_id")).join(incidents_of, "correlation_id")
-    by = linked.groupBy("ioc_type", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("incident_ids")))).alias("incident_ids"))
-    return out.join(by, ["ioc_type", "key"], "left").withColumn("incident_ids", F.coalesce("incident_ids", C.strings()))
+def incident_lookup(incs: Incidents) -> DataFrame:
+    """correlation_id, incident_id: the incidents that have it as primary or supporting."""
+    return incs.correlations.select("correlation_id", "incident_id").distinct()
 
 
-def statistics(iocs: DataFrame) -> DataFrame:
-    return iocs.groupBy("ioc_type").agg(F.count("*").alias("n"))
+# --- merge
 
 
-def report(iocs: DataFrame) -> DataFrame:
-    """group_name, value, line: the display groups, with a list of incidents cut at 80 characters."""
-    known = F.create_map(*[F.lit(x) for g, types in REPORT_GROUPS.items() for t in types for x in (t, g)])
-    joined = F.array_join("incident_ids", ", ")
-    cut = F.when(F.length(joined) > 80, F.concat(F.substring(joined, 1, 80), F.lit("..."))).otherwise(joined)
-    line = F.concat(F.lit("["), "ioc_type", F.lit("] "), "value", F.lit(" (x"), F.col("occurrences").cast("string"), F.lit(") "), cut)
-    return iocs.withColumn("group_name", F.element_at(known, F.col("ioc_type"))).where("group_name IS NOT NULL").select("group_name", "value", F.rtrim(line).alias("line"))
+@dataclass(frozen=True)
+class Indicators:
+    """Merged indicators: one row for each, and one for each of their links; no row grows with an indicator.
 
+    head: ioc_type, key, value, source_artifact, occurrences, confidence, first_seen, last_seen, severity,
+    snippets (SNIPPETS at most), n_events, n_correlations, n_incidents, some_incidents (LISTED at most).
+    events, correlations, incidents: ioc_type, key, id.
+    """
 
-def serialize(iocs: DataFrame) -> DataFrame:
-    shape = F.struct("ioc_type", "value", "source_artifact", C.iso("first_seen").alias("first_seen"), C.iso("last_seen").alias("last_seen"), "confidence", "severity", "occurrences", "event_ids", "correlation_ids", "incident_ids", "snippets")
-    return iocs.select("ioc_type", "key", F.to_json(shape).alias("json"))
+    head: DataFrame
+    events: DataFrame
+    correlations: DataFrame
+    incidents: DataFrame
+
+
+KEY = ["ioc_type", "key"]
+#: Incidents that a report's line may name: their ids are 64 characters long, the line shows 80.
+LISTED = 2
+
+
+def merge(rows: DataFrame, incidents_of: DataFrame | None = None) -> Indicators:
+    """One row for each type and trimmed lower-case value: the first row's value and source, counts, times, links, snippets."""
+    kept = written(rows.where(F.trim("value") != "").withColumn("key", F.lower(F.trim("value"))), "indicator-rows")
+    folded = kept.groupBy(*KEY).agg(
+        F.min_by(F.struct("value", "source_artifact"), "cand_ord").alias("_f"),
+        F.count("*").alias("occurrences"),
+        F.max("confidence").alias("confidence"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.min_by("severity", F.when(F.col("severity").isNotNull(), F.col("cand_ord"))).alias("severity"),
+    )
+    folded = folded.select(*KEY, "_f.value", "_f.source_artifact", "occurrences", "confidence", "first_seen", "last_seen", "severity")
+    link = lambda ids: kept.select(*KEY, F.explode(ids).alias("id")).distinct()
+    events, correlations = link("event_ids"), written(link("correlation_ids"), "indicator-findings")
+    none = correlations.where("false")
+    incidents = none if incidents_of is None else correlations.join(incidents_of.withColumnRenamed("correlation_id", "id"), "id").select(*KEY, F.col("incident_id").alias("id")).distinct()
+    incidents = written(incidents, "indicator-incidents")
+    for name, links in (("n_events", events), ("n_correlations", correlations), ("n_incidents", incidents)):
+        folded = folded.join(links.groupBy(*KEY).agg(F.count("*").alias(name)), KEY, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    some = first_distinct(incidents, KEY, F.col("id"), F.col("id"), LISTED, "some_incidents")
+    snippets = first_distinct(kept, KEY, F.col("snippet"), F.col("cand_ord"), SNIPPETS, "snippets")
+    head = folded.join(snippets, KEY, "left").join(some, KEY, "left")
+    whole = head.withColumns({c: F.coalesce(c, C.strings()) for c in ("snippets", "some_incidents")})
+    return Indicators(written(whole, "indicators"), events, correlations, incidents)
+
+
+def statistics(iocs: Indicators) -> DataFrame:
+    return iocs.head.groupBy("ioc_type").agg(F.count("*").alias("n"))
+
+
+def report(iocs: Indicators) -> DataFrame:
+    """group_name, value, line: the display groups; a line has the count, the severity and the incidents, cut at 80 characters."""
+    known = F.create_map(*[F.lit(x) for g, types in REPORT_GROUPS.items() for t in types for x in (t, g)])
+    parts = C.strings(
+        F.concat(F.lit("- `"), "value", F.lit("`")),
+        F.concat(F.lit("(seen "), F.col("occurrences").cast("string"), F.lit("x")),
+        F.concat(F.lit(", severity: "), C.truthy("severity")),
+        F.when(F.col("n_incidents") > 0, F.concat(F.lit(", incidents: "), F.substring(F.array_join("some_incidents", ", "), 1, 80))),
+        F.lit(")"),
+    )
+    named = iocs.head.withColumn("group_name", F.element_at(known, F.col("ioc_type"))).where("group_name IS NOT NULL")
+    return named.select("group_name", "value", F.array_join(parts, " ").alias("line"))
+
+
+def serialize(iocs: Indicators) -> DataFrame:
+    """ioc_type, key, json with sorted id lists. One text holds an indicator, as the format has it; its links are tables in :class:`Indicators`."""
+    out = iocs.head
+    for name in ("event", "correlation", "incident"):
+        links = getattr(iocs, f"{name}s").groupBy(*KEY).agg(F.array_sort(F.collect_list("id")).alias(f"{name}_ids"))
+        out = out.join(links, KEY, "left").withColumn(f"{name}_ids", F.coalesce(f"{name}_ids", C.strings()))
+    times = [C.iso(c).alias(c) for c in ("first_seen", "last_seen")]
+    shape = F.struct("ioc_type", "value", "source_artifact", *times, "confidence", "severity", "occurrences", "event_ids", "correlation_ids", "incident_ids", "snippets")
+    return out.select(*KEY, F.to_json(shape).alias("json"))
 
 
 # --- candidates for a model, and its answers
@@ -235,27 +359,31 @@ def clean_candidate(kind: Column, value: Column) -> Column:
     return F.when(kind == "command_line", cut(F.regexp_replace(plain, "[A-Za-z0-9+/=]{200,}", "<BASE64_PAYLOAD>"), 800)).otherwise(plain)
 
 
-def candidates(incs: DataFrame, members: DataFrame) -> DataFrame:
+SOURCES = 3
+
+
+def candidates(ranked_heads: DataFrame, members: DataFrame) -> DataFrame:
     """Candidate values in the evidence of incidents' findings, in order of priority_rank; with occurrences and the first three sources.
 
     ``members`` (incident_id, correlation_id, evidence, member_ord) are findings, primary before supporting.
     """
     known = F.create_map(*[F.lit(x) for kv in CANDIDATE_FIELDS.items() for x in kv])
-    rows = members.join(incs.select("incident_id", "priority_rank"), "incident_id").select("incident_id", "correlation_id", "priority_rank", "member_ord", F.explode("evidence").alias("field", "raw"))
+    fields = ["incident_id", "correlation_id", "priority_rank", "member_ord"]
+    rows = members.join(ranked_heads.select("incident_id", "priority_rank"), "incident_id").select(*fields, F.explode("evidence").alias("field", "raw"))
     rows = rows.withColumn("kind", F.element_at(known, F.col("field"))).where("kind IS NOT NULL").withColumn("value", clean_candidate(F.col("kind"), F.col("raw")))
     rows = rows.where(~F.lower("value").isin(*LOW_VALUE) & (F.length("value") >= 3) & ~is_noise(F.col("kind"), F.col("value")))
     order = F.struct("priority_rank", "member_ord", "field")
-    sources = F.transform(F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.concat_ws(":", "incident_id", "correlation_id").alias("s")))), 1, 3), lambda x: x["s"])
-    return rows.groupBy("kind", F.lower("value").alias("key")).agg(F.min_by("value", order).alias("value"), F.count("*").alias("occurrences"), sources.alias("sources"), F.min(order).alias("first_ord"))
+    kept = written(rows.select("kind", F.lower("value").alias("key"), "value", order.alias("at"), F.concat_ws(":", "incident_id", "correlation_id").alias("source")), "candidates")
+    folded = kept.groupBy("kind", "key").agg(F.min_by("value", "at").alias("value"), F.count("*").alias("occurrences"), F.min("at").alias("first_ord"))
+    # a source counts once for each field that names the value there
+    sources = first_distinct(kept, ["kind", "key"], F.struct("source", "at"), F.col("at"), SOURCES, "sources")
+    return folded.join(sources.withColumn("sources", F.transform("sources", lambda x: x["source"])), ["kind", "key"])
 
 
 def batched(rows: DataFrame, size: int = BATCH) -> DataFrame:
-    """cand_pos and batch, in order of the first occurrence: ranks within a priority, then offsets."""
-    keyed = rows.withColumn("_p", F.col("first_ord.priority_rank"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy("first_ord", "kind", "key"))
-    return keyed.withColumn("_r", inside).join(offsets, "_p").withColumn("cand_pos", F.col("_o") + F.col("_r")).withColumn("batch", F.floor((F.col("cand_pos") - 1) / size)).drop("_p", "_r", "_o")
+    """cand_pos and batch, in order of the first occurrence."""
+    placed = ranked(rows, [F.col(c).asc() for c in ("first_ord", "kind", "key")], "cand_pos")
+    return placed.withColumn("batch", F.floor(F.col("cand_pos") / size)).withColumn("cand_pos", F.col("cand_pos") + 1)
 
 
 #: Canonical types of a model's answers, and other names for them.

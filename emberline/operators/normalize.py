@@ -6,13 +6,13 @@ events of one record. Evidence is two maps: texts, and everything else as JSON o
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions import columns as C
 
+from .tops import first_distinct, joined_on
+
 CORE = (
     "event_id", "artifact_type", "event_type", "category", "timestamp", "object_name", "object_path", "related_objects", "user", "computer",
     "description", "confidence", "evidence_str", "evidence_other", "source_file", "record_id", "ingest_seq", "emit_ord",
@@ -378,28 +378,42 @@ def compact_usn(rows: DataFrame) -> DataFrame:
     seen = {f"_f_{name}": F.min(F.when(F.array_contains("reason_flags", name), _order())) for name in USN_REASONS}
     folded = _first_of_each(rows, keys, {"usn_record_count": F.count("*"), "_last": F.max_by(F.struct("usn", "timestamp"), _order())} | seen, keep_keys=True)
     flags = F.array_compact(F.array(*[F.when(F.col(f"_f_{name}").isNotNull(), F.struct(F.col(f"_f_{name}").alias("at"), F.lit(i).alias("bit"), F.lit(name).alias("name"))) for i, name in enumerate(USN_REASONS)]))
-    # the first 20 different numbers: a top-k for each key
     key_columns = [f"_k{i}" for i in range(len(keys))]
-    numbers = rows.withColumns(dict(zip(key_columns, keys.values(), strict=True))).groupBy(*key_columns, "usn").agg(F.min(_order()).alias("_at"))
-    head = numbers.withColumn("_n", F.row_number().over(Window.partitionBy(*key_columns).orderBy("_at", "usn"))).where(F.col("_n") <= 20)
-    listed = head.groupBy(*key_columns).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "usn"))), lambda x: x["usn"]).alias("_usns")).withColumnsRenamed({k: f"{k}_" for k in key_columns})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in key_columns])
-    out, many = folded.join(listed, same), F.col("usn_record_count") > 1
+    keyed = rows.withColumns(dict(zip(key_columns, keys.values(), strict=True)))
+    listed = first_distinct(keyed, key_columns, F.col("usn"), F.struct(_order(), F.col("usn")), 20, "_usns")
+    out, many = joined_on(folded, listed, key_columns), F.col("usn_record_count") > 1
     made = {"reason_flags": F.transform(F.array_sort(flags), lambda x: x["name"]), "last_usn": F.when(many, F.col("_last.usn")), "last_usn_timestamp": F.when(many, F.col("_last.timestamp")), "related_usns": F.when(many, F.col("_usns"))}
-    return out.withColumns(made).drop("_last", "_usns", *seen, *key_columns, *[f"{k}_" for k in key_columns])
+    return out.withColumns(made).drop("_last", "_usns", *seen, *key_columns)
+
+
+#: Occurrences that a merged row lists; it counts all of them.
+LISTED = 20
+
 
+def merge_evidence(rows: DataFrame, keys: dict[str, Column], lists: dict[str, Column] | None = None) -> DataFrame:
+    """The first row of each key, n_rows, and the evidence of the others as far as it differs: n_occurrences, and the first LISTED in ``occurrences``.
 
-def _occurrences() -> Column:
-    """Evidence of the later rows that differs from the first's, in order, each once."""
-    seen = C.ordered(F.to_json("evidence_str"), _order())
-    return F.slice(seen, F.lit(2), F.greatest(F.size(seen) - 1, F.lit(0)))
+    ``lists`` are further columns of which the first LISTED different values are wanted.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    keyed = rows.withColumns(dict(zip(names, keys.values(), strict=True)) | {"_evidence": F.to_json("evidence_str")})
+    out = _first_of_each(rows, keys, {"n_rows": F.count("*")}, keep_keys=True)
+    different = keyed.where(F.col("_evidence").isNotNull()).select(*names, "_evidence").distinct()
+    counted = different.groupBy(*names).agg(F.count("*").alias("_n"))
+    found = first_distinct(keyed, names, F.col("_evidence"), _order(), LISTED + 1, "_seen")
+    out = joined_on(joined_on(out, counted, names), found, names)
+    for name, value in (lists or {}).items():
+        out = joined_on(out, first_distinct(keyed, names, value, _order(), LISTED, name), names)
+    rest = F.coalesce(F.slice("_seen", F.lit(2), F.lit(LISTED)), C.strings())
+    more = F.greatest(F.coalesce("_n", F.lit(0)) - 1, F.lit(0))
+    return out.withColumns({"occurrences": rest, "n_occurrences": more}).drop("_seen", "_n", *names)
 
 
 def merge_usb_devices(rows: DataFrame) -> DataFrame:
-    return _first_of_each(rows, {"source": F.col("source_file"), "device": F.col("device_instance_id")}, {"occurrences": _occurrences()})
+    return merge_evidence(rows, {"source": F.col("source_file"), "device": F.col("device_instance_id")}).drop("n_rows")
 
 
 def merge_recent_documents(rows: DataFrame) -> DataFrame:
     keys = {n: F.col(n) for n in ("source_file", "user", "document_path", "timestamp")}
-    out = _first_of_each(rows, keys, {"occurrences": _occurrences(), "_keys": C.ordered(C.truthy("registry_key"), _order()), "_n": F.count("*")})
-    return out.withColumn("related_registry_keys", F.when(F.col("_n") > 1, F.col("_keys"))).drop("_keys", "_n")
+    out = merge_evidence(rows, keys, {"_keys": C.truthy("registry_key")})
+    return out.withColumn("related_registry_keys", F.when(F.col("n_rows") > 1, F.coalesce("_keys", C.strings()))).drop("_keys", "n_rows")

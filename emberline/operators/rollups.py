@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions import columns as C
 
-from .incidents import CONTEXTUAL, members, severity_rank
+from .incidents import CONTEXTUAL, Incidents, members, severity_rank
 
 #: Evidence keys that go into a summary.
 IMPORTANT = ("command_line", "image", "process_name", "file_path", "target_path", "registry_key", "registry_value", "service_name", "task_name", "ip", "hostname", "domain", "url", "hash", "sha256", "sha1", "md5", "username")
@@ -15,7 +15,7 @@ VALUE_CHARS, BASE64_RUN = 500, r"[A-Za-z0-9+/]{80,}={0,2}"
 
 
 def _count() -> Column:
-    return F.size("primary_correlation_ids") + F.size("supporting_correlation_ids")
+    return F.col("n_primary") + F.col("n_supporting")
 
 
 def noise_narrow() -> Column:
@@ -42,16 +42,16 @@ def tiers(prioritized: DataFrame, noise: Column, most_detailed: int | None = Non
 
 
 def overview(incs: DataFrame, timeline: DataFrame) -> DataFrame:
-    """section, key, value: totals and time span, incidents by severity and by rule."""
+    """section, key, value: totals and time span, incidents by severity and by rule. ``incs`` are heads."""
+    entry = lambda section, key, value: F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"), value.cast("string").alias("value"))
+    events = timeline.agg(F.count("*").alias("n"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b"))
+    span = F.inline(F.array(entry("total", F.lit("events"), F.col("n")), entry("span", F.lit("first"), C.iso("a")), entry("span", F.lit("last"), C.iso("b"))))
+    found = incs.groupBy("severity", "rule_names").agg(F.count("*").alias("n"))
     one = lambda df, section, key, value: df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), value.cast("string").alias("value"))
-    events = timeline.agg(F.count("*").alias("n"), C.iso(F.min("timestamp")).alias("a"), C.iso(F.max("timestamp")).alias("b"))
-    parts = [one(events, "total", F.lit("events"), F.col("n")), one(events, "span", F.lit("first"), F.col("a")), one(events, "span", F.lit("last"), F.col("b")), one(incs.agg(F.count("*").alias("n")), "total", F.lit("incidents"), F.col("n"))]
-    parts.append(one(incs.groupBy("severity").agg(F.count("*").alias("n")), "severity", F.col("severity"), F.col("n")))
-    parts.append(one(by_rule(incs), "rule", F.col("rule_name"), F.col("n")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    total = one(found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "total", F.lit("incidents"), F.col("n"))
+    severity = one(found.groupBy("severity").agg(F.sum("n").alias("n")), "severity", F.col("severity"), F.col("n"))
+    rule = one(found.select(F.explode("rule_names").alias("rule"), "n").groupBy("rule").agg(F.sum("n").alias("n")), "rule", F.col("rule"), F.col("n"))
+    return events.select(span).union(total).union(severity).union(rule)
 
 
 def by_rule(incs: DataFrame) -> DataFrame:
@@ -68,11 +68,12 @@ def findings_per_rule(findings: DataFrame) -> DataFrame:
 
 
 def incident_index(incs: DataFrame) -> DataFrame:
-    return incs.select(F.substring("incident_id", 1, 12).alias("short_id"), "severity", "confidence", _count().alias("n_findings"), F.size("event_ids").alias("n_events"), F.array_join("rule_names", ", ").alias("rules"), C.iso("start_time").alias("start_time"), C.iso("end_time").alias("end_time"))
+    times = [C.iso(c).alias(c) for c in ("start_time", "end_time")]
+    return incs.select(F.substring("incident_id", 1, 12).alias("short_id"), "severity", "confidence", _count().alias("n_findings"), "n_events", F.array_join("rule_names", ", ").alias("rules"), *times)
 
 
-def detailed_order(incs: DataFrame) -> list[Column]:
-    return [F.desc(severity_rank("severity")), F.desc("confidence"), F.desc(F.size("primary_correlation_ids"))]
+def detailed_order() -> list[Column]:
+    return [F.desc(severity_rank("severity")), F.desc("confidence"), F.desc("n_primary")]
 
 
 def compact_value(value: Column) -> Column:
@@ -91,7 +92,7 @@ def important_evidence(evidence: str = "evidence") -> Column:
     return F.map_filter(evidence, lambda k, _: k.isin(*IMPORTANT))
 
 
-def techniques_per_incident(incs: DataFrame, findings: DataFrame) -> DataFrame:
+def techniques_per_incident(incs: Incidents, findings: DataFrame) -> DataFrame:
     """incident_id, techniques: distinct and sorted, of primary and supporting findings."""
     both = members(incs, findings).union(members(incs, findings, "supporting"))
     return both.select("incident_id", F.explode("techniques").alias("t")).groupBy("incident_id").agg(F.array_sort(F.collect_set("t")).alias("techniques"))
@@ -109,8 +110,3 @@ def sru_network_summary(events: DataFrame) -> DataFrame:
 
 def mft_totals(records: DataFrame) -> DataFrame:
     return records.agg(F.count_if("is_file").alias("files"), F.count_if("is_directory").alias("directories"), F.count_if(~F.coalesce("in_use", F.lit(False))).alias("deleted"))
-
-
-def first_per_group(rows: DataFrame, group: str, order: str, most: int) -> DataFrame:
-    by = Window.partitionBy(group).orderBy(order)
-    return rows.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most)

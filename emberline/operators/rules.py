@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions import columns as C
 
+from . import scan
+from .store import written
+
 #: Rule to technique ids.
 TECHNIQUES = {
     "powershell_execution": ["T1059.001"],
@@ -49,31 +50,49 @@ HIGH, MEDIUM = ("reflective_load", "base64_payload"), ("execution_policy_bypass"
 WINDOW_DAYS = 7
 
 
-def finding(rows: DataFrame, rule: str, title, severity, confidence, event_ids: Column, description, evidence: Column, end: str | Column = "timestamp") -> DataFrame:
+def finding(rows: DataFrame, rule: Column, order: Column, title: Column, severity: Column, confidence: Column, event_ids: Column, description: Column, evidence: Column, end: str | Column = "timestamp") -> DataFrame:
     """The finding schema; ids follow from the rule and the events."""
-    text = lambda v: v if isinstance(v, Column) else F.lit(v)
-    order = list(RULES).index(rule) if rule in RULES else len(RULES)
     return rows.select(
-        F.sha2(F.concat_ws("|", F.lit(rule), event_ids), 256).alias("correlation_id"), F.lit(rule).alias("rule_name"), text(title).alias("title"), text(severity).alias("severity"),
-        text(confidence).cast("double").alias("confidence"), F.col("timestamp").alias("start_time"), C.col(end).alias("end_time"), event_ids.alias("event_ids"),
-        C.strings("entity_id").alias("entity_ids"), text(description).alias("description"), evidence.alias("evidence"), F.lit(order).alias("rule_ord"), F.col("tl_pos"),
-    )
-
-
-def single(rule: str):
-    """A rule of :data:`SINGLE` as an operator."""
+        F.sha2(F.concat_ws("|", rule, event_ids), 256).alias("correlation_id"),
+        rule.alias("rule_name"),
+        title.alias("title"),
+        severity.alias("severity"),
+        confidence.cast("double").alias("confidence"),
+        F.col("timestamp").alias("start_time"),
+        C.col(end).alias("end_time"),
+        event_ids.alias("event_ids"),
+        C.strings("entity_id").alias("entity_ids"),
+        description.alias("description"),
+        evidence.alias("evidence"),
+        order.cast("int").alias("rule_ord"),
+        F.col("tl_pos"),
+    )
+
+
+def _hit(rule: str, title, severity, confidence, description, evidence: Column) -> Column:
+    """What a rule says of one event."""
+    text = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(
+        F.lit(RULES.index(rule)).alias("order"),
+        F.lit(rule).alias("rule"),
+        text(title).alias("title"),
+        text(severity).alias("severity"),
+        text(confidence).cast("double").alias("confidence"),
+        text(description).alias("description"),
+        evidence.alias("evidence"),
+    )
+
+
+def _single_hit(rule: str, columns: list[str]) -> Column:
+    """The hit of a rule of :data:`SINGLE`, or NULL."""
     artifact, kinds, severity = SINGLE[rule]
-
-    def run(timeline: DataFrame) -> DataFrame:
-        rows = timeline.where((F.col("artifact_type") == artifact) & F.col("event_type").isin(*kinds))
-        chosen = lambda i: reduce(lambda a, kv: a.when(F.col("event_type") == kv[0], kv[1][i]), list(kinds.items())[1:], F.when(F.col("event_type") == next(iter(kinds)), next(iter(kinds.values()))[i]))
-        evidence = F.col("evidence_str")
-        if rule == "usb_connection":
-            names = [n for n in ("vendor", "product", "serial_number", "device_instance_id", "friendly_name") if n in timeline.columns]
-            evidence = F.map_concat(evidence, C.text_map({n: n for n in names})) if names else evidence
-        return finding(rows, rule, chosen(0), severity, F.col("confidence"), F.array("event_id"), chosen(1), evidence)
-
-    return run
+    kind = F.col("event_type")
+    chosen = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, said in kinds.items() for x in (k, said[i])]), kind)
+    evidence = F.col("evidence_str")
+    if rule == "usb_connection":
+        names = [n for n in ("vendor", "product", "serial_number", "device_instance_id", "friendly_name") if n in columns]
+        evidence = F.map_concat(evidence, C.text_map({n: n for n in names})) if names else evidence
+    return F.when((F.col("artifact_type") == artifact) & kind.isin(*kinds), _hit(rule, chosen(0), severity, F.col("confidence"), chosen(1), evidence))
 
 
 def indicators(text: Column) -> Column:
@@ -81,55 +100,105 @@ def indicators(text: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(text.rlike(f"(?iU){pattern}"), name) for name, (pattern, _) in INDICATORS.items()])))
 
 
-def powershell_execution(timeline: DataFrame) -> DataFrame:
+def _powershell_hit(columns: list[str]) -> Column:
+    """The hit of a PowerShell command line that has an indicator of a known severity, or NULL."""
+    own = lambda c: C.truthy(c) if c in columns else F.lit(None).cast("string")
+    command, host = own("command_line"), own("host_application")
     started = (F.col("event_type") == "process_execution") & F.lower("object_name").isin(*POWERSHELL)
-    text = F.when(started, F.concat_ws(" ", C.truthy("command_line"), C.truthy("host_application"))).when(F.col("event_type") == "powershell_pipeline_execution", C.truthy("command_line"))
-    rows = timeline.where(F.col("artifact_type") == "evtx").withColumn("_text", text).where("_text <> ''").withColumn("matched", indicators(F.col("_text")))
-    of = lambda names: F.arrays_overlap("matched", F.array(*[F.lit(n) for n in names]))
-    rows = rows.withColumn("_severity", F.when(of(HIGH), "high").when(of(MEDIUM), "medium")).where("_severity IS NOT NULL")
+    text = F.when(started, F.concat_ws(" ", command, host)).when(F.col("event_type") == "powershell_pipeline_execution", command)
+    matched = F.when(F.col("artifact_type") == "evtx", indicators(text))
+    of = lambda names: F.arrays_overlap(matched, F.array(*[F.lit(n) for n in names]))
+    severity = F.when(of(HIGH), "high").when(of(MEDIUM), "medium")
     labels = F.create_map(*[F.lit(x) for name, (_, label) in INDICATORS.items() for x in (name, label)])
-    said = F.concat(F.lit("PowerShell execution matched: "), F.array_join(F.array_sort(F.transform("matched", lambda m: F.element_at(labels, m))), ", "))
-    evidence = C.text_map({"matched_indicators": F.array_join("matched", ",")} | {n: n for n in ("command_line", "script_name", "host_application")})
-    return finding(rows, "powershell_execution", "Suspicious PowerShell execution", F.col("_severity"), 0.75, F.array("event_id"), said, evidence)
+    said = F.concat(F.lit("PowerShell execution matched: "), F.array_join(F.array_sort(F.transform(matched, lambda m: F.element_at(labels, m))), ", "))
+    kept = [n for n in ("command_line", "script_name", "host_application") if n in columns]
+    evidence = C.text_map({"matched_indicators": F.array_join(matched, ",")} | {n: n for n in kept})
+    return F.when(severity.isNotNull(), _hit("powershell_execution", "Suspicious PowerShell execution", severity, 0.75, said, evidence))
+
+
+#: The rules that look at one event.
+EVENT_RULES = (*SINGLE, "powershell_execution")
+
+
+def with_hits(timeline: DataFrame, rules: tuple[str, ...] = EVENT_RULES) -> DataFrame:
+    """The timeline with ``hits``: what each of the rules says of the event. One projection, whatever the number of rules."""
+    columns = timeline.columns
+    found = [_powershell_hit(columns) if r == "powershell_execution" else _single_hit(r, columns) for r in rules]
+    return timeline.withColumn("hits", F.array_compact(F.array(*found)))
+
+
+def _findings_of_hits(rows: DataFrame) -> DataFrame:
+    each = rows.select("event_id", "timestamp", "entity_id", "tl_pos", F.explode("hits").alias("hit"))
+    of = lambda c: F.col(f"hit.{c}")
+    return finding(each, of("rule"), of("order"), of("title"), of("severity"), of("confidence"), F.array("event_id"), of("description"), of("evidence"))
+
+
+def event_rule(rule: str):
+    """A rule of :data:`EVENT_RULES` as an operator."""
+    return lambda timeline: _findings_of_hits(with_hits(timeline, (rule,)))
+
+
+powershell_execution = event_rule("powershell_execution")
 
 
 def asof_within(left: DataFrame, right: DataFrame, left_keys: list[Column], right_keys: list[Column], left_time: str, right_time: str, right_order: str, days: int, left_id: str) -> DataFrame:
     """For each left row the earliest right row at or after it, within ``days``, that shares any of the keys.
 
-    Rows of both sides with a key and a span of ``days`` in common are put in order of time, backwards;
-    a left row takes the last right row that has gone by. It looks into its own span and the next one.
-    So a name that is used all year long is cut into weeks, and no pairs are made. Of equal times the
-    one with the smaller ``right_order`` wins. Gives the left columns and ``match`` (the right row).
+    Rows of both sides are sorted by key and, backwards, by time; a left row takes the last right row
+    that has gone by. The sort is by ranges and the last row is carried over their borders, so a key of
+    any number of rows is spread over tasks; no pairs are made. Of equal times the right row with the smaller
+    ``right_order`` wins; right rows of equal order count as one. Gives the left columns and ``match`` (the right row).
     """
-    span = lambda c: F.floor(F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")) / days)
     keyed = lambda keys: F.explode(F.array_distinct(F.array_compact(F.array(*[F.concat(F.lit(f"{i}|"), k) for i, k in enumerate(keys)]))))
-    found = right.select(keyed(right_keys).alias("_key"), span(right_time).alias("_span"), F.lit(None).alias("_id"), F.col(right_time).alias("_t"), F.lit(1).alias("_kind"), F.col(right_order).alias("_o"), F.struct(*right.columns).alias("match"))
-    asked = left.select(F.col(left_id).alias("_id"), F.col(left_time).alias("_t"), keyed(left_keys).alias("_key"), F.explode(F.array(span(left_time), span(left_time) + 1)).alias("_span"))
-    both = asked.select("_key", "_span", "_id", "_t", F.lit(0).alias("_kind"), F.lit(None).alias("_o"), F.lit(None).alias("match")).unionByName(found)
-    backwards = Window.partitionBy("_key", "_span").orderBy(F.desc("_t"), F.desc("_kind"), F.desc("_o")).rowsBetween(Window.unboundedPreceding, 0)
-    late = F.expr(f"_t + interval {days} days")
-    hits = both.withColumn("match", F.last("match", ignorenulls=True).over(backwards)).where("_kind = 0").where(F.col(f"match.{right_time}") <= late)
-    best = hits.groupBy("_id").agg(F.min_by("match", F.struct(f"match.{right_time}", f"match.{right_order}")).alias("match"))
-    return left.join(best, F.col(left_id) == F.col("_id")).drop("_id")
+    seen = F.struct(F.col(right_time).alias("t"), F.col(right_order).alias("o"))
+    found = right.select(keyed(right_keys).alias("_key"), F.lit(None).alias("_id"), F.col(right_time).alias("_t"), seen.alias("_seen"))
+    asked = left.select(keyed(left_keys).alias("_key"), F.col(left_id).alias("_id"), F.col(left_time).alias("_t"), F.lit(None).alias("_seen"))
+    # at equal times the right rows come before the left ones, the one that wins last
+    order = [F.col("_key").asc(), F.col("_t").desc(), F.col("_seen").isNull().asc(), F.col("_seen.o").desc()]
+    carried = scan.running(scan.spread(asked.unionByName(found), order, "asof"), ["_key"], {"_next": scan.last(F.col("_seen"))})
+    hits = carried.where(F.col("_id").isNotNull() & (F.col("_next.t") <= F.expr(f"_t + interval {days} days")))
+    best = hits.groupBy("_id").agg(F.min("_next").alias("_next")).select("_id", F.col("_next.o").alias("_o"))
+    named = right.select(F.col(right_order).alias("_o"), F.struct(*right.columns).alias("match")).dropDuplicates(["_o"])
+    matched = best.join(named, "_o").drop("_o")
+    return left.join(matched, F.col(left_id) == F.col("_id")).drop("_id")
 
 
 def download_execution(timeline: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     """A download and the first execution of the same entity or file name within the window."""
-    is_run = ((F.col("artifact_type") == "prefetch") & (F.col("event_type") == "process_execution")) | ((F.col("artifact_type") == "evtx") & (F.col("event_type") == "powershell_pipeline_execution"))
-    downloads = timeline.where((F.col("artifact_type") == "browser") & (F.col("event_type") == "file_download"))
-    runs = timeline.where(is_run).select("event_id", "timestamp", "tl_pos", "confidence", "object_name", "entity_id", C.best_identity("object_name", "object_path").alias("file"))
-    found = asof_within(downloads.withColumn("file", C.best_identity("object_name", "object_path")), runs, [F.col("entity_id"), F.col("file")], [F.col("entity_id"), F.col("file")], "timestamp", "timestamp", "tl_pos", days, "tl_pos")
+    prefetch = (F.col("artifact_type") == "prefetch") & (F.col("event_type") == "process_execution")
+    pipeline = (F.col("artifact_type") == "evtx") & (F.col("event_type") == "powershell_pipeline_execution")
+    named = timeline.withColumn("file", C.best_identity("object_name", "object_path"))
+    fields = ["event_id", "timestamp", "tl_pos", "confidence", "object_name", "object_path", "entity_id", "file"]
+    downloads = named.where((F.col("artifact_type") == "browser") & (F.col("event_type") == "file_download")).select(fields)
+    runs = named.where(prefetch | pipeline).select(fields)
+    keys = [F.col("entity_id"), F.col("file")]
+    found = asof_within(downloads, runs, keys, keys, "timestamp", "timestamp", "tl_pos", days, "tl_pos")
     evidence = C.text_map({"download_path": "object_path", "executed_name": "match.object_name"})
-    return finding(found, "browser_download_execution", "Downloaded file was executed", "medium", C.combined_confidence("confidence", "match.confidence"), F.array("event_id", "match.event_id"), "A file downloaded through the browser was later executed, per Prefetch.", evidence, "match.timestamp")
+    said = "A file downloaded through the browser was later executed, per Prefetch."
+    rule = "browser_download_execution"
+    texts = [F.lit(x) for x in (rule, RULES.index(rule), "Downloaded file was executed", "medium", said)]
+    confidence = C.combined_confidence("confidence", "match.confidence")
+    return finding(found, *texts[:4], confidence, F.array("event_id", "match.event_id"), texts[4], evidence, "match.timestamp")
 
 
-#: Rule name to operator. Callers may run their own list.
-OPERATORS = {rule: single(rule) for rule in SINGLE} | {"powershell_execution": powershell_execution, "browser_download_execution": download_execution}
+#: Rule name to operator. Callers may run one alone.
+OPERATORS = {rule: event_rule(rule) for rule in EVENT_RULES} | {"browser_download_execution": download_execution}
 
 
-def run_rules(timeline: DataFrame, rules: dict | None = None) -> DataFrame:
-    """The findings of all rules, none merged; (rule_ord, tl_pos) is their order."""
-    return reduce(lambda a, b: a.unionByName(b), [run(timeline) for run in (OPERATORS if rules is None else rules).values()])
+def run_rules(timeline: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
+    """The findings of the rules, none merged; (rule_ord, tl_pos) is their order.
+
+    The timeline is read once: one projection gives each event its hits and leaves out all events that
+    bear on no rule; the rest is written, and both the hits and the pairs come from there.
+    """
+    marked = with_hits(timeline, tuple(r for r in EVENT_RULES if r in rules))
+    alone = "browser_download_execution" not in rules
+    if alone:
+        return _findings_of_hits(marked)
+    chained = F.col("event_type").isin("file_download", "process_execution", "powershell_pipeline_execution")
+    fields = ["event_id", "timestamp", "tl_pos", "confidence", "artifact_type", "event_type", "object_name", "object_path", "entity_id", "hits"]
+    rows = written(marked.where(chained | (F.size("hits") > 0)).select(fields), "hits")
+    return _findings_of_hits(rows).unionByName(download_execution(rows))
 
 
 def with_techniques(findings: DataFrame) -> DataFrame:

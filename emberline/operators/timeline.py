@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from emberline.functions import columns as C
 
+from .scan import ranked
+
 ORDER = ("timestamp", "artifact_type", "event_type", "_name", "ingest_seq", "emit_ord")
-RELATIONS = ("entity_id", "process_id", "path_key", "user", "logon_id", "host")
+#: The keys of :func:`relation_keys`; the sixth is entity_id.
+KEYS = ("process_key", "path_key", "user_key", "logon_key", "host_key")
 
 
 def reject_reason(raw_time: str | None = None) -> Column:
@@ -26,21 +29,12 @@ def validated(events: DataFrame, raw_time: str | None = None) -> DataFrame:
 
 
 def positions(rows: DataFrame, order: tuple[str, ...], out: str = "tl_pos") -> DataFrame:
-    """0, 1, 2, ... in the order of the columns, the first of them a time.
+    """0, 1, 2, ... in the order of the columns; the rows are sorted by ranges and written out once.
 
-    Rows are numbered within a minute; counts by minute, summed up within a day and then over the days,
-    give the offsets. No task sorts more than a minute of events, and the one window without a key runs
-    over one row for each day.
+    What follows reads that table, so the steps before it are not repeated. A moment that very many
+    events share is cut like any other stretch of the order.
     """
-    rows = rows.withColumn("_minute", F.date_trunc("minute", order[0]).cast("timestamp_ntz"))
-    minutes = rows.groupBy("_minute").agg(F.count("*").alias("_n")).withColumn("_day", F.to_date("_minute"))
-    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = minutes.withColumn("_in_day", before(Window.partitionBy("_day").orderBy("_minute")))
-    days = minutes.groupBy("_day").agg(F.sum("_n").alias("_n")).withColumn("_days", before(Window.orderBy("_day")))
-    offsets = within.join(days.select("_day", "_days"), "_day").select(F.col("_minute").alias("_m"), (F.col("_in_day") + F.col("_days")).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_minute").orderBy(*order)) - 1
-    numbered = rows.withColumn("_row", inside).join(offsets, F.col("_minute") == F.col("_m"))
-    return numbered.withColumn(out, F.col("_offset") + F.col("_row")).drop("_minute", "_m", "_row", "_offset")
+    return ranked(rows, [F.col(c).asc_nulls_first() for c in order], out)
 
 
 def timeline(events: DataFrame, raw_time: str | None = None) -> DataFrame:

@@ -80,7 +80,7 @@ FINDING_RULES = ("registry_persistence", "defender_detection", "browser_activity
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.run_rules(tl(spark, sf_dir), {r: rules.OPERATORS[r] for r in FINDING_RULES})
+    return rules.run_rules(tl(spark, sf_dir), FINDING_RULES)
 
 
 # --- the same in SQL
@@ -125,13 +125,15 @@ FINDINGS_SQL = f"""{TL_SQL}, {PAIRS_SQL}, cor AS (
 {_ONE.format(rule="defender_detection", severity="high", order=3, where="artifact_type = 'defender'")} UNION ALL
 {_ONE.format(rule="browser_activity", severity="low", order=6, where="artifact_type = 'browser'")} UNION ALL
 SELECT sha256(concat_ws('|', 'browser_download_execution', d_id, e_id)), 'browser_download_execution', 'medium', least(d_conf, e_conf), d_time, e_time, [d_id, e_id], CASE WHEN d_entity IS NULL THEN [] ELSE [d_entity] END, 8, d_pos, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), e_name, d_path, 'A file downloaded through the browser was later executed, per Prefetch.' FROM pairs WHERE rn = 1)"""
-CLUSTERS_SQL = f"""{FINDINGS_SQL}, links AS (SELECT DISTINCT 'c:' || correlation_id AS a, unnest(list_concat(list_transform(event_ids, lambda x: 'v:' || x), list_transform(entity_ids, lambda x: 'n:' || x))) AS b FROM cor),
+CLUSTERS_OF_COR = """links AS (SELECT DISTINCT 'c:' || correlation_id AS a, unnest(list_concat(list_transform(event_ids, lambda x: 'v:' || x), list_transform(entity_ids, lambda x: 'n:' || x))) AS b FROM cor),
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach(node, root) AS (SELECT a, least(a, min(b)) FROM both_ways GROUP BY a UNION SELECT w.b, r.root FROM reach r JOIN both_ways w ON w.a = r.node WHERE r.root < w.b),
 roots AS (SELECT substr(node, 3) AS correlation_id, min(root) AS root FROM reach WHERE node LIKE 'c:%' GROUP BY node)"""
-INCIDENTS_SQL = f"""{CLUSTERS_SQL}, last_cor AS (SELECT * FROM cor QUALIFY row_number() OVER (PARTITION BY correlation_id ORDER BY rule_ord DESC, tl_pos DESC) = 1),
+CLUSTERS_SQL = f"{FINDINGS_SQL}, {CLUSTERS_OF_COR}"
+INCIDENTS_OF_COR = """last_cor AS (SELECT * FROM cor QUALIFY row_number() OVER (PARTITION BY correlation_id ORDER BY rule_ord DESC, tl_pos DESC) = 1),
 inc AS (SELECT list_sort(list_distinct(list(correlation_id))) AS primary_ids, min(start_time) AS start_time, max(end_time) AS end_time, ['low', 'medium', 'high', 'critical'][max(list_position(['low', 'medium', 'high', 'critical'], severity))] AS severity, min(confidence) AS confidence,
 list_sort(list_distinct(flatten(list(event_ids)))) AS event_ids, list_sort(list_distinct(flatten(list(entity_ids)))) AS entity_ids, list_sort(list_distinct(list(rule_name))) AS rule_names FROM last_cor JOIN roots USING (correlation_id) GROUP BY root),
 incidents AS (SELECT *, sha256(array_to_string(primary_ids, '|')) AS incident_id FROM inc),
 ranked AS (SELECT *, row_number() OVER (ORDER BY list_position(['low', 'medium', 'high', 'critical'], severity) DESC, confidence DESC, len(primary_ids) DESC, len(event_ids) DESC, incident_id) AS priority_rank FROM incidents)"""
+INCIDENTS_SQL = f"{CLUSTERS_SQL}, {INCIDENTS_OF_COR}"
 
 SRU_NET = f"""WITH r AS (SELECT CAST(floor(value) AS BIGINT) AS v, {K} AS app, user_id FROM events), n AS (SELECT app, user_id, CASE WHEN app % 4 <> 0 THEN 'app' || app ELSE 'AppId:' || app END AS application, CASE WHEN v % 2 = 0 THEN v ELSE 0 END AS sent, CASE WHEN v % 4 < 2 THEN 0 ELSE v END AS received FROM r)"""

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from emberline.functions import columns as C
 from emberline.operators import incidents as inc
 from emberline.operators import ioc, rollups, rules, timeline
+from emberline.operators.digests import streamed_sha256
 from emberline.operators.store import written
 
-from .adapters import CLUSTERS_SQL, EVT, EVTX_EVENTS_SQL, FINDINGS_SQL, INCIDENTS_SQL, MFT, SRU_NET, TL_SQL, evt, evtx_tl, findings, iso_sql, tl, view
+from .adapters import CLUSTERS_SQL, EVT, EVTX_EVENTS_SQL, FINDING_RULES, FINDINGS_SQL, INCIDENTS_SQL, MFT, SRU_NET, TL_SQL, evt, evtx_tl, findings, iso_sql, tl, view
 from .core import joined, pair
 
 FOUND = ["correlation_id", "severity", "confidence", "start_time", "end_time"]
@@ -89,7 +90,6 @@ def _asof(s, d):
 
 pair("g11_asof_within", """SELECT o_orderkey, item FROM orders o, LATERAL (SELECT l_orderkey * 10 + l_linenumber AS item FROM lineitem WHERE l_suppkey % 10 = o.o_custkey % 10 AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 7 DAY ORDER BY l_shipdate, item LIMIT 1)""")(_asof)
 pair("g12_combined_confidence", f"WITH r AS ({EVT}) SELECT ingest_seq, CAST(least(confidence, CASE WHEN k % 2 = 0 THEN 0.5 END, 1.0) AS DOUBLE) AS c FROM r")(lambda s, d: evt(s, d).select("ingest_seq", C.combined_confidence("confidence", F.when(F.col("k") % 2 == 0, F.lit(0.5))).alias("c")))
-pair("g13_all_rules", f"WITH {FINDINGS_SQL} SELECT rule_name, rule_ord, tl_pos, correlation_id FROM cor")(lambda s, d: findings(s, d).select("rule_name", "rule_ord", "tl_pos", "correlation_id"))
 pair("g14_techniques", f"WITH {FINDINGS_SQL} SELECT correlation_id, CASE rule_name WHEN 'registry_persistence' THEN 'T1547.001' WHEN 'defender_detection' THEN 'T1562.001' WHEN 'browser_activity' THEN 'T1016' ELSE 'T1105|T1204.002' END AS techniques FROM cor")(lambda s, d: rules.with_techniques(findings(s, d)).select("correlation_id", joined("techniques").alias("techniques")))
 
 # --- H: incidents
@@ -107,18 +107,18 @@ pair("h4_clusters", f"WITH RECURSIVE {CLUSTERS_SQL} SELECT correlation_id, root
 
 def _incidents(s, d):
     found = written(rules.with_techniques(findings(s, d)), "findings")
-    return written(inc.incidents(found), "incidents"), found
+    return inc.incidents(found), found
 
 
 made = lambda s, d: _incidents(s, d)[0]
-pair("h5_incident_id", f"WITH RECURSIVE {INCIDENTS_SQL} SELECT incident_id, CAST(len(primary_ids) AS INT) AS n FROM incidents")(lambda s, d: made(s, d).select("incident_id", F.size("primary_correlation_ids").alias("n")))
+pair("h5_incident_id", f"WITH RECURSIVE {INCIDENTS_SQL} SELECT incident_id, CAST(len(primary_ids) AS INT) AS n FROM incidents")(lambda s, d: made(s, d).head.select("incident_id", F.col("n_primary").cast("int").alias("n")))
 pair("h6_incidents", f"WITH RECURSIVE {INCIDENTS_SQL} SELECT incident_id, start_time, end_time, severity, CAST(confidence AS DOUBLE) AS confidence, array_to_string(event_ids, '|') AS event_ids, array_to_string(entity_ids, '|') AS entity_ids, array_to_string(rule_names, '|') AS rule_names FROM incidents")(
-    lambda s, d: made(s, d).select("incident_id", "start_time", "end_time", "severity", "confidence", joined("event_ids").alias("event_ids"), joined("entity_ids").alias("entity_ids"), joined("rule_names").alias("rule_names"))
+    lambda s, d: made(s, d).listed().select("incident_id", "start_time", "end_time", "severity", "confidence", joined("event_ids").alias("event_ids"), joined("entity_ids").alias("entity_ids"), joined("rule_names").alias("rule_names"))
 )
 KEPT = "confidence >= 0.55 AND len(primary_ids) >= 3 AND len(event_ids) >= 5 AND epoch_us(end_time) - epoch_us(start_time) >= 10000000 AND NOT list_has_all(['registry_persistence', 'scheduled_task_persistence', 'browser_activity', 'logon_activity', 'process_execution'], rule_names)"
 _ENRICHED = f"""{INCIDENTS_SQL}, kept AS (SELECT * FROM incidents WHERE {KEPT}), prim AS (SELECT DISTINCT unnest(primary_ids) AS correlation_id FROM kept), ctx AS (SELECT * FROM last_cor WHERE rule_name IN ('registry_persistence', 'browser_activity') AND correlation_id NOT IN (SELECT correlation_id FROM prim)),
 near AS (SELECT incident_id, ctx.correlation_id FROM kept JOIN ctx ON ctx.start_time >= kept.start_time - INTERVAL 10 MINUTE AND ctx.start_time <= kept.end_time + INTERVAL 10 MINUTE UNION SELECT incident_id, ctx.correlation_id FROM (SELECT incident_id, unnest(list_concat(event_ids, entity_ids)) AS l FROM kept) JOIN (SELECT correlation_id, unnest(list_concat(event_ids, entity_ids)) AS l FROM ctx) ctx USING (l))"""
-pair("h7_enrich", f"WITH RECURSIVE {_ENRICHED} SELECT incident_id, CAST(count(n.correlation_id) AS INT) AS n, coalesce(sha256(string_agg(n.correlation_id, '|' ORDER BY n.correlation_id)), 'none') AS ids FROM kept LEFT JOIN near n USING (incident_id) GROUP BY incident_id")(lambda s, d: _enriched(s, d)[0].select("incident_id", F.size("supporting_correlation_ids").alias("n"), F.when(F.size("supporting_correlation_ids") == 0, "none").otherwise(F.sha2(joined("supporting_correlation_ids"), 256)).alias("ids")))
+pair("h7_enrich", f"WITH RECURSIVE {_ENRICHED} SELECT incident_id, CAST(count(n.correlation_id) AS INT) AS n, coalesce(sha256(string_agg(n.correlation_id, '|' ORDER BY n.correlation_id)), 'none') AS ids FROM kept LEFT JOIN near n USING (incident_id) GROUP BY incident_id")(lambda s, d: _supporting(_enriched(s, d)[0]))
 
 
 def _enriched(s, d):
@@ -126,7 +126,12 @@ def _enriched(s, d):
     return inc.enrich(inc.keep_incidents(incs), found), found
 
 
-pair("h8_keep", f"WITH RECURSIVE {INCIDENTS_SQL} SELECT incident_id FROM incidents WHERE {KEPT}")(lambda s, d: inc.keep_incidents(made(s, d)).select("incident_id"))
+def _supporting(incs):
+    ids = streamed_sha256(incs.supporting(), ["incident_id"], "correlation_id", "ids", "|")
+    return incs.head.join(ids, "incident_id", "left").select("incident_id", F.col("n_supporting").cast("int").alias("n"), F.coalesce("ids", F.lit("none")).alias("ids"))
+
+
+pair("h8_keep", f"WITH RECURSIVE {INCIDENTS_SQL} SELECT incident_id FROM incidents WHERE {KEPT}")(lambda s, d: inc.keep_incidents(made(s, d)).head.select("incident_id"))
 
 
 def _serialized(s, d):
@@ -153,9 +158,13 @@ pair("h12_attack_chain", f"WITH {FINDINGS_SQL} SELECT CASE rule_name WHEN 'brows
 def _verdicts(s, d):
     incs = _enriched(s, d)[0]
     verdict = F.when(F.substring("incident_id", 1, 1) < "4", "AGREE").when(F.substring("incident_id", 1, 1) < "c", "PARTIALLY_AGREE")
-    given = incs.select("incident_id", verdict.alias("verdict"), F.concat(F.slice("primary_correlation_ids", 1, 1), F.array(F.lit("unheard of"))).alias("remove"), F.slice("supporting_correlation_ids", 1, 2).alias("promote")).where("verdict IS NOT NULL")
-    out = inc.apply_verdicts(incs, given)
-    return out.select("incident_id", "verdict", F.size("removed").alias("n_removed"), F.size("promoted").alias("n_promoted"), F.size("primary_correlation_ids").alias("n_primary"), F.size("supporting_correlation_ids").alias("n_supporting"))
+    first = incs.listed().select("incident_id", F.slice("primary_correlation_ids", 1, 1).alias("p"), F.slice("supporting_correlation_ids", 1, 2).alias("promote"))
+    given = first.select("incident_id", verdict.alias("verdict"), F.concat("p", F.array(F.lit("unheard of"))).alias("remove"), "promote").where("verdict IS NOT NULL")
+    out, changes = inc.apply_verdicts(incs, given)
+    count = lambda change: F.count_if(F.col("change") == change).cast("int").alias(f"n_{change}")
+    joined_ = out.head.join(changes.groupBy("incident_id").agg(count("removed"), count("promoted")), "incident_id", "left")
+    own = [F.coalesce(n, F.lit(0)).alias(n) for n in ("n_removed", "n_promoted")]
+    return joined_.select("incident_id", "verdict", *own, *[F.col(n).cast("int").alias(n) for n in ("n_primary", "n_supporting")])
 
 
 pair("h13_apply_verdicts", f"""WITH RECURSIVE {_ENRICHED}, sup AS (SELECT incident_id, CAST(count(n.correlation_id) AS INT) AS ns FROM kept LEFT JOIN near n USING (incident_id) GROUP BY incident_id),
@@ -167,12 +176,17 @@ WHEN 2 THEN 'no json' WHEN 3 THEN '{"verdict":"AGREE","confidence":true,"reasoni
 pair("h14_verdict_error", "SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 1 THEN 'unknown verdict' WHEN 2 THEN 'not an object' WHEN 3 THEN 'confidence is no number' WHEN 4 THEN 'suggested_additions is no list of texts' WHEN 5 THEN 'missing reasoning' END AS error FROM conversations")(lambda s, d: view(s, d, ANSWERS, "conversations").select("conv_id", "turn", inc.verdict_error("answer").alias("error")))
 
 # --- I: indicators
-pair("i1_lookups", f"WITH RECURSIVE {INCIDENTS_SQL} SELECT correlation_id, incident_id AS incident_ids FROM (SELECT incident_id, unnest(primary_ids) AS correlation_id FROM incidents)")(lambda s, d: ioc.incident_lookup(made(s, d)).select("correlation_id", joined("incident_ids").alias("incident_ids")))
+def _with_findings(rows, name):
+    """The candidates of one extractor on a timeline and the findings of all rules on it."""
+    return ioc.extract(rows, rules.run_rules(rows), (name,))
+
+
+pair("i1_lookups", f"WITH RECURSIVE {INCIDENTS_SQL} SELECT correlation_id, incident_id AS incident_ids FROM (SELECT incident_id, unnest(primary_ids) AS correlation_id FROM incidents)")(lambda s, d: ioc.incident_lookup(made(s, d)).select("correlation_id", F.col("incident_id").alias("incident_ids")))
 FILES_SQL = f"""{TL_SQL}, fi AS (SELECT CASE WHEN artifact_type = 'browser' AND event_type = 'file_download' THEN 'dropped_file' WHEN lower(object_path) SIMILAR TO '.*\\.(exe|dll)' THEN 'executable' ELSE 'file' END AS ioc_type, object_path AS value, tl_pos FROM tl WHERE contains(object_path, chr(92)))"""
-pair("i2_files", f"WITH {FILES_SQL} SELECT ioc_type, value, tl_pos FROM fi")(lambda s, d: ioc.files(tl(s, d), None).select("ioc_type", "value", F.col("pos").alias("tl_pos")))
-pair("i3_registry", f"""WITH {TL_SQL}, r AS (SELECT * FROM tl WHERE artifact_type = 'registry') SELECT ioc_type, value, count(*) AS n FROM (SELECT 'registry_key' AS ioc_type, key_path AS value FROM r UNION ALL SELECT 'registry_value', key_path || chr(92) || object_name || ' = ' || object_path FROM r UNION ALL SELECT 'persistence_location', key_path FROM r) GROUP BY ALL""")(lambda s, d: ioc.registry(tl(s, d), findings(s, d)).groupBy("ioc_type", "value").agg(F.count("*").alias("n")))
+pair("i2_files", f"WITH {FILES_SQL} SELECT ioc_type, value, tl_pos FROM fi")(lambda s, d: ioc.extract(tl(s, d), None, ("files",)).select("ioc_type", "value", F.col("cand_ord.pos").alias("tl_pos")))
+pair("i3_registry", f"""WITH {TL_SQL}, r AS (SELECT * FROM tl WHERE artifact_type = 'registry') SELECT ioc_type, value, count(*) AS n FROM (SELECT 'registry_key' AS ioc_type, key_path AS value FROM r UNION ALL SELECT 'registry_value', key_path || chr(92) || object_name || ' = ' || object_path FROM r UNION ALL SELECT 'persistence_location', key_path FROM r) GROUP BY ALL""")(lambda s, d: _with_findings(tl(s, d), "registry").groupBy("ioc_type", "value").agg(F.count("*").alias("n")))
 pair("i4_powershell", f"""WITH {POWERSHELL_SQL}, e AS (SELECT * FROM ps WHERE severity IS NOT NULL) SELECT ioc_type, value, severity, count(*) AS n FROM (SELECT 'command_line' AS ioc_type, command_line AS value, NULL AS severity FROM xtl UNION ALL SELECT 'powershell_script', script_name, NULL FROM xtl WHERE script_name IS NOT NULL UNION ALL SELECT 'command_line', command_line, severity FROM e UNION ALL SELECT 'powershell_script', script_name, severity FROM e WHERE script_name IS NOT NULL) GROUP BY ALL""")(
-    lambda s, d: ioc.powershell(evtx_tl(s, d), rules.powershell_execution(evtx_tl(s, d))).groupBy("ioc_type", "value", "severity").agg(F.count("*").alias("n"))
+    lambda s, d: _with_findings(evtx_tl(s, d), "powershell").groupBy("ioc_type", "value", "severity").agg(F.count("*").alias("n"))
 )
 
 
@@ -184,10 +198,10 @@ def _texts(s, d):
 
 NET_SQL = "t AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'p' || page_id, url || ' ' || html FROM pages), m AS (" + " UNION ALL ".join(
     f"SELECT '{kind}' AS type, unnest(regexp_extract_all(text, '{pattern}', 0)) AS value FROM t"
-    for kind, pattern in (("url", ioc.URL.replace("'", "''").replace(r"\"", '"')), ("ipv4", ioc.IPV4), ("domain", ioc.DOMAIN))
+    for kind, pattern in (("url", ioc.URL.replace("'", "''").replace(r"\"", '"')), ("ipv4", ioc.IPV4), ("ipv6", ioc.IPV6), ("domain", ioc.DOMAIN))
 ) + ")"
-pair("i5_network", f"WITH {NET_SQL} SELECT type, CASE WHEN type = 'url' THEN regexp_replace(value, '[).,;''\"]+$', '') ELSE value END AS value, count(*) AS n FROM m WHERE type <> 'domain' OR NOT regexp_full_match(value, '{ioc.IPV4}') GROUP BY ALL")(
-    lambda s, d: _texts(s, d).select(F.explode(ioc.text_indicators(F.col("text"))).alias("i")).where("i.type <> 'ipv6'").groupBy("i.type", "i.value").agg(F.count("*").alias("n"))
+pair("i5_network", f"WITH {NET_SQL} SELECT type, CASE WHEN type = 'url' THEN regexp_replace(value, '[).,;''\"]+$', '') ELSE value END AS value, count(*) AS n FROM m WHERE CASE type WHEN 'domain' THEN NOT regexp_full_match(value, '{ioc.IPV4}') WHEN 'ipv6' THEN len(string_split(value, ':')) > 2 ELSE true END GROUP BY ALL")(
+    lambda s, d: _texts(s, d).select(F.explode(ioc.text_indicators(F.col("text"))).alias("i")).groupBy("i.type", "i.value").agg(F.count("*").alias("n"))
 )
 
 
@@ -196,9 +210,9 @@ def _referred(s, d):
     return tl(s, d).withColumn("evidence_str", C.text_map({"referrer": ref}))
 
 
-pair("i6_browser", f"""WITH {TL_SQL}, b AS (SELECT * FROM tl WHERE artifact_type = 'browser'), c AS (SELECT 'url' AS ioc_type, object_path AS value FROM b WHERE event_type = 'url_visit' UNION ALL SELECT 'dropped_file', object_path FROM b WHERE event_type = 'file_download' UNION ALL SELECT 'url', 'https://r.example.com/' || k FROM b WHERE event_type = 'file_download' AND k % 3 = 0) SELECT ioc_type, value, count(*) AS n FROM c GROUP BY ALL""")(lambda s, d: ioc.browser(_referred(s, d), None).groupBy("ioc_type", "value").agg(F.count("*").alias("n")))
-pair("i7_services", f"WITH {FINDINGS_SQL}, e AS (SELECT event_ids[1] AS event_id, correlation_id FROM cor WHERE rule_name = 'registry_persistence'), l AS (SELECT * FROM tl QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY tl_pos DESC) = 1) SELECT 'service' AS ioc_type, l.object_name AS value, e.correlation_id, 'low' AS severity FROM e JOIN l USING (event_id)")(lambda s, d: ioc.services(tl(s, d), findings(s, d)).select("ioc_type", "value", F.get("correlation_ids", F.lit(0)).alias("correlation_id"), "severity"))
-pair("i8_tasks", "SELECT 'scheduled_task' AS ioc_type, s_name AS value, 'low' AS severity FROM supplier UNION ALL SELECT 'command_line', 'run ' || s_suppkey, NULL FROM supplier WHERE s_suppkey % 3 <> 0")(lambda s, d: ioc.tasks(_task_tl(s, d), _task_findings(s, d)).select("ioc_type", "value", "severity"))
+pair("i6_browser", f"""WITH {TL_SQL}, b AS (SELECT * FROM tl WHERE artifact_type = 'browser'), c AS (SELECT 'url' AS ioc_type, object_path AS value FROM b WHERE event_type = 'url_visit' UNION ALL SELECT 'dropped_file', object_path FROM b WHERE event_type = 'file_download' UNION ALL SELECT 'url', 'https://r.example.com/' || k FROM b WHERE event_type = 'file_download' AND k % 3 = 0) SELECT ioc_type, value, count(*) AS n FROM c GROUP BY ALL""")(lambda s, d: ioc.extract(_referred(s, d), None, ("browser",)).groupBy("ioc_type", "value").agg(F.count("*").alias("n")))
+pair("i7_services", f"WITH {FINDINGS_SQL}, e AS (SELECT event_ids[1] AS event_id, correlation_id FROM cor WHERE rule_name = 'registry_persistence'), l AS (SELECT * FROM tl QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY tl_pos DESC) = 1) SELECT 'service' AS ioc_type, l.object_name AS value, e.correlation_id, 'low' AS severity FROM e JOIN l USING (event_id)")(lambda s, d: _with_findings(tl(s, d), "services").select("ioc_type", "value", F.get("correlation_ids", F.lit(0)).alias("correlation_id"), "severity"))
+pair("i8_tasks", "SELECT 'scheduled_task' AS ioc_type, s_name AS value, 'low' AS severity FROM supplier UNION ALL SELECT 'command_line', 'run ' || s_suppkey, NULL FROM supplier WHERE s_suppkey % 3 <> 0")(lambda s, d: _with_findings(_task_tl(s, d), "tasks").select("ioc_type", "value", "severity"))
 
 
 def _hashed(s, d):
@@ -206,29 +220,7 @@ def _hashed(s, d):
     return tl(s, d).withColumns({"evidence_str": F.create_map(F.lit("h"), digest), "sha1": F.when(F.col("k") % 5 == 0, F.sha1(F.lit("x")))})
 
 
-pair("i9_hashes", f"""WITH {TL_SQL}, h AS (SELECT CASE k % 4 WHEN 0 THEN 'hash_sha256' WHEN 1 THEN 'hash_sha1' WHEN 2 THEN 'hash_md5' END AS ioc_type, CASE k % 4 WHEN 0 THEN sha256(k::VARCHAR) WHEN 1 THEN sha1(k::VARCHAR) WHEN 2 THEN md5(k::VARCHAR) END AS value FROM tl WHERE k % 4 <> 3 UNION ALL SELECT 'hash_sha1', sha1('x') FROM tl WHERE k % 5 = 0) SELECT ioc_type, value, count(*) AS n FROM h GROUP BY ALL""")(lambda s, d: ioc.hashes(_hashed(s, d), None).groupBy("ioc_type", "value").agg(F.count("*").alias("n")))
-SOME = {"files": ioc.files, "registry": ioc.registry, "services": ioc.services}
-
-
-def _iocs(s, d):
-    incs, found = _incidents(s, d)
-    return ioc.merge(ioc.extract(tl(s, d), found, SOME), ioc.incident_lookup(incs))
-
-
-I_SQL = f"""{INCIDENTS_SQL}, last_tl AS (SELECT * FROM tl QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY tl_pos DESC) = 1),
-cand2 AS (SELECT 0 AS o, tl_pos AS pos, 0 AS e, CASE WHEN event_type = 'file_download' THEN 'dropped_file' WHEN lower(object_path) SIMILAR TO '.*\\.(exe|dll)' THEN 'executable' ELSE 'file' END AS ioc_type, object_path AS value, confidence, timestamp AS a, timestamp AS b, [event_id] AS ev, [] AS co, description AS snip, NULL AS severity FROM tl WHERE contains(object_path, chr(92))
-UNION ALL SELECT 1, tl_pos, 0, 'registry_key', key_path, confidence, timestamp, timestamp, [event_id], [], description, NULL FROM tl WHERE artifact_type = 'registry'
-UNION ALL SELECT 1, tl_pos, 1, 'registry_value', key_path || chr(92) || object_name || ' = ' || object_path, confidence, timestamp, timestamp, [event_id], [], NULL, NULL FROM tl WHERE artifact_type = 'registry'
-UNION ALL SELECT 1, tl_pos + 10000000000, 0, 'persistence_location', ev_key, confidence, start_time, end_time, event_ids, [correlation_id], 'Registry persistence mechanism observed.', severity FROM cor WHERE rule_name = 'registry_persistence'
-UNION ALL SELECT 2, l.tl_pos, 0, 'service', l.object_name, c.confidence, l.timestamp, l.timestamp, [l.event_id], [c.correlation_id], l.object_path, 'low' FROM cor c JOIN last_tl l ON l.event_id = c.event_ids[1] WHERE c.rule_name = 'registry_persistence'),
-merged AS (SELECT ioc_type, lower(trim(value)) AS key, arg_min(value, (o, pos, e, value)) AS value, count(*) AS occurrences, CAST(max(confidence) AS DOUBLE) AS confidence, min(a) AS first_seen, max(b) AS last_seen, CAST(len(list_distinct(flatten(list(ev)))) AS INT) AS n_events, list_distinct(flatten(list(co))) AS co, max(severity) AS severity FROM cand2 GROUP BY 1, 2)"""
-pair("i10_merge", f"WITH RECURSIVE {I_SQL} SELECT ioc_type, key, value, occurrences, confidence, first_seen, last_seen, n_events, severity FROM merged")(lambda s, d: _iocs(s, d).select("ioc_type", "key", "value", "occurrences", "confidence", "first_seen", "last_seen", F.size("event_ids").alias("n_events"), "severity"))
-pair("i11_statistics", f"WITH RECURSIVE {I_SQL} SELECT ioc_type, count(*) AS n FROM merged GROUP BY 1")(lambda s, d: ioc.statistics(_iocs(s, d)))
-pair("i12_report", f"""WITH RECURSIVE {I_SQL}, j AS (SELECT m.ioc_type, m.key, m.value, m.occurrences, (SELECT string_agg(DISTINCT incident_id, ', ' ORDER BY incident_id) FROM incidents WHERE list_has_any(primary_ids, m.co)) AS ids FROM merged m)
-SELECT CASE WHEN ioc_type IN ('dropped_file', 'executable', 'file') THEN 'Files' WHEN ioc_type = 'service' THEN 'Services' ELSE 'Registry' END AS group_name, value, rtrim('[' || ioc_type || '] ' || value || ' (x' || occurrences || ') ' || CASE WHEN length(coalesce(ids, '')) > 80 THEN ids[1:80] || '...' ELSE coalesce(ids, '') END) AS line FROM j""")(lambda s, d: ioc.report(_iocs(s, d)))
-pair("i13_serialize", f"WITH RECURSIVE {I_SQL} SELECT ioc_type, key, value, {iso_sql('first_seen')} AS first_seen, occurrences::VARCHAR AS occurrences FROM merged")(lambda s, d: ioc.serialize(_iocs(s, d)).select("ioc_type", "key", *[F.get_json_object("json", f"$.{c}").alias(c) for c in ("value", "first_seen", "occurrences")]))
-
-
+pair("i9_hashes", f"""WITH {TL_SQL}, h AS (SELECT CASE k % 4 WHEN 0 THEN 'hash_sha256' WHEN 1 THEN 'hash_sha1' WHEN 2 THEN 'hash_md5' END AS ioc_type, CASE k % 4 WHEN 0 THEN sha256(k::VARCHAR) WHEN 1 THEN sha1(k::VARCHAR) WHEN 2 THEN md5(k::VARCHAR) END AS value FROM tl WHERE k % 4 <> 3 UNION ALL SELECT 'hash_sha1', sha1('x') FROM tl WHERE k % 5 = 0) SELECT ioc_type, value, count(*) AS n FROM h GROUP BY ALL""")(lambda s, d: ioc.extract(_hashed(s, d), None, ("hashes",)).groupBy("ioc_type", "value").agg(F.count("*").alias("n")))
 def _candidates(s, d):
     incs, found = _incidents(s, d)
     member = inc.members(incs, found).withColumn("member_ord", F.struct(F.lit(0).alias("kind"), F.col("correlation_id").alias("id")))
@@ -256,11 +248,20 @@ ranked = lambda s, d: inc.prioritize(made(s, d))
 pair("j1_tiers_narrow", f"WITH RECURSIVE {INCIDENTS_SQL}, n AS (SELECT *, severity = 'low' AND len(primary_ids) <= 1 AND len(rule_names) <= 1 AS noise FROM ranked) SELECT incident_id, CASE WHEN noise THEN 'noise' WHEN row_number() OVER (PARTITION BY noise ORDER BY priority_rank) <= 25 THEN 'detailed' ELSE 'summarized' END AS tier FROM n")(lambda s, d: rollups.tiers(ranked(s, d), rollups.noise_narrow(), 25).select("incident_id", "tier"))
 pair("j2_tiers_wide", f"WITH RECURSIVE {INCIDENTS_SQL}, n AS (SELECT *, severity = 'low' AND (len(primary_ids) <= 2 OR list_has_all(['registry_persistence', 'browser_activity'], rule_names)) AS noise FROM ranked) SELECT incident_id, CASE WHEN noise THEN 'noise' WHEN row_number() OVER (PARTITION BY noise ORDER BY priority_rank) <= 40 THEN 'detailed' ELSE 'summarized' END AS tier FROM n")(lambda s, d: rollups.tiers(ranked(s, d), rollups.noise_wide(), 40).select("incident_id", "tier"))
 pair("j3_overview", f"""WITH RECURSIVE {INCIDENTS_SQL} SELECT 'total' AS section, 'events' AS key, count(*)::VARCHAR AS value FROM tl UNION ALL SELECT 'span', 'first', {iso_sql('min(timestamp)')} FROM tl UNION ALL SELECT 'span', 'last', {iso_sql('max(timestamp)')} FROM tl UNION ALL SELECT 'total', 'incidents', count(*)::VARCHAR FROM incidents
-UNION ALL SELECT 'severity', severity, count(*)::VARCHAR FROM incidents GROUP BY severity UNION ALL SELECT 'rule', r, count(*)::VARCHAR FROM (SELECT unnest(rule_names) AS r FROM incidents) GROUP BY r""")(lambda s, d: rollups.overview(made(s, d), tl(s, d)))
+UNION ALL SELECT 'severity', severity, count(*)::VARCHAR FROM incidents GROUP BY severity UNION ALL SELECT 'rule', r, count(*)::VARCHAR FROM (SELECT unnest(rule_names) AS r FROM incidents) GROUP BY r""")(lambda s, d: _overview(s, d))
+def _overview(s, d):
+    rows = tl(s, d)
+    return rollups.overview(inc.incidents(rules.run_rules(rows, FINDING_RULES)).head, rows)
+
+
 pair("j4_timeline_digest", f"WITH {TL_SQL} SELECT artifact_type, event_type, count(*) AS n FROM tl GROUP BY ALL")(lambda s, d: rollups.counts_by_type(tl(s, d)))
-pair("j5_noise_by_rule", f"WITH RECURSIVE {INCIDENTS_SQL} SELECT r AS rule_name, count(*) AS n FROM (SELECT unnest(rule_names) AS r FROM incidents WHERE severity = 'low' AND len(primary_ids) <= 1) GROUP BY r")(lambda s, d: rollups.by_rule(made(s, d).where(rollups.noise_narrow())))
-pair("j6_incident_index", f"WITH RECURSIVE {INCIDENTS_SQL} SELECT incident_id[1:12] AS short_id, severity, CAST(confidence AS DOUBLE) AS confidence, CAST(len(primary_ids) AS INT) AS n_findings, CAST(len(event_ids) AS INT) AS n_events, array_to_string(rule_names, ', ') AS rules, {iso_sql('start_time')} AS start_time, {iso_sql('end_time')} AS end_time FROM incidents")(lambda s, d: rollups.incident_index(made(s, d)))
-pair("j7_detailed_order", f"WITH RECURSIVE {INCIDENTS_SQL} SELECT severity, CAST(confidence AS DOUBLE) AS confidence, CAST(len(primary_ids) AS INT) AS n FROM incidents ORDER BY list_position(['low', 'medium', 'high', 'critical'], severity) DESC, confidence DESC, n DESC")(lambda s, d: made(s, d).orderBy(*rollups.detailed_order(None)).select("severity", "confidence", F.size("primary_correlation_ids").alias("n")))
+pair("j5_noise_by_rule", f"WITH RECURSIVE {INCIDENTS_SQL} SELECT r AS rule_name, count(*) AS n FROM (SELECT unnest(rule_names) AS r FROM incidents WHERE severity = 'low' AND len(primary_ids) <= 1) GROUP BY r")(lambda s, d: rollups.by_rule(made(s, d).head.where(rollups.noise_narrow())))
+pair("j6_incident_index", f"WITH RECURSIVE {INCIDENTS_SQL} SELECT incident_id[1:12] AS short_id, severity, CAST(confidence AS DOUBLE) AS confidence, CAST(len(primary_ids) AS INT) AS n_findings, CAST(len(event_ids) AS INT) AS n_events, array_to_string(rule_names, ', ') AS rules, {iso_sql('start_time')} AS start_time, {iso_sql('end_time')} AS end_time FROM incidents")(lambda s, d: _index(s, d))
+def _index(s, d):
+    return rollups.incident_index(made(s, d).head).withColumns({n: F.col(n).cast("int") for n in ("n_findings", "n_events")})
+
+
+pair("j7_detailed_order", f"WITH RECURSIVE {INCIDENTS_SQL} SELECT severity, CAST(confidence AS DOUBLE) AS confidence, CAST(len(primary_ids) AS INT) AS n FROM incidents ORDER BY list_position(['low', 'medium', 'high', 'critical'], severity) DESC, confidence DESC, n DESC")(lambda s, d: made(s, d).head.orderBy(*rollups.detailed_order()).select("severity", "confidence", F.col("n_primary").cast("int").alias("n")))
 J8 = "SELECT doc_id, concat('x ', CASE WHEN doc_id % 2 = 0 THEN repeat('QUJD', 25) ELSE '' END, ' y ', text) AS value FROM documents"
 pair("j8_compact_evidence", f"WITH d AS ({J8}), c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(value, repeat('QUJD', 25), '<base64:100 chars omitted>') ELSE value END AS v FROM d) SELECT doc_id, CASE WHEN length(v) <= 500 THEN v ELSE v[1:500] || '... <' || (length(v) - 500) || ' more chars truncated>' END AS value FROM c")(lambda s, d: view(s, d, J8, "documents").select("doc_id", F.create_map(F.lit("v"), F.col("value")).alias("e")).select("doc_id", F.element_at(rollups.compact_evidence("e"), F.lit("v")).alias("value")))
 pair("j9_important_evidence", f"WITH {TL_SQL} SELECT event_id, tl_pos, 'registry_key=' || key_path AS kept FROM tl")(lambda s, d: tl(s, d).select("event_id", "tl_pos", F.create_map(F.lit("registry_key"), F.col("key_path"), F.lit("hive"), F.lit("x")).alias("e")).select("event_id", "tl_pos", F.array_join(F.transform(F.map_entries(rollups.important_evidence("e")), lambda x: F.concat_ws("=", x["key"], x["value"])), ",").alias("kept")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from emberline.functions import columns as C
 from emberline.operators import entities, graph, normalize, timeline
 
-from .adapters import CLUSTERS_SQL, EVT, EVT_SQL, EVTX_EVENTS_SQL, K, MFT, SEP, TL_SQL, USN, evt, evtx_landing, findings, id_sql, iso_sql, key_sql, tl, view
+from .adapters import CLUSTERS_SQL, EVT, EVT_SQL, EVTX_EVENTS_SQL, K, MFT, SEP, TL_SQL, USN, evt, evtx_landing, evtx_tl, findings, id_sql, iso_sql, key_sql, tl, view
 
 PAIRS: dict = {}
 
@@ -176,15 +176,22 @@ SELECT first_usn AS usn, g.event_type, n AS usn_record_count, CASE WHEN n > 1 TH
     lambda s, d: normalize.compact_usn(_usn(s, d)).select("usn", "event_type", "usn_record_count", "last_usn", joined(F.col("related_usns").cast("array<string>")).alias("related_usns"), joined("reason_flags").alias("reason_flags"))
 )
 pair("b26_merge_usb", f"""WITH {USB_SQL}, i AS (SELECT *, lower(vendor) AS x, p_brand || '|' || p_size || '|' || serial_number AS device FROM u) SELECT min(ingest_seq) AS ingest_seq, count(DISTINCT hive || key_path) - 1 AS more FROM (SELECT *, CASE WHEN p_size % 7 = 0 THEN 'SOFTWARE' ELSE 'NTUSER.DAT' END AS hive FROM i) GROUP BY device""")(
-    lambda s, d: normalize.merge_usb_devices(normalize.usb_devices(_keys(s, d))).select("ingest_seq", F.size("occurrences").cast("long").alias("more"))
+    lambda s, d: normalize.merge_usb_devices(normalize.usb_devices(_keys(s, d))).select("ingest_seq", F.col("n_occurrences").alias("more"))
 )
 pair("b27_merge_recent", f"""WITH r AS ({KEYS}), x AS (SELECT *, {DOC} AS doc FROM r WHERE ingest_seq % 8 = 6 AND p_size % 7 <> 0 AND p_size % 4 <> 0) SELECT min(ingest_seq) AS ingest_seq, doc AS document_path, CASE WHEN count(*) > 1 THEN 1 END AS n_keys FROM x GROUP BY doc, p_size""")(
     lambda s, d: normalize.merge_recent_documents(normalize.recent_documents(_keys(s, d))).select("ingest_seq", "document_path", F.when(F.col("related_registry_keys").isNotNull(), F.size("related_registry_keys")).alias("n_keys"))
 )
 pair("b28_merge_evidence", f"""WITH r AS ({EVT}), x AS (SELECT *, concat('{{"key_path":"', replace(key_path, chr(92), chr(92) || chr(92)), '"}}') AS ev FROM r WHERE artifact_type = 'registry') SELECT object_path AS document_path, count(DISTINCT ev) - 1 AS more FROM x GROUP BY object_path""")(
-    lambda s, d: normalize._first_of_each(evt(s, d).where("artifact_type = 'registry'").withColumn("evidence_str", C.text_map({"key_path": "key_path"})), {"path": F.col("object_path")}, {"occurrences": normalize._occurrences()}).select(F.col("object_path").alias("document_path"), F.size("occurrences").cast("long").alias("more"))
+    lambda s, d: _merged_registry(s, d)
 )
 
+
+def _merged_registry(s, d):
+    rows = evt(s, d).where("artifact_type = 'registry'").withColumn("evidence_str", C.text_map({"key_path": "key_path"}))
+    merged = normalize.merge_evidence(rows, {"path": F.col("object_path")})
+    return merged.select(F.col("object_path").alias("document_path"), F.col("n_occurrences").alias("more"))
+
+
 # --- C: times
 TIMES = "SELECT event_id, ts, value, epoch_us(ts) AS us FROM events"
 times = lambda s, d: view(s, d, "SELECT event_id, ts, value FROM events", "events").withColumn("us", F.timestamp_diff("MICROSECOND", F.expr(C.EPOCH), F.col("ts")))
@@ -227,7 +234,20 @@ pair("e4_entities", f"""WITH {TL_SQL}, k AS (SELECT * FROM tl WHERE entity_id IS
 h AS (SELECT f.entity_id, f.p, CASE WHEN f.p IS NULL THEN kl.object_name ELSE kp.object_name END AS name, kp.object_path AS path FROM f JOIN k kl ON kl.tl_pos = f.l LEFT JOIN k kp ON kp.tl_pos = f.p),
 a AS (SELECT entity_id, list_sort(list_distinct(list(alias))) AS aliases FROM (SELECT h.entity_id, unnest([CASE WHEN k.object_name IS DISTINCT FROM h.name THEN k.object_name END, CASE WHEN k.object_path IS DISTINCT FROM h.path THEN k.object_path END]) AS alias FROM h JOIN k ON k.entity_id = h.entity_id AND k.tl_pos > h.p) WHERE alias IS NOT NULL GROUP BY 1)
 SELECT entity_id, name, path, coalesce(array_to_string(aliases, '|'), '') AS aliases FROM h LEFT JOIN a USING (entity_id)""")(lambda s, d: entities.entities(tl(s, d)).select("entity_id", "name", "path", joined("aliases").alias("aliases")))
-pair("e5_resolve")(lambda s, d: entities.resolve(_keyed(s, d)))
+E5_SQL = f"""r AS (SELECT * FROM evt), ks AS (SELECT DISTINCT event_id, {BEST} AS own, unnest([{{'d': sha256('path|file|' || coalesce(object_path, '')), 's': 1}}, {{'d': CASE WHEN k % 5 = 0 THEN sha256('hash|file|h' || k) END, 's': 3}}, {{'d': CASE WHEN k % 7 = 0 THEN sha256('ref|file|r' || (ingest_seq % 50)) END, 's': 2}}]) AS x FROM r),
+keyed AS (SELECT event_id, own, x.d AS key, x.s AS strength FROM ks WHERE x.d IS NOT NULL),
+firm AS (SELECT DISTINCT 'e' || event_id AS a, 'k' || key AS b FROM keyed WHERE strength >= 2), firm_ways AS (SELECT a, b FROM firm UNION SELECT b, a FROM firm),
+firm_reach(node, root) AS (SELECT a, least(a, min(b)) FROM firm_ways GROUP BY a UNION SELECT w.b, f.root FROM firm_reach f JOIN firm_ways w ON w.a = f.node WHERE f.root < w.b),
+firm_roots AS (SELECT substr(node, 2) AS event_id, min(root) AS root FROM firm_reach WHERE node LIKE 'e%' GROUP BY node),
+firm_best AS (SELECT root, arg_min(key, (-strength, key)) AS entity_id FROM keyed JOIN firm_roots USING (event_id) GROUP BY root), united AS (SELECT event_id, entity_id FROM firm_roots JOIN firm_best USING (root)),
+leads AS (SELECT key, min(entity_id) AS low, max(entity_id) AS high FROM keyed JOIN united USING (event_id) WHERE strength = 1 GROUP BY key),
+led AS (SELECT k.event_id, min(own) AS own, min(low) AS low, max(high) AS high FROM keyed k LEFT JOIN leads USING (key) WHERE strength = 1 AND event_id NOT IN (SELECT event_id FROM united) GROUP BY k.event_id),
+loose AS (SELECT DISTINCT 'e' || event_id AS a, 'k' || key AS b FROM keyed WHERE event_id IN (SELECT event_id FROM led WHERE low IS NULL)), loose_ways AS (SELECT a, b FROM loose UNION SELECT b, a FROM loose),
+loose_reach(node, root) AS (SELECT a, least(a, min(b)) FROM loose_ways GROUP BY a UNION SELECT w.b, f.root FROM loose_reach f JOIN loose_ways w ON w.a = f.node WHERE f.root < w.b),
+loose_roots AS (SELECT substr(node, 2) AS event_id, min(root) AS root FROM loose_reach WHERE node LIKE 'e%' GROUP BY node),
+loose_best AS (SELECT root, min(key) AS entity_id FROM keyed JOIN loose_roots USING (event_id) GROUP BY root)"""
+E5_ROWS = "SELECT event_id, entity_id FROM united UNION ALL SELECT event_id, CASE WHEN low = high THEN low ELSE own END FROM led WHERE low IS NOT NULL UNION ALL SELECT event_id, entity_id FROM loose_roots JOIN loose_best USING (root)"
+pair("e5_resolve", f"WITH RECURSIVE {EVT_SQL}, {E5_SQL} {E5_ROWS}")(lambda s, d: entities.resolve(_keyed(s, d)))
 
 
 def _parts(s, d):
@@ -253,6 +273,29 @@ def _graph(s, d):
 # --- K: context
 pair("k1_neighbours", f"WITH {TL_SQL} SELECT tl_pos, lag(event_id) OVER (ORDER BY tl_pos) AS prev_event_id, lead(event_id) OVER (ORDER BY tl_pos) AS next_event_id FROM tl")(lambda s, d: timeline.neighbours(tl(s, d)).select("tl_pos", "prev_event_id", "next_event_id"))
 _PATH = "lower(trim(coalesce(nullif(object_path, ''), nullif(object_name, ''))))"
-pair("k2_relation_keys", f"""WITH {TL_SQL} SELECT tl_pos, {_PATH} AS path_key, lower("user") AS user_key FROM tl""")(lambda s, d: timeline.relation_keys(tl(s, d)).select("tl_pos", "path_key", "user_key"))
+RELATED_SQL = f"""{EVTX_EVENTS_SQL}, rel AS (SELECT tl_pos, entity_id, CAST(number % 13 AS VARCHAR) AS process_key, {_PATH} AS path_key, lower("user") AS user_key, CASE WHEN record_id % 7 > 0 THEN 'l' || record_id % 7 END AS logon_key, computer AS host_key FROM xtl)"""
+pair("k2_relation_keys", f"WITH {RELATED_SQL} SELECT * FROM rel")(lambda s, d: timeline.relation_keys(_related_tl(s, d)).select("tl_pos", "entity_id", *timeline.KEYS))
+
+
+def _related_tl(s, d):
+    """The event log with a process, a logon and a host of each event, in upper case and with blanks."""
+    rows = evtx_tl(s, d)
+    number = F.get_json_object(F.to_json("evidence_other"), "$.event_id").cast("long")
+    logon = F.col("record_id").cast("long") % 7
+    return rows.withColumns({"process_id": F.concat(F.lit(" "), (number % 13).cast("string")), "logon_id": F.when(logon > 0, F.concat(F.lit("L"), logon.cast("string"), F.lit(" "))), "host": F.upper("computer")})
+
+
+_COUNTS = ", ".join(f"CASE WHEN {k} IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY {k}) - 1 END AS {k}" for k in ("entity_id", "process_key", "path_key", "user_key", "logon_key", "host_key"))
+
+
+@pair("k2_relation_counts", f"WITH {RELATED_SQL} SELECT tl_pos, {_COUNTS} FROM rel")
+def _relation_counts(s, d):
+    rows = timeline.relation_keys(_related_tl(s, d)).select("tl_pos", F.col("tl_pos").alias("event_id"), "entity_id", *timeline.KEYS)
+    out = rows.select("tl_pos")
+    for key in ("entity_id", *timeline.KEYS):
+        out = out.join(timeline.related_counts(rows, key).select(F.col("event_id").alias("tl_pos"), F.col("related").alias(key)), "tl_pos")
+    return out
+
+
 pair("k3_related_counts", f"WITH {TL_SQL} SELECT event_id, CASE WHEN entity_id IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY entity_id) - 1 END AS related FROM tl")(lambda s, d: timeline.related_counts(tl(s, d), "entity_id"))
 pair("k3_related", f"WITH {TL_SQL} SELECT a.event_id, b.event_id AS related_event_id FROM tl a JOIN tl b ON a.entity_id = b.entity_id AND a.tl_pos <> b.tl_pos")(lambda s, d: timeline.related(tl(s, d), "entity_id"))

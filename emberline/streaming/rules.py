@@ -18,12 +18,10 @@ from pyspark.sql import functions as F
 from emberline.functions import columns as C
 from emberline.operators import rules
 
-STATELESS = ("registry_persistence", "scheduled_task_persistence", "service_installation", "defender_detection", "event_log_cleared", "usb_connection", "browser_activity", "powershell_execution")
-
 
 def findings(events: DataFrame) -> DataFrame:
     """The findings of all rules of one event, as a stream."""
-    return rules.run_rules(events, {name: rules.OPERATORS[name] for name in STATELESS})
+    return rules.run_rules(events, rules.EVENT_RULES)
 
 
 def executions_after_downloads(events: DataFrame, days: int = rules.WINDOW_DAYS, late: str = "1 hour") -> DataFrame:

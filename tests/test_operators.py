@@ -168,7 +168,7 @@ def test_edges_and_incidents(spark):
     edges = {(r.source, r.target): (r.score, r.matched_criteria) for r in incidents.edges(df).collect()}
     assert edges[("c1", "c2")] == (140, ["shared_event", "same_executable", "temporal_proximity"])
     assert edges[("c2", "c3")] == (135, ["shared_event", "same_executable"]) and ("c1", "c3") not in edges
-    made = {tuple(r.primary_correlation_ids): r for r in incidents.incidents(df).collect()}
+    made = {tuple(r.primary_correlation_ids): r for r in incidents.incidents(df).listed().collect()}
     big = made[("c1", "c2", "c3")]
     assert (big.severity, big.confidence, big.event_ids) == ("high", 0.5, ["e1", "e2"]) and big.incident_id == hashlib.sha256(b"c1|c2|c3").hexdigest()
     ranked = [r.priority_rank for r in incidents.prioritize(incidents.incidents(df)).orderBy("priority_rank").collect()]
@@ -177,9 +177,12 @@ def test_edges_and_incidents(spark):
 
 @pytest.mark.parametrize(("confidence", "n", "m", "seconds", "rules_", "kept"), [(0.55, 3, 5, 10, ["x"], True), (0.5499, 3, 5, 10, ["x"], False), (0.9, 2, 5, 10, ["x"], False), (0.9, 3, 4, 10, ["x"], False), (0.9, 3, 5, 9, ["x"], False), (0.9, 3, 5, 10, ["browser_activity"], False), (0.9, 3, 5, 10, [], False)])
 def test_filter_edges(spark, confidence, n, m, seconds, rules_, kept):
-    row = ("i", confidence, [str(i) for i in range(n)], [str(i) for i in range(m)], rules_, NOW, NOW + dt.timedelta(seconds=seconds))
-    df = one(spark, "incident_id string, confidence double, primary_correlation_ids array<string>, event_ids array<string>, rule_names array<string>, start_time timestamp_ntz, end_time timestamp_ntz", row)
-    assert (incidents.keep_incidents(df).count() == 1) == kept
+    row = ("i", confidence, n, m, rules_, NOW, NOW + dt.timedelta(seconds=seconds))
+    head = one(spark, "incident_id string, confidence double, n_primary long, n_events long, rule_names array<string>, start_time timestamp_ntz, end_time timestamp_ntz", row)
+    links = one(spark, "incident_id string, correlation_id string, supporting boolean", ("i", "c", False), ("j", "d", False))
+    ids = one(spark, "incident_id string, id string, n long", ("i", "e", 1), ("j", "f", 1))
+    left = incidents.keep_incidents(incidents.Incidents(head, links, ids, ids))
+    assert {t.count() for t in (left.head, left.correlations, left.events, left.entities)} == {int(kept)}
 
 
 def test_candidate_texts(spark):
@@ -200,7 +203,7 @@ def test_answers_with_repairs(spark):
 def test_indicator_merge(spark):
     t = "ioc_type string, value string, source_artifact string, first_seen timestamp_ntz, last_seen timestamp_ntz, confidence double, event_ids array<string>, correlation_ids array<string>, snippet string, severity string, cand_ord long"
     rows = [("url", v, "s", NOW, NOW, 0.5 + i / 10, [f"e{i}"], [], f"s{i % 6}", None if i == 0 else "low", i) for i, v in enumerate(("HTTP://A ", "http://a", " http://A", "http://b", " ", "http://a", "http://a", "http://a"))]
-    got = {r.key: r for r in ioc.merge(one(spark, t, *rows)).collect()}
+    got = {r.key: r for r in ioc.merge(one(spark, t, *rows)).head.collect()}
     a = got["http://a"]
     assert set(got) == {"http://a", "http://b"} and a.value == "HTTP://A " and a.occurrences == 6 and a.severity == "low" and a.snippets == ["s0", "s1", "s2", "s5"]
 
