@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -12,9 +12,9 @@ from .store import removed, written
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node ties its larger neighbours to the smallest node that it knows, itself included."""
-    both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    seen = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", F.col("lo")))
+    least = seen.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.join(least, F.col("lo") == F.col("u")).select("hi", F.col("m").alias("lo"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -24,9 +24,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return edges.join(least, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(own).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Equal for equal sets of edges."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.bit_xor(F.xxhash64("lo", "hi", F.lit(1)))).first())
+def _round(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
+    """The edges, written, and a state that is equal for equal sets of edges, taken on the way."""
+    seen = Observation()
+    state = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo")), F.bit_xor(F.xxhash64("lo", "hi", F.lit(1)))]
+    out = written(edges.observe(seen, *[c.alias(f"s{i}") for i, c in enumerate(state)]), label)
+    return out, tuple(seen.get.get(f"s{i}") for i in range(3))
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -37,14 +40,14 @@ def stars(edges: DataFrame) -> DataFrame:
     the longest path. A node's smallest neighbour comes from partial aggregates, and the join back to its
     edges is of a kind that adaptive execution splits where one node has very many.
     """
-    now = written(edges.distinct(), "edges")
-    before, state = None, _state(now)
+    now, state = _round(edges.distinct(), "edges")
+    before = None
     while state != before:
         large = written(_large_star(now), "large-star")
         removed(now)
-        now = written(_small_star(large), "small-star")
+        before = state
+        now, state = _round(_small_star(large), "small-star")
         removed(large)
-        before, state = state, _state(now)
     return now
 
 
@@ -63,7 +66,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return nodes.join(found, nodes.node == found.hi, "left").select("node", F.coalesce("lo", "node").alias("root"))
     kept = written(pairs.distinct(), "pairs")
     names = kept.select(F.explode(F.array("a", "b")).alias("node")).where("node IS NOT NULL").distinct()
-    nodes = written(ranked(names, [F.col("node").asc()], "id"), "nodes")
+    nodes = ranked(names, [F.col("node").asc()], "id")
     number = lambda end: nodes.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id"))
     numbered = kept.where("a <> b").join(number("a"), "a").join(number("b"), "b")
     found = stars(numbered.select(*oriented("a_id", "b_id")))

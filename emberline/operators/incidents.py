@@ -66,9 +66,14 @@ def edges(findings: DataFrame) -> DataFrame:
 
 
 def clusters(findings: DataFrame) -> DataFrame:
-    """correlation_id, root: components of findings joined by events and entities, over the bipartite graph (n links for n findings of an id)."""
-    links = shared_ids(findings).select(F.concat(F.lit("c:"), "correlation_id").alias("a"), F.col("link").alias("b"))
-    return components(links).where("node LIKE 'c:%'").select(F.substring("node", 3, 1000).alias("correlation_id"), "root")
+    """correlation_id, root: components of findings joined by events and entities.
+
+    Each finding is tied to the smallest one that has the same event or entity, n edges for n findings of an id.
+    """
+    links = shared_ids(findings).select("link", "correlation_id")
+    first = links.groupBy("link").agg(F.min("correlation_id").alias("first"))
+    found = components(links.join(first, "link").select("correlation_id", "first"), "correlation_id", "first")
+    return found.select(F.col("node").alias("correlation_id"), F.concat(F.lit("c:"), "root").alias("root"))
 
 
 def unique_findings(findings: DataFrame) -> DataFrame:
