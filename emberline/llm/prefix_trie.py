@@ -26,7 +26,6 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.operators import scan
+from emberline.operators.digests import streamed_sha256
 
 from .common import stored
 from .tokens import FIELDS, Index, pack_index
@@ -44,10 +44,8 @@ BAND = 6
 SHARD_NODES, LEAST_SHARDS = 1 << 16, 32
 #: Fixed values of how conversations are rebuilt: how many share a donor, and turns taken from it at most, plus one.
 SHARED, HEADS = 5, 9
-#: Turns of a conversation that are summed together before their sums are put together.
+#: Turns of a conversation whose sums one task takes, as a power of two: 4,096.
 STRETCH = 12
-#: Bytes of ids that one row holds while they are hashed.
-CHUNK_BYTES = 1 << 20
 
 
 def _pair(*parts: Column) -> list[Column]:
@@ -151,58 +149,6 @@ def accumulate(group: pa.Table) -> pa.Table:
     return pa.table([*(group[c] for c in kept), *(pa.array(v) for v in out.values())], [*kept, *out])
 
 
-def streamed_sha256(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """For each key the SHA-256 of its values, in order and joined by commas.
-
-    Tasks join the values of a range into rows of some CHUNK_BYTES; the rows of a key then go by one
-    after the other through the task that hashes them. So a key of any size fills no row and no memory.
-    """
-    order = [*[F.col(k).asc() for k in keys], F.col(value).asc()]
-    dealt = scan.spread(rows.select(*keys, value), order, "ids").sortWithinPartitions("part", "place")
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(len(keys))]
-            ids, parts, spots = (batch.column(len(keys) + i).to_pylist() for i in range(3))
-            out, start, size = [], 0, 0
-            for i in range(1, len(ids) + 1):
-                size += len(str(ids[i - 1])) + 1
-                if i == len(ids) or any(c[i] != c[start] for c in columns) or size >= CHUNK_BYTES:
-                    out.append((*(c[start] for c in columns), parts[start], spots[start], ",".join(map(str, ids[start:i]))))
-                    start, size = i, 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], [*keys, "part", "place", "ids"])
-
-    types = [pa.int64()] * (len(keys) + 2) + [pa.string()]
-    chunks = stored(dealt.select(*keys, value, "part", "place").mapInArrow(joined, f"{kinds}, part long, place long, ids string"), "id-chunks")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, out = None, None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key, ids = row[: len(keys)], row[-1]
-                if key != now:
-                    if state is not None:
-                        out.append((*now, state.hexdigest()))
-                    now, state = key, hashlib.sha256(ids.encode())
-                else:
-                    state.update(b"," + ids.encode())
-            if len(out) >= 4096:
-                yield given(out)
-                out = []
-        if state is not None:
-            out.append((*now, state.hexdigest()))
-            yield given(out)
-
-    def given(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * len(keys) + [pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], [*keys, name])
-
-    grouped = chunks.repartition(*keys).sortWithinPartitions(*keys, "part", "place").select(*keys, "ids")
-    return grouped.mapInArrow(hashed, f"{kinds}, {name} string")
-
-
 def trie(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256: one row for each node."""
     rows, lengths = rebuilt(turns(conversations, conv, turn, role, text))

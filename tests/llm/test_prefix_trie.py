@@ -5,6 +5,7 @@ import zlib
 import pytest
 
 from emberline.llm import prefix_trie
+from emberline.operators import digests
 
 
 def by_hand(rows):
@@ -58,7 +59,7 @@ def test_nodes_are_those_of_a_plain_walk(spark):
 def test_long_paths_in_many_bands_and_stretches(spark, monkeypatch, stretch):
     monkeypatch.setattr(prefix_trie, "STRETCH", stretch)
     monkeypatch.setattr(prefix_trie, "BAND", 2)
-    monkeypatch.setattr(prefix_trie, "CHUNK_BYTES", 8)
+    monkeypatch.setattr(digests, "CHUNK_BYTES", 8)
     rows = conversations(25, seed=4, most=60, texts=1) + [(5, t, "user", "x" * (t % 3)) for t in range(150)]
     assert found(spark, rows) == by_hand(rows)
 
