@@ -40,16 +40,29 @@ def shared_ids(findings: DataFrame) -> DataFrame:
     return findings.select("correlation_id", "rule_ord", "tl_pos", F.explode(F.array_distinct(links)).alias("link"))
 
 
+def edge_classes(findings: DataFrame) -> DataFrame:
+    """link, n, pairs: the findings that share an event or entity, as one class with its size and the number of pairs it stands for.
+
+    :func:`shared_ids` has the members. Both are linear in the findings, whatever they share; pairs can be drawn from them.
+    """
+    sizes = shared_ids(findings).groupBy("link").agg(F.count_distinct("rule_ord", "tl_pos").alias("n"))
+    return sizes.where("n > 1").withColumn("pairs", F.expr("n * (n - 1) DIV 2"))
+
+
+def pairs_of(findings: DataFrame, links: DataFrame) -> DataFrame:
+    """The candidate pairs of some classes only (``links``: link), each once."""
+    members_ = shared_ids(findings).join(links.select("link").distinct(), "link", "left_semi").select("link", F.struct("rule_ord", "tl_pos").alias("source_ord"))
+    other = members_.select("link", F.col("source_ord").alias("target_ord"))
+    return members_.join(other, "link").where("source_ord < target_ord").select("source_ord", "target_ord").distinct()
+
+
 def edge_candidates(findings: DataFrame) -> DataFrame:
     """source_ord, target_ord (struct<rule_ord, tl_pos>): pairs of findings that share an event or entity, each once.
 
     Only such pairs can reach the least score. Their number grows with the square of what shares an id,
     by contract, so this is on demand; components don't need it.
     """
-    at = F.struct("rule_ord", "tl_pos")
-    left = shared_ids(findings).select("link", at.alias("source_ord"))
-    right = left.select("link", F.col("source_ord").alias("target_ord"))
-    return left.join(right, "link").where("source_ord < target_ord").select("source_ord", "target_ord").distinct()
+    return pairs_of(findings, shared_ids(findings))
 
 
 def edges(findings: DataFrame) -> DataFrame:

@@ -297,5 +297,7 @@ def _relation_counts(s, d):
     return out
 
 
+_CLASSES = " UNION ALL ".join(f"SELECT '{k}' AS relation, {k} AS key, count(*) AS n FROM rel WHERE {k} IS NOT NULL GROUP BY 2 HAVING count(*) > 1" for k in ("entity_id", "process_key", "path_key", "user_key", "logon_key", "host_key"))
+pair("k3_relation_classes", f"WITH {RELATED_SQL} {_CLASSES}")(lambda s, d: timeline.relation_classes(timeline.relation_keys(_related_tl(s, d))))
 pair("k3_related_counts", f"WITH {TL_SQL} SELECT event_id, CASE WHEN entity_id IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY entity_id) - 1 END AS related FROM tl")(lambda s, d: timeline.related_counts(tl(s, d), "entity_id"))
 pair("k3_related", f"WITH {TL_SQL} SELECT a.event_id, b.event_id AS related_event_id FROM tl a JOIN tl b ON a.entity_id = b.entity_id AND a.tl_pos <> b.tl_pos")(lambda s, d: timeline.related(tl(s, d), "entity_id"))

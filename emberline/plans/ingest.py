@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import columns as C
 from emberline.operators.store import shared_path
-from emberline.sources import files, records
+from emberline.sources import files, looks, records
 
 from .adapters import EVT, SEP, view
 from .core import joined, pair
@@ -97,13 +97,26 @@ pair("a20_category", f"WITH m AS ({MANIFEST}) SELECT seq, {KIND} AS category FRO
 
 def _contents(s, d, kind: str, column):
     rows = s.read.parquet(f"{d}/documents.parquet")
-    return files.look_into(rows.select(F.col("doc_id").cast("string").alias("path"), F.lit(kind).alias("category"), F.encode(column, "UTF-8").alias("content")))
+    return looks.look_into(rows.select(F.col("doc_id").cast("string").alias("path"), F.lit(kind).alias("category"), F.encode(column, "UTF-8").alias("content")))
 
 
 pair("a21_text_context", "SELECT doc_id::VARCHAR AS path, length(text) - length(replace(text, chr(10), '')) AS lines, 'utf-8' AS encoding FROM documents")(lambda s, d: _contents(s, d, "text", F.col("text")).select("path", "lines", "encoding"))
 pair("a22_csv_context", "SELECT doc_id::VARCHAR AS path, 'a|b' AS columns, CAST(doc_id AS VARCHAR) || '|x,y' AS first_row FROM documents")(lambda s, d: _contents(s, d, "csv", F.concat(F.lit("a,b\n"), F.col("doc_id").cast("string"), F.lit(',"x,y"\n'))).select("path", joined("columns").alias("columns"), joined(F.get("preview_rows", F.lit(0))).alias("first_row")))
 JSONS = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN concat('[', event_id, ',2]') WHEN 2 THEN '{bad' ELSE concat('{"z":1,"a":', event_id, '}') END AS text FROM events"""
 pair("a23_json_context", """SELECT event_id, event_id % 4 <> 2 AS valid, CASE event_id % 4 WHEN 0 THEN 'object' WHEN 1 THEN 'array' WHEN 3 THEN 'object' END AS kind, CASE event_id % 4 WHEN 0 THEN 'k' WHEN 3 THEN 'a|z' END AS keys, CASE event_id % 4 WHEN 1 THEN 2 END AS length FROM events""")(lambda s, d: view(s, d, JSONS, "events").select("event_id", files.json_context("text").alias("c")).select("event_id", "c.valid", "c.kind", joined("c.keys").alias("keys"), "c.length"))
+
+
+@pair(
+    "a23_json_look",
+    """SELECT event_id::VARCHAR AS path, event_id % 4 <> 2 AS valid, CASE event_id % 4 WHEN 0 THEN 'object' WHEN 1 THEN 'array' WHEN 3 THEN 'object' END AS kind, CASE event_id % 4 WHEN 0 THEN 'k' WHEN 3 THEN 'a|z' END AS keys,
+CASE event_id % 4 WHEN 1 THEN 2 END AS length, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN concat('[', event_id, ',2]') WHEN 2 THEN '{bad' ELSE concat('{"z":1,"a":', event_id, '}') END AS preview FROM events""",
+)
+def _json_look(s, d):
+    rows = view(s, d, JSONS, "events").select(F.col("event_id").cast("string").alias("path"), F.lit("json").alias("category"), F.encode("text", "UTF-8").alias("content"))
+    seen = looks.look_into(rows)
+    return seen.select("path", F.col("json_valid").alias("valid"), F.col("json_type").alias("kind"), joined("json_keys").alias("keys"), F.col("json_length").cast("int").alias("length"), "preview")
+
+
 pair("a24_xml_context", "SELECT doc_id::VARCHAR AS path, doc_id % 2 = 0 AS xml_valid, CASE WHEN doc_id % 2 = 0 THEN 'r' || doc_id END AS root_tag FROM documents")(lambda s, d: _contents(s, d, "xml", F.concat(F.lit("<r"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, "/>").otherwise(">"))).select("path", "xml_valid", "root_tag"))
 pair("a25_unreadable", "SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 3 = 0 THEN 'unreadable' ELSE 'text' END AS category, CASE WHEN doc_id % 3 = 0 THEN 'no content' END AS error FROM documents")(lambda s, d: _contents(s, d, "text", F.when(F.col("doc_id") % 3 != 0, F.col("text"))).select("path", "category", "error"))
 pair("a26_inventory_context", f"""WITH m AS ({MANIFEST}), c AS (SELECT *, {KIND} AS category FROM m), o AS (SELECT path, category, min(seq) AS seq FROM c GROUP BY 1, 2), h AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY category ORDER BY seq) <= 3)

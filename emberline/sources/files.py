@@ -1,19 +1,14 @@
-"""Files: manifests, classification, inventories, and short looks into texts."""
+"""Files: manifests, classification and inventories."""
 
 from __future__ import annotations
 
-import csv
-import io
-import json
-import xml.etree.ElementTree as ET
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import columns as C
 
+from .looks import PREVIEW_CHARS
+
 #: Rules in order: artifact type, then what must hold: extension, exact name, a folder above, or a pattern.
 SIGNATURES = (
     ("evtx", {"extension": ".evtx"}), ("prefetch", {"extension": ".pf", "parent": "prefetch"}), ("amcache", {"name": "amcache.hve"}),
@@ -27,7 +22,6 @@ SIGNATURES = (
 PARSED = ("evtx", "prefetch", "amcache", "registry_system", "registry_software", "registry_sam", "registry_security", "registry_default", "registry_ntuser", "usrclass", "mft", "usn", "scheduled_task", "sru", "lnk", "jumplist", "browser")
 MARKDOWN, CSV, JSON, XML, SQLITE = (".md", ".markdown"), (".csv", ".tsv"), (".json",), (".xml",), (".sqlite", ".sqlite3", ".db")
 TEXTS = (".txt", ".ini", ".cfg", ".conf")
-HEAD_BYTES, PREVIEW_LINES, PREVIEW_CHARS, CSV_ROWS = 65_536, 20, 500, 5
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,56 +87,6 @@ def json_context(text: str | Column) -> Column:
     return F.struct(v.isNotNull().alias("valid"), F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(v.isNotNull(), "scalar").alias("kind"), F.array_sort(F.json_object_keys(F.when(kind.startswith("OBJECT"), t))).alias("keys"), F.json_array_length(F.when(kind.startswith("ARRAY"), t)).alias("length"), F.substring(t, 1, PREVIEW_CHARS).alias("preview"))
 
 
-LOOK = "path string, category string, encoding string, preview string, preview_truncated boolean, lines long, columns array<string>, preview_rows array<array<string>>, xml_valid boolean, root_tag string, error string"
-
-
-def _decoded(head: bytes) -> tuple[str, str]:
-    for encoding in ("utf-8", "utf-16", "cp1252"):
-        try:
-            return head.decode(encoding), encoding
-        except UnicodeError:
-            continue
-    return head.decode("latin-1"), "latin-1"
-
-
-def _look(path: str, kind: str, content: bytes | None) -> dict:
-    out: dict = dict.fromkeys(("encoding", "preview", "preview_truncated", "lines", "columns", "preview_rows", "xml_valid", "root_tag", "error")) | {"path": path, "category": kind}
-    if content is None:
-        return out | {"category": "unreadable", "error": "no content"}
-    text, encoding = _decoded(content[:HEAD_BYTES])
-    if kind in ("text", "log", "markdown"):
-        lines = text.splitlines()
-        preview = "\n".join(lines[:PREVIEW_LINES])
-        out |= {"encoding": encoding, "preview": preview[:PREVIEW_CHARS], "preview_truncated": len(preview) > PREVIEW_CHARS or len(lines) > PREVIEW_LINES, "lines": content.count(b"\n")}
-    elif kind == "csv":
-        rows = list(csv.reader(io.StringIO(text), delimiter="\t" if path.lower().endswith(".tsv") else ","))[: CSV_ROWS + 1]
-        out |= {"columns": rows[0] if rows else [], "preview_rows": rows[1:]}
-    elif kind == "json":
-        try:
-            json.loads(content)
-        except ValueError as error:
-            out["error"] = str(error)
-        out["preview"] = text[:PREVIEW_CHARS]
-    elif kind == "xml":
-        try:
-            out |= {"xml_valid": True, "root_tag": ET.fromstring(content).tag.rpartition("}")[2]}
-        except ET.ParseError as error:
-            out |= {"xml_valid": False, "error": str(error)}
-        out["preview"] = text[:PREVIEW_CHARS]
-    return out
-
-
-def look_into(files: DataFrame) -> DataFrame:
-    """A short look into each file (path, category, content): the decoders are tried per file, so this runs in Python, a batch of files at a time."""
-
-    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [_look(p, k, None if c is None else bytes(c)) for p, k, c in zip(batch["path"], batch["category"], batch["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=[part.split()[0] for part in LOOK.split(", ")])
-
-    return files.select("path", "category", "content").mapInPandas(seen, LOOK)
-
-
 def inventory_context(files: DataFrame, most: int = 3) -> DataFrame:
     """category, n, artifacts: files (path, name, category, seq and more) with equal paths, or else names, taken once; the first three found, by path and name."""
     key = F.coalesce(F.concat(F.lit("p:"), C.truthy("path")), F.concat(F.lit("n:"), C.truthy("name")), F.concat(F.lit("s:"), F.col("seq").cast("string")))

@@ -224,14 +224,6 @@ def test_timeline_does_not_depend_on_partitions(spark):
     assert pos(df) == pos(again) and [p for _, p in pos(df)] == list(range(300))
 
 
-def test_looks_into_files(spark):
-    df = one(spark, "path string, category string, content binary", ("a.txt", "text", bytearray(b"l1\nl2\n" + b"x" * 900)), ("b.csv", "csv", bytearray(b"h,i\n1,2\n")), ("c.xml", "xml", bytearray(b"<r xmlns='u'><a/></r>")), ("d.xml", "xml", bytearray(b"<r>")), ("e.txt", "text", bytearray("é".encode("cp1252") + b"!")), ("f", "text", None))
-    got = {r.path: r for r in files.look_into(df).collect()}
-    assert got["a.txt"].lines == 2 and got["a.txt"].preview_truncated and len(got["a.txt"].preview) == 500
-    assert got["b.csv"].columns == ["h", "i"] and got["b.csv"].preview_rows == [["1", "2"]]
-    assert got["c.xml"].root_tag == "r" and got["d.xml"].xml_valid is False and got["f"].category == "unreadable" and got["e.txt"].encoding in ("utf-16", "cp1252")
-
-
 def test_manifest_and_defender_logs(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "MPLog-1.log").write_bytes("2024-01-02T03:04:05.6Z [Cloud] Threat found: x\r\nno time\r\n".encode("utf-16-le"))
