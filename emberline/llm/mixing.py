@@ -136,7 +136,9 @@ def mix(docs: DataFrame, shares: DataFrame | None = None, key: str = "doc_id", s
 def mixed_documents(docs: DataFrame, shares: DataFrame | None = None, key: str = "doc_id", source: str = "source", block_rows: int | None = None, period: int = PERIOD) -> DataFrame:
     """The documents, all columns as they are, each as many times as :func:`mix` places it."""
     row, times, own_key, own_row = (free_name(docs, c) for c in ("row_hash", "placements", "placed_key", "placed_row"))
-    hashed = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    # maps have no hash of their own
+    told = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    hashed = docs.withColumn(row, F.xxhash64(*[told(f) for f in docs.schema.fields]))
     placed = mix(hashed, shares, key, source, [row], block_rows, period).groupBy(F.col(key).alias(own_key), F.col(row).alias(own_row)).agg(F.count("*").alias(times))
     joined = hashed.dropDuplicates([key, row]).join(placed, F.col(key).eqNullSafe(F.col(own_key)) & (F.col(row) == F.col(own_row)))
     return unfold(joined, F.col(times), free_name(joined, "copy")).select(*[F.col(f"`{c}`") for c in docs.columns])

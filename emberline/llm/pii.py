@@ -43,13 +43,13 @@ PATTERNS = {
 #: A text without this (a plain string, or a short pattern) has no match of the kind.
 HINTS = {"email": "@", "phone": "+"}
 CONTEXT = {
-    "email": ("mail", "contact", "write", "reach", "@"),
+    "email": ("mail", "email", "contact", "write", "reach", "@"),
     "ip": ("ip", "host", "server", "address", "from", "login"),
     "card": ("card", "visa", "credit", "pay", "karte", "tarjeta", "carte"),
     "phone": ("phone", "call", "tel", "mobile", "fax", "contact"),
     "ssn": ("ssn", "social", "security", "tax"),
     "local_phone": ("phone", "call", "tel", "mobile", "fax", "contact"),
-    "name": ("by", "from", "dear", "signed", "contact", "by"),
+    "name": ("by", "from", "dear", "signed", "contact"),
 }
 AGAINST = ("version", "build", "order", "invoice", "isbn", "item", "total", "serial", "sku")
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu")
@@ -115,9 +115,15 @@ def _listed(kind: str, m: Column) -> Column:
     return F.lit(0)
 
 
+def _whole(words: tuple[str, ...]) -> str:
+    """A pattern of whole words, or their plurals; marks stand anywhere."""
+    marks = [w for w in words if not w.isalpha()]
+    return "|".join([rf"(?<!\p{{L}})(?:{'|'.join(w for w in words if w.isalpha())})s?(?!\p{{L}})", *marks])
+
+
 def _near(kind: str, before: Column, after: Column) -> Column:
     around = F.lower(F.concat(before, F.lit(" "), after))
-    return _vote(around.rlike("|".join(CONTEXT[kind])), around.rlike("|".join(AGAINST)))
+    return _vote(around.rlike(_whole(CONTEXT[kind])), around.rlike(_whole(AGAINST)))
 
 
 def _edge(character: Column) -> Column:

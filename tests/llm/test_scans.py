@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from emberline.llm import pii, queries, secret_scan
 from pyspark.sql import functions as F
 
@@ -85,3 +86,9 @@ def test_extra_kinds(spark):
 def test_odd_rows(odd, none):
     for scan in (secret_scan.scan, pii.detect):
         assert scan(odd).count() == 9 and scan(none).count() == 0
+
+
+@pytest.mark.parametrize(("kind", "before", "vote"), [("ip", "shipping to ", 0), ("ip", "the IP: ", 1), ("local_phone", "hotel ", 0), ("local_phone", "Tel. ", 1), ("local_phone", "mobiles ", 1), ("email", "me@", 1), ("ip", "border ", 0), ("ip", "order ", -1), ("name", "nearby ", 0)])
+def test_context_words_are_whole_words(spark, kind, before, vote):
+    df = spark.createDataFrame([(before,)], "b string")
+    assert df.select(pii._near(kind, F.col("b"), F.lit(""))).first()[0] == vote

@@ -116,7 +116,7 @@ def test_more_sources_than_one_schedule_holds(spark):
 
 def test_mixed_documents_keep_columns(odd):
     names = ("_times", "_from", "unfold_times", "placed_key", "placed_row", "copy", "grp", "share", "d", "most", "q", "block", "nth", "epoch", "_md5", "_bucket")
-    odd = odd.selectExpr("*", *[f"1 AS {c}" for c in names])
+    odd = odd.selectExpr("*", *[f"1 AS {c}" for c in names], "map('k', doc_id) AS more", "array(map(1, named_struct('a', 'b'))) AS `a.b`")
     out = mixing.mixed_documents(odd, block_rows=2, period=10)
     assert out.columns == odd.columns
     assert {r.doc_id for r in out.collect()} == {1, 2, 3, 4, 5, 6, None}
