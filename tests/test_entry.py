@@ -7,7 +7,7 @@ from emberline import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One of each group in the quick test; the driver runs them all.
-SOME = ["a2_classify", "a14_task_xml", "b3_evtx", "b15_mft", "b25_compact_usn", "c5_coerce_time", "d3_timeline", "e4_entities", "g8_powershell", "g9_download_execution", "h2_edges", "h6_incidents", "i5_network", "i10_merge", "i19_dedup", "j3_overview", "k1_neighbours"]
+SOME = ["a2_classify", "a14_task_xml", "b3_evtx", "b15_mft", "b25_compact_usn", "c5_coerce_time", "d3_timeline", "e4_entities", "e5_resolve", "g8_powershell", "g9_download_execution", "g13_all_rules", "h1_edge_classes", "h2_edges", "h6_incidents", "h7_enrich", "i5_network", "i10_merge", "i12_report", "i19_dedup", "j3_overview", "k1_neighbours", "k2_relation_counts", "k3_relation_classes"]
 
 
 @pytest.fixture(scope="module")
