@@ -16,9 +16,10 @@ Actions struct<Exec: array<struct<Command: string, Arguments: string, WorkingDir
 LEVELS = {"critical": "critical", "crit": "critical", "high": "high", "medium": "medium", "med": "medium", "low": "low", "info": "info", "informational": "info"}
 
 
-def read_landing(spark: SparkSession, path: str, schema: str, form: str = "json") -> DataFrame:
-    """A landing table with a fixed schema; rows that don't fit get NULLs."""
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").format(form).load(path)
+def read_landing(spark: SparkSession, path: str, schema: str, form: str = "json", **options) -> DataFrame:
+    """A landing table with a fixed schema; rows that don't fit get NULLs. In CSV a quote within quotes is doubled."""
+    quotes = {"escape": '"'} if form == "csv" else {}
+    return spark.read.schema(schema).options(mode="PERMISSIVE", **(quotes | options)).format(form).load(path)
 
 
 def pipeline_details(raw: str | Column) -> Column:

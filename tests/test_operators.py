@@ -242,3 +242,18 @@ def test_plans_have_no_cartesian_product(spark):
     rows = [(i, i, "browser", "file_download", None, rf"C:\d\{i}.exe") for i in range(20)]
     plan = rules.download_execution(events(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_landings_of_json_and_csv(spark, tmp_path):
+    schema = "record_id long, provider string, timestamp timestamp_ntz"
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.json").write_text('{"record_id": 1, "provider": "P", "timestamp": "2024-01-01T00:00:00.5"}\n{"record_id": "x", "provider": 5}\nnot json\n')
+    got = records.read_landing(spark, str(tmp_path / "j"), schema).collect()
+    assert [tuple(r) for r in got] == [(1, "P", dt.datetime(2024, 1, 1, 0, 0, 0, 500000)), (None, "5", None), (None, None, None)]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.csv").write_text('1,"a, ""b""",2024-01-01 00:00:00\nx,,\n2\n')
+    got = records.read_landing(spark, str(tmp_path / "c"), schema, "csv").collect()
+    assert [tuple(r) for r in got] == [(1, 'a, "b"', dt.datetime(2024, 1, 1)), (None, None, None), (2, None, None)]
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "a.csv").write_text("record_id,provider,timestamp\n3,x,2024-01-01\n")
+    assert [r.record_id for r in records.read_landing(spark, str(tmp_path / "h"), schema, "csv", header=True).collect()] == [3]
