@@ -7,8 +7,10 @@ deadline (ties: the first source by name). As the weights add up to one this mee
 after any number of slots each source is less than one block away from its target. The schedule
 repeats after D slots, so one period is worked out and every row finds its slot by arithmetic and a join.
 
-More than MOST_SOURCES sources are put into some sqrt(n) groups: groups share the slots, and sources
-share the slots of their group, both by the same rule. A source is then less than two blocks away.
+The schedule of a period is folded over its slots, in one row, whatever the number of sources: a block
+is a number (deadline, then source), those that wait are an array, and a slot takes the least. CHUNK
+slots take no more than the CHUNK least of the blocks that wait, so the others are set aside and only
+looked at again for the next CHUNK slots. A slot costs some 40 bytes; a period has eight slots a source or more.
 
 The mix ends with the row at which every row has been placed once. Sources that are short of their
 weight start over (epoch 1, 2, ...), so no row is dropped. With the default target a source gets nine
@@ -21,8 +23,6 @@ once for each copy, and are interchangeable; an empty table gives no rows; colum
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,104 +30,116 @@ from .common import free_name, stored, text_or_empty
 from .numbering import number_rows, unfold
 
 PERIOD = 1000
-#: Given shares may add up to this. The schedule of one period is one row of work.
-MOST_PERIOD = 100_000
-#: Sources that one schedule holds; more are scheduled in two levels.
-MOST_SOURCES = 1000
+#: Given shares may add up to this, as the schedule of one period is one row of work.
+MOST_PERIOD = 2_000_000
+#: Slots for which blocks are looked out of all that wait.
+CHUNK = 1024
+#: A number above all places of sources.
+SOURCES = 2**31
+#: Schedules of at most this many slots, some 5 MB, are broadcast; longer ones are joined by shuffling.
+BROADCAST_PERIOD = 100_000
 BLOCK_ROWS = 16
 #: Of the default target, this many tenths follow the sources' sizes; the rest is the same for each source.
 SIZE_TENTHS = 9
 
 
-def default_shares(counts: DataFrame, period: int = PERIOD, size_tenths: int = SIZE_TENTHS, by: list[str] | None = None) -> DataFrame:
-    """by, source, n -> share and d: integers of at least one that add up to d (largest remainders), for each group.
+def default_shares(counts: DataFrame, period: int = PERIOD, size_tenths: int = SIZE_TENTHS) -> DataFrame:
+    """source, n -> share and d: integers of at least one that add up to d (largest remainders).
 
     d is the period, or eight times the number of sources if that is more.
     """
-    group = Window.partitionBy(*(by or []))
-    sized = counts.withColumns({"k": F.count("*").over(group), "total": F.sum("n").over(group)}).where("total > 0")
+    every = Window.partitionBy()
+    sized = counts.withColumns({"k": F.count("*").over(every), "total": F.sum("n").over(every)}).where("total > 0")
     sized = sized.withColumn("d", F.greatest(F.lit(period), F.expr("8 * k")).cast("long"))
     wanted = f"CAST(d - k AS DECIMAL(12, 0)) * CAST({size_tenths} * n * k + {10 - size_tenths} * total AS DECIMAL(20, 0))"
     exact = sized.withColumn("num", F.expr(wanted)).withColumn("den", F.expr("10 * k * total"))
     base = exact.withColumn("base", F.expr("1 + num div den")).withColumn("left", F.expr("num % den"))
-    ranked = base.withColumn("spare", F.col("d") - F.sum("base").over(group)).withColumn("rank", F.row_number().over(group.orderBy(F.desc("left"), "source")))
+    spare, rank = F.col("d") - F.sum("base").over(every), F.row_number().over(every.orderBy(F.desc("left"), "source"))
     share = (F.col("base") + F.when(F.col("rank") <= F.col("spare"), 1).otherwise(0)).cast("long")
-    return ranked.select(*(by or []), "source", "n", share.alias("share"), "d")
-
-
-def period_schedule(shares: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """by, source, share -> by, source, nth, slot_in_period: which slot the source's nth block of a period takes."""
-    by = by or []
-    given = F.array_sort(F.collect_list(F.struct("source", F.col("share").cast("long").alias("share"))))
-    packed = shares.groupBy(*by).agg(given.alias("s"), F.sum("share").cast("long").alias("d"))
-    released = "st.done[i] < s[i].share AND st.done[i] * d div s[i].share <= t"
-    due = "((st.done[i] + 1) * d + s[i].share - 1) div s[i].share"
-    eligible = f"filter(transform(sequence(0, size(s) - 1), i -> IF({released}, named_struct('due', {due}, 'i', i), NULL)), x -> x IS NOT NULL)"
-    taken = "named_struct('done', transform(st.done, (c, i) -> IF(i = p, c + 1L, c)), 'out', concat(st.out, array(p)))"
-    step = f"transform(array(array_min({eligible}).i), p -> {taken})[0]"
-    start = "named_struct('done', transform(s, x -> 0L), 'out', CAST(array() AS ARRAY<INT>))"
-    run = f"aggregate(sequence(0L, d - 1), {start}, (st, t) -> {step}, st -> st.out)"
-    slots = packed.where("d > 0").select(*by, "s", F.expr(run).alias("out")).select(*by, "s", F.posexplode("out").alias("slot_in_period", "i"))
-    by_source = slots.select(*by, F.expr("s[i].source").alias("source"), F.col("slot_in_period").cast("long"))
-    nth = F.row_number().over(Window.partitionBy(*by, "source").orderBy("slot_in_period")).cast("long") - 1
-    return by_source.withColumn("nth", nth)
+    return base.withColumns({"spare": spare, "rank": rank}).select("source", "n", share.alias("share"), "d")
+
+
+def _releases(numbered: DataFrame) -> DataFrame:
+    """One row: chunks, an array of slots (the numbers released in each, CHUNK at most) and late (the rest) in order of time.
+
+    Of blocks released in one slot only the CHUNK least can be taken in the chunk.
+    """
+    blocks = numbered.withColumn("nth", F.explode(F.expr("sequence(0L, share - 1)")))
+    coded = blocks.select(F.expr("nth * d div share").alias("slot"), F.expr(f"(((nth + 1) * d + share - 1) div share) * {SOURCES} + i").alias("code"))
+    slots = numbered.where("i = 0").select(F.explode(F.expr("sequence(0L, d - 1)")).alias("slot"), F.lit(None).cast("long").alias("code"))
+    by_slot = coded.union(slots).groupBy("slot").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    cut = by_slot.select(F.expr(f"slot div {CHUNK}").alias("chunk"), "slot", F.expr(f"slice(codes, 1, {CHUNK})").alias("near"), F.expr(f"slice(codes, {CHUNK} + 1, size(codes))").alias("late"))
+    in_order = F.sort_array(F.collect_list(F.struct("slot", "near")))
+    chunks = cut.groupBy("chunk").agg(F.transform(in_order, lambda x: x["near"]).alias("slots"), F.flatten(F.collect_list("late")).alias("late"))
+    return chunks.agg(F.sort_array(F.collect_list(F.struct("chunk", "slots", "late"))).alias("chunks"))
+
+
+def period_schedule(shares: DataFrame) -> DataFrame:
+    """source, share -> source, nth, slot_in_period: which slot the source's nth block of a period takes."""
+    every = Window.partitionBy()
+    numbered = shares.select("source", F.col("share").cast("long").alias("share")).where("share > 0")
+    numbered = numbered.withColumns({"d": F.sum("share").over(every), "i": F.row_number().over(every.orderBy("source")).cast("long") - 1})
+    none = "CAST(array() AS ARRAY<BIGINT>)"
+    least = "named_struct('waiting', array_remove(w, x), 'taken', concat(st.taken, array(x)))"
+    slot = f"transform(array(concat(st.waiting, released)), w -> transform(array(array_min(w)), x -> {least})[0])[0]"
+    chunk = f"aggregate(c.slots, named_struct('waiting', slice(a, 1, {CHUNK}), 'taken', {none}), (st, released) -> {slot})"
+    after = f"named_struct('aside', concat(slice(a, {CHUNK} + 1, size(a)), r.waiting, c.late), 'out', concat(so.out, array(r.taken)))"
+    step = f"transform(array(sort_array(so.aside)), a -> transform(array({chunk}), r -> {after})[0])[0]"
+    start = f"named_struct('aside', {none}, 'out', CAST(array() AS ARRAY<ARRAY<BIGINT>>))"
+    run = F.expr(f"aggregate(chunks, {start}, (so, c) -> {step}, so -> so.out)")
+    chunks = _releases(numbered).select(F.posexplode(run).alias("chunk", "taken"))
+    taken = chunks.select("chunk", F.posexplode("taken").alias("place", "code"))
+    taken = taken.select(F.expr(f"CAST(chunk AS BIGINT) * {CHUNK} + place").alias("slot_in_period"), F.expr(f"code div {SOURCES}").alias("due"), F.expr(f"code % {SOURCES}").alias("i"))
+    # a source's deadlines are all different, so one tells the block
+    return taken.join(numbered, "i").select("source", F.expr("due * share div d - 1").alias("nth"), "slot_in_period")
 
 
 def _plan(counts: DataFrame, shares: DataFrame | None, period: int) -> DataFrame:
-    """grp, source, n, share, d and, of its group, grp_share, grp_d."""
-    n_sources = counts.count()
-    groups = 1 if shares is not None or n_sources <= MOST_SOURCES else math.isqrt(n_sources) + 1
-    dealt = counts.withColumn("grp", ((F.row_number().over(Window.partitionBy().orderBy("source")) - 1) % groups).cast("string"))
+    """source, n, share, d: written, as several steps read it."""
     if shares is None:
-        inner = default_shares(dealt, period, by=["grp"])
-    else:
-        inner = dealt.join(shares.select("source", F.col("share").cast("long").alias("share")), "source", "left").withColumn("d", F.sum("share").over(Window.partitionBy()))
-        if inner.where("share IS NULL OR share < 1").count():
-            raise ValueError("a source has no share of at least 1")
-        if (inner.agg(F.max("d")).first()[0] or 0) > MOST_PERIOD:
-            raise ValueError(f"the shares add up to more than {MOST_PERIOD}")
-    sizes = inner.groupBy(F.col("grp").alias("source")).agg(F.sum("n").alias("n"))
-    outer = default_shares(sizes, 1 if groups == 1 else period).select(F.col("source").alias("grp"), F.col("share").alias("grp_share"), F.col("d").alias("grp_d"))
-    return stored(inner.join(outer, "grp"), "mix-plan")
+        return stored(default_shares(counts, period), "mix-plan")
+    wanted = shares.select("source", F.col("share").cast("long").alias("share"))
+    plan = stored(counts.join(wanted, "source", "left").withColumn("d", F.sum("share").over(Window.partitionBy())), "mix-plan")
+    if plan.where("share IS NULL OR share < 1").count():
+        raise ValueError("a source has no share of at least 1")
+    if (plan.agg(F.max("d")).first()[0] or 0) > MOST_PERIOD:
+        raise ValueError(f"the shares add up to more than {MOST_PERIOD}")
+    return plan
 
 
-def _slotted(blocks: DataFrame, inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Adds the slot of each block (columns of the plan and ``block``)."""
-    within = blocks.withColumn("nth", F.expr("block % share")).join(inner, ["grp", "source", "nth"])
-    turn = within.withColumn("turn", F.expr("(block div share) * d + slot_in_period")).withColumn("nth", F.expr("turn % grp_share"))
-    return turn.join(outer, ["grp", "nth"]).withColumn("slot", F.expr("(turn div grp_share) * grp_d + grp_slot")).drop("nth", "turn", "slot_in_period", "grp_slot")
+def _slotted(blocks: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Adds the slot of each block (columns source, share, d, block)."""
+    joined = blocks.withColumn("nth", F.expr("block % share")).join(schedule, ["source", "nth"])
+    return joined.withColumn("slot", F.expr("(block div share) * d + slot_in_period")).drop("nth", "slot_in_period")
 
 
 def mix(docs: DataFrame, shares: DataFrame | None = None, key: str = "doc_id", source: str = "source", rest: list[str] | None = None, block_rows: int | None = None, period: int = PERIOD) -> DataFrame:
     """key, source, rest and epoch, block, slot, position: every placement of every row.
 
-    ``shares`` (source, share) are the targets, integers; without it :func:`default_shares` are used.
-    ``block_rows`` is BLOCK_ROWS or, if that is less, a hundredth of what the least source gets.
-    Ordered by ``position`` (0, 1, 2, ...) the rows are the mixed stream.
+    ``shares`` (source, share) are the targets, integers that add up to MOST_PERIOD at most; without it
+    :func:`default_shares` are used. ``block_rows`` is BLOCK_ROWS or, if that is less, a hundredth of
+    what the least source gets. Ordered by ``position`` (0, 1, 2, ...) the rows are the mixed stream.
     """
     rest = rest or []
     rows = docs.select(F.col(key).alias("key"), text_or_empty(source).alias("source"), *[F.col(c).alias(f"rest_{i}") for i, c in enumerate(rest)])
     plan = _plan(rows.groupBy("source").agg(F.count("*").alias("n")), shares, period)
-    inner = stored(period_schedule(plan.select("grp", "source", "share"), ["grp"]), "mix-schedule")
-    groups = plan.select(F.col("grp").alias("source"), F.col("grp_share").alias("share")).distinct()
-    outer = period_schedule(groups).select(F.col("source").alias("grp"), "nth", F.col("slot_in_period").alias("grp_slot"))
-    outer = stored(outer, "mix-groups")
-    n_sources, total = plan.agg(F.count("*"), F.sum("n")).first()
+    schedule = stored(period_schedule(plan), "mix-schedule")
+    total, d = plan.agg(F.sum("n"), F.max("d")).first()
     if block_rows is None:
-        rows_of_least = plan.agg(F.min(F.expr(f"CAST({total or 0} * share AS DECIMAL(20, 0)) * grp_share div (d * grp_d)"))).first()[0]
+        rows_of_least = plan.agg(F.min(F.expr(f"CAST({total or 0} * share AS DECIMAL(20, 0)) div d"))).first()[0]
         block_rows = min(BLOCK_ROWS, 1 + (rows_of_least or 0) // 100)
     # the mix ends with the last row that is placed for the first time
-    last = _slotted(plan.withColumn("block", F.expr(f"(n - 1) div {block_rows}")), inner, outer)
+    last = _slotted(plan.withColumn("block", F.expr(f"(n - 1) div {block_rows}")), schedule)
     end = last.agg(F.max(F.expr(f"slot * {block_rows} + (n - 1) % {block_rows}"))).first()[0]
     # a block that begins before the end is in slot end div block_rows or earlier, so has at most this number in its source
-    most = F.expr(f"ceil(({end or 0} div {block_rows} + 1) * share / d * grp_share / grp_d) + 2")
+    most = F.expr(f"ceil(({end or 0} div {block_rows} + 1) * share / d) + 2")
     plan = plan.withColumn("most", most.cast("long"))
-    if n_sources <= MOST_SOURCES:  # then these are small tables, whatever the input
-        plan, inner, outer = F.broadcast(plan), F.broadcast(inner), F.broadcast(outer)
+    if (d or 0) <= BROADCAST_PERIOD:  # as every source has a slot, this bounds both tables
+        plan, schedule = F.broadcast(plan), F.broadcast(schedule)
     numbered = number_rows(rows, "key", ["source"], [f"rest_{i}" for i in range(len(rest))], "row_no")
     sized = numbered.join(plan, "source").withColumn("epochs", F.expr(f"(most * {block_rows} - row_no + n - 1) div n"))
     copies = unfold(sized, F.col("epochs"), "epoch").withColumn("q", F.expr("epoch * n + row_no")).withColumn("block", F.expr(f"q div {block_rows}"))
-    placed = _slotted(copies, inner, outer).withColumn("position", F.expr(f"slot * {block_rows} + q % {block_rows}"))
+    placed = _slotted(copies, schedule).withColumn("position", F.expr(f"slot * {block_rows} + q % {block_rows}"))
     names = [F.col(f"rest_{i}").alias(c) for i, c in enumerate(rest)]
     placed = placed.where(F.col("position") <= (-1 if end is None else end))
     return placed.select(F.col("key").alias(key), F.col("source").alias(source), *names, F.col("epoch").cast("int").alias("epoch"), "block", "slot", "position")

@@ -94,21 +94,31 @@ def test_a_rare_source_does_not_inflate_the_mix(spark, small):
     assert max(rows, key=lambda r: r.position).epoch == 0  # it ends with a row that is placed for the first time
 
 
-def test_many_sources_are_mixed_in_two_levels(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MOST_SOURCES", 6)
-    df = spark.createDataFrame([(i, f"s{min(i % 30, 17)}") for i in range(1200)], "doc_id long, source string")
-    rows = sorted(mixing.mix(df, period=60).collect(), key=lambda r: r.position)
-    assert [r.position for r in rows] == list(range(len(rows))) and {r.doc_id for r in rows} == set(range(1200))
-    plan = {r.source: r.share / r.d * r.grp_share / r.grp_d for r in mixing._plan(df.groupBy("source").agg(F.count("*").alias("n")), None, 60).collect()}
-    assert len(plan) == 18 and sum(plan.values()) == pytest.approx(1)
-    block = max(Counter((r.source, r.block) for r in rows).values())
+@pytest.mark.parametrize("shares", [[4] * 9, [20, 1, 1, 1, 1, 1, 1, 1, 5], [9, 8, 7, 6, 5, 4, 3, 2, 1], [1] * 30])
+def test_schedule_is_the_same_in_small_chunks(spark, monkeypatch, shares):
+    monkeypatch.setattr(mixing, "CHUNK", 4)
+    df = spark.createDataFrame([(f"s{i:02}", s) for i, s in enumerate(shares)], "source string, share long")
+    got = mixing.period_schedule(df).orderBy("slot_in_period").collect()
+    assert [int(r.source[1:]) for r in got] == plain_schedule(shares)
     seen = Counter()
-    for i, r in enumerate(rows, 1):
+    for r in got:
+        assert r.nth == seen[r.source]
         seen[r.source] += 1
-        assert i % block or abs(seen[r.source] / block - i / block * plan[r.source]) < 2
 
 
-def test_more_sources_than_one_schedule_holds(spark):
+def test_many_sources_stay_within_one_block(spark):
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('s', least(id % 4000, 1500)) AS source")
+    counts = docs.groupBy("source").agg(F.count("*").alias("n"))
+    plan = {r.source: r for r in mixing.default_shares(counts).collect()}
+    assert len(plan) == 1501 and sum(r.share for r in plan.values()) == 8 * 1501
+    got = mixing.period_schedule(spark.createDataFrame(list(plan.values()))).orderBy("slot_in_period").collect()
+    assert [r.slot_in_period for r in got] == list(range(8 * 1501))
+    for r in got:  # a block lies between its release and its deadline, so the source is less than one block away
+        share, d = plan[r.source].share, plan[r.source].d
+        assert r.nth * d // share <= r.slot_in_period < -(-(r.nth + 1) * d // share)
+
+
+def test_over_ten_thousand_sources(spark):
     df = spark.range(12_600).selectExpr("id AS doc_id", "CAST(id AS STRING) AS source")
     rows = mixing.mix(df)
     assert rows.agg(F.countDistinct("doc_id")).first()[0] == 12_600 and rows.count() < 16_000
