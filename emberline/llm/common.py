@@ -34,16 +34,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, most_rows: int = 1024, memory: dict | None = None) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of ``column`` and ``most_rows`` rows; one long text is a batch of its own.
+def slices(batches: Iterator[pa.RecordBatch], column: str | list[str], limit: int = SLICE_BYTES, most_rows: int = 1024, memory: dict | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of ``column`` (one or several) and ``most_rows`` rows; one long text is a batch of its own.
 
     ``memory`` is a dictionary that the operator fills on the way: it is emptied when the task ends,
     as workers serve all stages in turn.
     """
     try:
         for batch in batches:
-            sizes = batch.column(batch.schema.get_field_index(column))
-            lengths = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_pylist()
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ([column] if isinstance(column, str) else column)]
+            sizes = [pa.compute.fill_null(pa.compute.binary_length(c), 0).to_pylist() for c in columns]
+            lengths = [sum(row) for row in zip(*sizes, strict=True)]
             start = held = 0
             for i, n in enumerate(lengths):
                 if i > start and (held + n > limit or i - start >= most_rows):

@@ -33,7 +33,7 @@ PERIOD = 1000
 #: Given shares may add up to this, as the schedule of one period is one row of work.
 MOST_PERIOD = 2_000_000
 #: Slots for which blocks are looked out of all that wait.
-CHUNK = 1024
+CHUNK = 512
 #: A number above all places of sources.
 SOURCES = 2**31
 #: Schedules of at most this many slots, some 5 MB, are broadcast; longer ones are joined by shuffling.
