@@ -21,7 +21,9 @@ together; repeated rows are reported each; empty tables give no rows; other colu
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from statistics import NormalDist
 
 import numpy as np
@@ -112,9 +114,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def tokens_to_test(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, int]]:
     """Start, end, encoding, length band and step of the p-value, of tokens that no known span covers."""
     out = []
+    starts = [s for s, _, _ in known]  # ascending
+    ends = list(accumulate((e for _, _, e in known), max))
     for m in TOKEN.finditer(text):
         a, b = m.span()
-        if any(s <= a and b <= e for s, _, e in known):
+        earlier = bisect_right(starts, a)
+        if earlier and b <= ends[earlier - 1]:
             continue
         encoding = encoding_of(m[0])
         if encoding in CHI_DISTANCE:

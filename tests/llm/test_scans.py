@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter
 
 import pytest
 from emberline.llm import pii, queries, secret_scan
@@ -92,3 +95,91 @@ def test_odd_rows(odd, none):
 def test_context_words_are_whole_words(spark, kind, before, vote):
     df = spark.createDataFrame([(before,)], "b string")
     assert df.select(pii._near(kind, F.col("b"), F.lit(""))).first()[0] == vote
+
+
+def plain_posterior(prior, chance, kind, votes):
+    yes, no = prior[kind], 1 - prior[kind]
+    for table, v in zip(chance, votes, strict=True):
+        yes, no = yes * table[True][v], no * table[False][v]
+    return yes / (yes + no)
+
+
+def plain_estimate(patterns, rounds):
+    """Expectation-maximisation over (kind, votes) -> count, candidate by candidate."""
+    prior = dict.fromkeys(range(len(pii.KINDS)), 0.7)
+    chance = [{True: {1: 0.6, 0: 0.3, -1: 0.1}, False: {1: 0.15, 0: 0.35, -1: 0.5}} for _ in pii.LABELERS]
+    for _ in range(rounds):
+        truth = {x: plain_posterior(prior, chance, *x) for x in patterns}
+        for k in prior:
+            of = [x for x in patterns if x[0] == k]
+            prior[k] = (sum(patterns[x] * truth[x] for x in of) + 0.5) / (sum(patterns[x] for x in of) + 1)
+        for i in range(len(chance)):
+            for side in (True, False):
+                share = {v: 0.5 + sum(n * (truth[x] if side else 1 - truth[x]) for x, n in patterns.items() if x[1][i] == v) for v in (1, 0, -1)}
+                chance[i][side] = {v: w / sum(share.values()) for v, w in share.items()}
+    return prior, chance
+
+
+def vote_patterns():
+    rng = random.Random(8)
+    return Counter((rng.randrange(7), tuple(rng.choices((1, 0, -1), (5, 3, 2), k=3))) for _ in range(3000))
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 12])
+def test_reliabilities_equal_plain_estimates(spark, rounds):
+    patterns = vote_patterns()
+    df = spark.createDataFrame([(k, list(v), float(n)) for (k, v), n in patterns.items()], "kind int, votes array<int>, n double")
+    prior, chance = pii.estimate(df, rounds)
+    want_prior, want_chance = plain_estimate(patterns, rounds)
+    assert prior == pytest.approx(want_prior)
+    for got, want in zip(chance, want_chance, strict=True):
+        assert got[True] == pytest.approx(want[True]) and got[False] == pytest.approx(want[False])
+    for r in df.withColumn("p", pii.posterior(prior, chance)).collect():
+        assert r.p == pytest.approx(plain_posterior(want_prior, want_chance, r.kind, r.votes))
+
+
+def test_span_classifier_equals_plain_weights(spark):
+    rng, patterns = random.Random(9), vote_patterns()
+    spans = [(k, list(v), [f"{k}|a={rng.randrange(3)}", f"{k}|b={rng.randrange(2)}"]) for (k, v), n in patterns.items() for _ in range(n)]
+    rows = [(spans[i : i + 7],) for i in range(0, len(spans), 7)] + [([],)]
+    df = spark.createDataFrame(rows, "spans array<struct<kind: int, votes: array<int>, features: array<string>>>")
+    got = pii.train(df).first().weights
+    model = plain_estimate(patterns, pii.ROUNDS)
+    yes, no = Counter(), Counter()
+    for k, v, features in spans:
+        p = plain_posterior(*model, k, tuple(v))
+        for f in ["", *features]:
+            yes[f] += p
+            no[f] += 1 - p
+    ratio = {f: math.log((yes[f] + 0.5) / (no[f] + 0.5)) for f in yes}
+    assert got == pytest.approx({f: w - (ratio[""] if f else 0) for f, w in ratio.items()})
+
+
+def test_random_spans_follow_the_step_up_rule(spark):
+    """Benjamini-Hochberg by encoding and length band over all tokens, worked out from sorted p-values (rounded up to a step, as they are counted)."""
+    rng = random.Random(4)
+    hexes, words = "0123456789ABCDEF", ["ABBA", "CAFE", "DEAD", "BEEF", "FACE", "0000", "1111"]
+    texts = ["".join(rng.choices(hexes, k=rng.choice((16, 22, 30, 60)))) if i % 3 else "".join(rng.choices(words, k=rng.choice((4, 6, 9)))) for i in range(500)]
+    texts += ["".join(rng.choices(secret_scan.ALPHABETS["alphanumeric"], k=18)) for _ in range(100)]
+    got = {r.doc_id for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if "random" in r.spans}
+    groups = {}
+    for i, t in enumerate(texts):
+        for a, b, encoding, band, step in secret_scan.tokens_to_test(t, secret_scan.base_spans(t)):
+            assert (a, b) == (0, len(t))
+            p = secret_scan.randomness(t, encoding)
+            assert 10 ** (step / 100) <= p * 1.0001 and p < 10 ** ((step + 1) / 100) * 1.0001
+            groups.setdefault((encoding, band), []).append((10 ** ((step + 1) / 100), i))
+    want = set()
+    for tests in groups.values():
+        tests.sort()
+        passing = [p for rank, (p, _) in enumerate(tests, 1) if p <= 0.01 * rank / len(tests)]
+        want |= {i for p, i in tests if passing and p <= max(passing)}
+    assert got == want and 0 < len(want) < len(texts)
+
+
+def test_tokens_beside_very_many_spans():
+    text = "token=abcdefgh1234567890 ABCDEFGHIJKLMNOPQRST " * 40_000
+    start, known = time.monotonic(), secret_scan.base_spans(text)
+    found = secret_scan.tokens_to_test(text, known)
+    assert len(known) == 40_000 and [text[a:b] for a, b, *_ in found] == ["ABCDEFGHIJKLMNOPQRST"] * 40_000
+    assert time.monotonic() - start < 100
