@@ -33,6 +33,8 @@ from .common import free_name, slices, stored, text_or_empty
 SEGMENTS, SEGMENT_BITS = 16, 4
 MOST_IN_CELL = 64
 SEED = 42
+#: Words of a shingle.
+WIDTH = 3
 #: Hashes whose bits are counted at one time.
 BLOCK = 1 << 16
 
@@ -56,7 +58,7 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """key, fp: the fingerprint as a signed long, one row for each document."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
@@ -102,7 +104,7 @@ def near_pairs(distinct: DataFrame, max_bits: int = 2, most_in_cell: int = MOST_
     return pairs.union(exact)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, max_bits: int = 2, most_in_cell: int = MOST_IN_CELL) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, max_bits: int = 2, most_in_cell: int = MOST_IN_CELL) -> DataFrame:
     """key, fp, component (the smallest key of all documents that links reach), one row for each document."""
     prints = stored(fingerprints(docs, key, text, width).withColumnRenamed(key, "key"), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("key").alias("first_key")), "classes")
@@ -115,7 +117,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return prints.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, max_bits: int = 2) -> DataFrame:
     """The documents with one row of each group left: the one with the smallest key (rows without one come last), then text hash."""
     mark, name = free_name(docs, "chosen_key"), free_name(docs, "chosen_text")
     row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text_or_empty(text)).alias("name"))

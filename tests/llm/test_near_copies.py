@@ -3,8 +3,10 @@ from itertools import combinations
 
 import corpus_pipeline
 import pytest
-from emberline.llm import near_copies
+from emberline.llm import near_copies, simhash
 from emberline.llm.common import stored
+from emberline.operators.graph import components
+from pyspark.sql import functions as F
 
 
 def brute_roots(texts):
@@ -85,3 +87,38 @@ def test_runs_of_the_same_sets_count_once(spark):
     shared = near_copies._shared(spark.createDataFrame(rows, "set long, size long, pos int, run long"))
     assert {chr(r.run) for r in shared.collect()} == set("cdg")
     assert sorted((r.set, r.pos, chr(r.run)) for r in near_copies._one_run_of_each_group(shared).collect()) == [(1, 1, "c"), (2, 1, "c"), (3, 0, "c")]
+
+
+def test_fingerprints_name_candidates(spark):
+    """All sets within two bits are connected by pairs of candidates, whether or not they share a run."""
+    rng = random.Random(9)
+    fps = [base ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 3))) for base in (rng.getrandbits(62) for _ in range(8)) for _ in range(6)] + [7, 7, 7]
+    pairs = near_copies.by_fingerprints(spark.createDataFrame(list(enumerate(fps)), "set long, fp long")).collect()
+    root = list(range(len(fps)))
+
+    def joined(edges):
+        group = list(root)
+        for a, b in edges:
+            group = [group[a] if g == group[b] else g for g in group]
+        return partition(enumerate(group))
+
+    assert all((fps[a] ^ fps[b]).bit_count() <= 2 for a, b in pairs)
+    assert joined(pairs) == joined((a, b) for a, b in combinations(root, 2) if (fps[a] ^ fps[b]).bit_count() <= 2)
+
+
+def test_stage_takes_candidates_from_the_simhash_operator(spark, small, monkeypatch):
+    """The stage asks simhash.py for its links, of the fingerprints that op7 gives, and drops those that aren't near copies."""
+    seen, pairs = [], simhash.near_pairs
+    monkeypatch.setattr(simhash, "near_pairs", lambda distinct: seen.append({r.fp for r in distinct.collect()}) or pairs(distinct))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(families(4))], "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.keep_one_of_each_group(spark, docs, small)
+    assert seen and seen[0] <= {r.fp for r in simhash.fingerprints(docs).collect()}
+
+
+def test_equal_fingerprints_of_other_texts_do_not_link(spark):
+    bodies = families(6)
+    texts = stored(spark.createDataFrame(list(enumerate(bodies)), "key long, text string").selectExpr("key", "coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS text_hash"), "texts")
+    sets = stored(near_copies.run_sets(texts, 5, near_copies.frequent_runs(texts, 5)).withColumn("fp", F.lit(0).cast("long")), "sets")
+    roots = components(near_copies.links(sets, sets.drop("first").dropDuplicates(["set"]), texts)).withColumnRenamed("node", "set")
+    got = sets.join(roots, "set", "left").select("key", F.coalesce("root", "set")).collect()
+    assert partition(got) == partition(enumerate(brute_roots(bodies)))
