@@ -1,5 +1,6 @@
 import random
 from itertools import combinations
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
@@ -122,3 +123,18 @@ def test_equal_fingerprints_of_other_texts_do_not_link(spark):
     roots = components(near_copies.links(sets, sets.drop("first").dropDuplicates(["set"]), texts)).withColumnRenamed("node", "set")
     got = sets.join(roots, "set", "left").select("key", F.coalesce("root", "set")).collect()
     assert partition(got) == partition(enumerate(brute_roots(bodies)))
+
+
+def test_tables_go_when_nothing_needs_them(spark):
+    """What is on disk after the stage doesn't hold texts, runs or candidates; the last step shuffles texts once."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    docs = spark.createDataFrame(list(enumerate(families(3))), "doc_id long, text string")
+    kept = near_copies.keep_one(docs)
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert not left & {"run-sets", "run-counts", "shared-runs", "shared-places", "members", "candidates", "candidate-names", "candidate-texts"}
+    assert kept.count() == len(set(brute_roots(families(3))))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = near_copies.keep_one(docs)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Exchange") <= 2  # the documents, and the rows that are chosen
