@@ -35,3 +35,10 @@ def test_candidate_pairs_come_once_and_are_not_shuffled(spark, small_blocks):
     few = incidents.pairs_of(df, spark.createDataFrame([("v:e1",), ("n:n",)], "link string"))
     assert sorted([tuple(r.source_ord), tuple(r.target_ord)] for r in few.collect()) == sorted(sorted([a[:2], b[:2]]) for a, b in combinations(rows, 2) if "e1" in set(a[2]) & set(b[2]) or "n" in set(a[3]) & set(b[3]))
     assert not any(x in above_join(found) for x in ("Exchange", "Aggregate"))
+
+
+def test_edges_do_not_shuffle_pairs(spark, small_blocks):
+    rows, df = some_findings(spark)
+    found = incidents.edges(df)
+    assert found.count() == sum(1 for a, b in combinations(rows, 2) if set(a[2]) & set(b[2]) or set(a[3]) & set(b[3]))
+    assert not any(x in above_join(found) for x in ("Exchange", "Aggregate"))
