@@ -1,10 +1,11 @@
 """Pairs that share a key against plain Python, with keys of many rows."""
 
 import random
-from itertools import combinations
+from itertools import combinations, permutations
 
 import pytest
-from emberline.operators import incidents, pairs
+from emberline.operators import incidents, pairs, timeline
+from pyspark.sql import functions as F
 
 FOUND = "rule_ord int, tl_pos long, event_ids array<string>, entity_ids array<string>, correlation_id string, start_time timestamp_ntz, evidence map<string, string>"
 
@@ -42,3 +43,10 @@ def test_edges_do_not_shuffle_pairs(spark, small_blocks):
     found = incidents.edges(df)
     assert found.count() == sum(1 for a, b in combinations(rows, 2) if set(a[2]) & set(b[2]) or set(a[3]) & set(b[3]))
     assert not any(x in above_join(found) for x in ("Exchange", "Aggregate"))
+
+
+def test_related_events_of_one_key_lie_in_several_tasks(spark, small_blocks):
+    tl = spark.range(40).select(F.col("id").alias("tl_pos"), F.concat(F.lit("e"), "id").alias("event_id"), F.when(F.col("id") < 36, "hot").alias("entity_id"))
+    found = timeline.related(tl, "entity_id")
+    assert sorted((r.event_id, r.related_event_id) for r in found.collect()) == sorted(permutations((f"e{i}" for i in range(36)), 2))
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
