@@ -29,3 +29,14 @@ def test_counts_and_lists_make_no_pairs(enriched):
     assert {i: r["first"] for i, r in got.items()} == {i: ids[:2] for i, ids in want.items()}
     assert {i: r["digest"] for i, r in got.items()} == {i: hashlib.sha256("|".join(ids).encode()).hexdigest() if ids else None for i, ids in want.items()}
     assert {r["incident_id"]: r["first"] for r in incs.supporting_lists(1).collect()} == {i: ids[:1] for i, ids in want.items()}
+
+
+def test_verdicts_make_no_pairs(spark, enriched):
+    incs, want = enriched
+    least = {r["incident_id"]: r["c"] for r in incs.primary().groupBy("incident_id").agg(F.min("correlation_id").alias("c")).collect()}
+    given = spark.createDataFrame([(i, "PARTIALLY_AGREE", [least[i], *ids[2:3], "unknown"], ids[:2]) for i, ids in want.items()], "incident_id string, verdict string, remove array<string>, promote array<string>")
+    before = {r["incident_id"]: r["n_primary"] for r in incs.head.collect()}
+    out, changes = incidents.apply_verdicts(incs, given)
+    got = {r["incident_id"]: (r["n_primary"], r["n_supporting"]) for r in out.head.collect()}
+    assert got == {i: (before[i] - 1 + len(ids[:2]), len(ids[3:])) for i, ids in want.items()}
+    assert sorted(tuple(r) for r in changes.collect()) == sorted([(i, least[i], "removed") for i in want] + [(i, c, "removed") for i, ids in want.items() for c in ids[2:3]] + [(i, c, "promoted") for i, ids in want.items() for c in ids[:2]])
