@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from pathlib import Path
 
 import pytest
 from emberline.operators import incidents
@@ -40,3 +41,13 @@ def test_verdicts_make_no_pairs(spark, enriched):
     got = {r["incident_id"]: (r["n_primary"], r["n_supporting"]) for r in out.head.collect()}
     assert got == {i: (before[i] - 1 + len(ids[:2]), len(ids[3:])) for i, ids in want.items()}
     assert sorted(tuple(r) for r in changes.collect()) == sorted([(i, least[i], "removed") for i in want] + [(i, c, "removed") for i, ids in want.items() for c in ids[2:3]] + [(i, c, "promoted") for i, ids in want.items() for c in ids[:2]])
+
+
+def test_tables_of_steps_go(spark):
+    """What incidents are made of is deleted once they are written."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    incs = incidents.incidents(spark.createDataFrame([finding(i, "browser_activity", i, [f"e{i // 4}"]) for i in range(20)], FINDING))
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert left == {"event_ids", "entity_ids", "primary", "incidents"}
+    assert incs.listed().count() == 5
