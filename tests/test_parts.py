@@ -1,5 +1,6 @@
 """Indicators of any size: in parts, and merged one part at a time."""
 
+import json
 from pathlib import Path
 
 from emberline.operators import ioc
@@ -12,6 +13,22 @@ def merged(spark, n=40):
     return ioc.merge(rows, lookup)
 
 
+def test_parts_make_the_whole_text(spark, monkeypatch):
+    """No part has more than PART ids, and the parts together say what the one text says."""
+    monkeypatch.setattr(ioc, "PART", 3)
+    iocs = merged(spark)
+    whole = {r["key"]: json.loads(r["json"]) for r in ioc.serialize(iocs).collect()}
+    parts = ioc.serialize_parts(iocs).collect()
+    got = {}
+    for r in sorted(parts, key=lambda r: r["part"]):
+        said = json.loads(r["json"])
+        assert all(len(v) <= 3 for k, v in said.items() if k.endswith("_ids"))
+        mine = got.setdefault(r["key"], {f"{n}_ids": [] for n in ("event", "correlation", "incident")})
+        for k, v in said.items():
+            mine[k] = mine[k] + v if k.endswith("_ids") else v
+    assert got == whole and len(got["a.example"]["event_ids"]) == 36
+
+
 def test_parts_of_the_merge_go(spark):
     folder = Path(spark.conf.get("spark.checkpoint.dir"))
     before = set(folder.iterdir())
